@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratewave.llm import packing, tokens
+from cratewave.llm import confusables, packing, tokens
 from cratewave.session import table
 from cratewave.storage import materialize, spread
 
@@ -34,10 +34,24 @@ def p7_fill(spark: SparkSession, directory: str) -> DataFrame:
     return packing.fill(_packed(spark, directory), table(spark, directory, "pack_limits"))
 
 
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of documents that look the same and differ as stored."""
+    docs = spread(table(spark, directory, "documents").select("doc_id", "text"))
+    keyed = materialize(confusables.keys(docs), "skeletons")
+    return confusables.same_looking(keyed).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+
+
+def p8_forms(spark: SparkSession, directory: str) -> DataFrame:
+    """The consistent form of every text."""
+    return confusables.forms(spread(table(spark, directory, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_forms": p8_forms,
 }
 
 #: Only what SQL can express over whole tables.
