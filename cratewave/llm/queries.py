@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratewave.llm import confusables, packing, tokens
+from cratewave.llm import confusables, ivfpq, packing, tokens
 from cratewave.session import table
 from cratewave.storage import materialize, spread
 
 
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of usable vectors of which one is among the five most similar of the other."""
+    lists = ivfpq.neighbours(table(spark, directory, "track_vectors").select("vec_id", "embedding"))
+    return ivfpq.pairs(lists).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
+
+
 def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k; null and empty texts give an empty list."""
     return tokens.encode_corpus(spread(table(spark, directory, "documents").select("doc_id", "text")))
@@ -47,6 +53,7 @@ def p8_forms(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
