@@ -1,7 +1,7 @@
 """The k most similar vectors of every vector.
 
 Method: an inverted file of coarse centroids with product-quantised residuals. Centroids and codebooks are fitted on a
-bounded sample (`SAMPLE_PER_CELL` rows a cell, at most `MAX_CELLS` cells); every row is indexed. A row is a member of its
+bounded sample (`SAMPLE_PER_CELL` rows a cell, `LEAST_SAMPLE` at least, for at most `MAX_CELLS` cells); every row is indexed. A row is a member of its
 nearest cell and a query in the cells whose centroids are about as near. In a cell, asymmetric distance tables of each
 query score the members' codes, the best of them form a shortlist, and the shortlist is ranked again by exact cosines.
 
@@ -25,10 +25,10 @@ from cratewave.llm import vectors as V
 
 ROWS_PER_CELL = 200
 MAX_CELLS = 4096
-SAMPLE_PER_CELL = 24
+SAMPLE_PER_CELL, LEAST_SAMPLE = 24, 16_384
 MARGIN, MOST_PROBES = 0.12, 6
-PARTS, WORDS = 16, 256
-SHORTLIST = 64
+PARTS, WORDS = 32, 256
+SHORTLIST = 192
 #: Members up to which a cell is one task.
 CELL_ROWS = 6000
 
@@ -134,7 +134,7 @@ def neighbours(
     spark = df.sparkSession
     df = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
     total = df.count()
-    x = V.sample(df, "v", SAMPLE_PER_CELL * max(16, min(MAX_CELLS, total // rows_per_cell)), total, dim)
+    x = V.sample(df, "v", max(LEAST_SAMPLE, SAMPLE_PER_CELL * min(MAX_CELLS, total // rows_per_cell)), total, dim)
     if not len(x):
         return spark.createDataFrame([], f"{key} bigint, neighbour bigint, cosine double")
     shared = spark.sparkContext.broadcast(fit(x, total, rows_per_cell=rows_per_cell, parts=min(PARTS, dim)))
