@@ -12,7 +12,6 @@ its queries are spread over salts and its members sent to each of them.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -146,12 +145,7 @@ def neighbours(
             at, raw = V.finite(batch, "v", dim)
             ids = batch.column("id").to_numpy(zero_copy_only=False)[at]
             data = V.to_bytes(raw)
-            new = []
-            for i, row in enumerate(data):
-                digest = hashlib.blake2b(row, digest_size=16).digest()
-                if digest not in seen:
-                    seen.add(digest)
-                    new.append(i)
+            new = V.unseen(data, seen)
             if not new:
                 continue
             ids, unit, data = ids[new], V.unit(raw[new]), [data[i] for i in new]

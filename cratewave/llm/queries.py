@@ -7,11 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratewave.llm import confusables, ivfpq, packing, tokens
+from cratewave.llm import clusters, confusables, ivfpq, packing, tokens
 from cratewave.session import table
 from cratewave.storage import materialize, spread
 
 
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    """The cluster of every usable vector that is in one."""
+    return clusters.clusters(table(spark, directory, "track_vectors").select("vec_id", "embedding"))
+
+
+def p1_described(spark: SparkSession, directory: str) -> DataFrame:
+    """Size and most typical members of every cluster."""
+    vectors = table(spark, directory, "track_vectors").select("vec_id", "embedding")
+    return clusters.describe(materialize(clusters.clusters(vectors), "clusters"), vectors)
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of usable vectors of which one is among the five most similar of the other."""
     lists = ivfpq.neighbours(table(spark, directory, "track_vectors").select("vec_id", "embedding"))
@@ -53,6 +64,8 @@ def p8_forms(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_described": p1_described,
     "p3_found": p3_found,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,6 +41,17 @@ def from_bytes(rows: list[bytes], dim: int = DIM) -> np.ndarray:
     return np.stack([np.frombuffer(r, np.float16 if len(r) == 2 * dim else np.float32).astype(np.float32) for r in rows])
 
 
+def unseen(rows: list[bytes], seen: set[bytes]) -> list[int]:
+    """Positions of the rows that are not yet in `seen` (digests), which they are added to."""
+    new = []
+    for i, row in enumerate(rows):
+        digest = hashlib.blake2b(row, digest_size=16).digest()
+        if digest not in seen:
+            seen.add(digest)
+            new.append(i)
+    return new
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; scaled by the largest element first, so that nothing overflows."""
     x = x.astype(np.float32) / np.abs(x).max(axis=1, keepdims=True).astype(np.float32)
