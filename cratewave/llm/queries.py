@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratewave.llm import clusters, confusables, ivfpq, packing, tokens
+from cratewave.llm import clusters, confusables, ivfpq, packing, setjoin, tokens
 from cratewave.session import table
 from cratewave.storage import materialize, spread
 
@@ -29,6 +29,13 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return ivfpq.pairs(lists).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
 
 
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of tracks with largely the same set of tags."""
+    tracks = table(spark, directory, "tracks").select("ord", "mytags", "tags")
+    found = setjoin.similar(tracks, key="ord", values=setjoin.value_set("mytags", "tags"), threshold="0.7", smallest=4)
+    return found.select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"))
+
+
 def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k; null and empty texts give an empty list."""
     return tokens.encode_corpus(spread(table(spark, directory, "documents").select("doc_id", "text")))
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_described": p1_described,
     "p3_found": p3_found,
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
