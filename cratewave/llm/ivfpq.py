@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cratewave.llm import vectors as V
+from cratewave.storage import materialize
 
 ROWS_PER_CELL = 200
 MAX_CELLS = 4096
@@ -172,11 +173,12 @@ def neighbours(
         q, n, c = search_cell(index, group["cell"][0].as_py(), group["id"].to_numpy(), group["role"].to_numpy(), group["v"].to_pylist(), codes, k + 1, least, shortlist)
         return pa.table([pa.array(q), pa.array(n), pa.array(c)], ["q", "n", "cosine"])
 
-    found = (
+    found = materialize(  # read by two branches below
         df.mapInArrow(assign, "cell int, salt int, id bigint, role tinyint, v binary, code binary")
-        .groupBy("cell", "salt").applyInArrow(search, "q bigint, n bigint, cosine double")
+        .groupBy("cell", "salt").applyInArrow(search, "q bigint, n bigint, cosine double"), "found",
     )
     members, groups = V.copies(df, "id", "v", k + 1, dim)
+    members, groups = materialize(members, "members"), materialize(groups, "groups")
     several = members.join(groups, ["k1", "k2"]).select("id", "k1", "k2", "ids")
     wide = (
         found.join(several.select(F.col("id").alias("n"), "ids"), "n", "left")
