@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratewave.llm import clusters, confusables, ivfpq, packing, setjoin, tokens
+from cratewave.llm import clusters, confusables, ivfpq, mojibake, packing, setjoin, tokens
 from cratewave.session import table
 from cratewave.storage import materialize, spread
 
@@ -29,6 +29,23 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return ivfpq.pairs(lists).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
 
 
+def _fields(spark: SparkSession, directory: str) -> DataFrame:
+    columns = ["title", "artist", "genre"]
+    tables = [(table(spark, directory, t).select(k, *columns), t, k) for t, k in (("tracks", "ord"), ("shop_rows", "row_id"))]
+    return mojibake.fields_of(tables, columns)
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """The fields that hold text decoded with a wrong encoding."""
+    _, places = mojibake.damaged(_fields(spark, directory))
+    return places.select("table_name", "row_id", "field_name").distinct()
+
+
+def p4_restored(spark: SparkSession, directory: str) -> DataFrame:
+    """The damaged fields with their original text."""
+    return mojibake.restore(_fields(spark, directory))
+
+
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of tracks with largely the same set of tags."""
     tracks = table(spark, directory, "tracks").select("ord", "mytags", "tags")
@@ -74,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_described": p1_described,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_restored": p4_restored,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
