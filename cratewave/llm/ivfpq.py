@@ -26,9 +26,9 @@ from cratewave.storage import materialize
 ROWS_PER_CELL = 200
 MAX_CELLS = 4096
 SAMPLE_PER_CELL, LEAST_SAMPLE = 24, 16_384
-MARGIN, MOST_PROBES = 0.12, 6
-PARTS, WORDS = 32, 256
-SHORTLIST = 192
+MARGIN, MOST_PROBES = 0.1, 4
+PARTS, WORDS = 16, 256
+SHORTLIST = 256
 #: Members up to which a cell is one task.
 CELL_ROWS = 6000
 
