@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratewave.llm import clusters, confusables, ivfpq, mojibake, packing, setjoin, tokens
+from cratewave.llm import clusters, confusables, ivfpq, mojibake, names, packing, setjoin, tokens
 from cratewave.session import table
 from cratewave.storage import materialize, spread
 
@@ -23,6 +23,17 @@ def p1_described(spark: SparkSession, directory: str) -> DataFrame:
     return clusters.describe(materialize(clusters.clusters(vectors), "clusters"), vectors)
 
 
+def p2_classes(spark: SparkSession, directory: str) -> DataFrame:
+    """The class of every row that names an artist."""
+    return names.resolve(table(spark, directory, "artist_credits").select("credit_id", "artist"))
+
+
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of rows that name the same person, duo or group."""
+    classes = materialize(p2_classes(spark, directory), "classes")
+    return names.same_artist(classes).select(F.col("a").alias("credit_a"), F.col("b").alias("credit_b"))
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of usable vectors of which one is among the five most similar of the other."""
     lists = ivfpq.neighbours(table(spark, directory, "track_vectors").select("vec_id", "embedding"))
@@ -90,6 +101,8 @@ def p8_forms(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_described": p1_described,
+    "p2_found": p2_found,
+    "p2_classes": p2_classes,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
