@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from cratewave.functions import scores as S
 from cratewave.functions import text as T
 from cratewave.functions import vectors as V
 from cratewave.operators import knn
+from cratewave.storage import materialize
 
 #: Tags that profiles are learned and shipped for at most: a vocabulary, not data (10,000 x 128 numbers are 10 MB).
 MAX_PROFILES = 10_000
@@ -19,16 +24,54 @@ def tagged(tracks: DataFrame, vectors: DataFrame) -> DataFrame:
     return tracks.select("ord", F.posexplode(T.clean_tags(F.col("mytags"))).alias("pos", "tag")).join(vectors.select("ord", V.unit(F.col("v")).alias("v")), "ord")
 
 
+def _sums(rows: DataFrame) -> DataFrame:
+    """(tag, n, s): count and sum of the vectors of each tag, one row per tag and batch of the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            names, inverse = np.unique(np.array(b.column("tag").to_pylist(), dtype=object).astype(str), return_inverse=True)
+            order = np.argsort(inverse, kind="stable")
+            edges = np.flatnonzero(np.diff(inverse[order], prepend=-1))
+            s = np.add.reduceat(x[order], edges, axis=0) if len(order) else np.empty((0, 1))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * s.shape[1], pa.int32()), pa.array(s.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), pa.array(np.bincount(inverse, minlength=len(names)).astype(np.int64)), flat], ["tag", "n", "s"])
+
+    return rows.select("tag", "v").mapInArrow(run, "tag string, n bigint, s array<double>")
+
+
 def profiles(tracks: DataFrame, vectors: DataFrame, min_samples: int = 3) -> DataFrame:
     """(tag, samples, centroid, mean_sim, std_sim, threshold) of every tag with at least `min_samples` tagged tracks.
 
     The centroid is the unit mean of the unit vectors; the threshold is the mean similarity to it less the population's
-    standard deviation. Sums run per (tag, position), so a tag that a third of all tracks carry combines before it is
-    shuffled. `tracks` and `vectors` are read twice."""
+    standard deviation. Both passes add up per batch before anything is shuffled, so a tag that a third of all tracks
+    carry sends as little as any other. `tracks` and `vectors` are read twice."""
     rows = tagged(tracks, vectors)
-    sums = rows.select("tag", F.posexplode("v").alias("p", "x")).groupBy("tag", "p").agg(F.avg("x").alias("x"), F.count("*").alias("n")).where(F.col("n") >= max(1, min_samples))
-    centre = sums.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("c"), F.max("n").alias("samples")).select("tag", "samples", V.unit(F.col("c.x")).alias("centroid"))
-    sims = rows.join(centre.select("tag", "centroid"), "tag").groupBy("tag").agg(F.avg(V.dot(F.col("v"), F.col("centroid"))).alias("mean_sim"), F.stddev_pop(V.dot(F.col("v"), F.col("centroid"))).alias("std_sim"))
+    sums = _sums(rows).select("tag", "n", F.posexplode("s").alias("p", "x")).groupBy("tag", "p").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).where(F.col("n") >= max(1, min_samples))
+    centre = sums.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("p", (F.col("x") / F.col("n")).alias("x")))).alias("c"), F.max("n").alias("samples")).select("tag", "samples", V.unit(F.col("c.x")).alias("centroid"))
+    centre = materialize(centre, "centroids")
+    known = {r["tag"]: np.array(r["centroid"]) for r in centre.select("tag", "centroid").limit(MAX_PROFILES + 1).collect()}
+    if len(known) > MAX_PROFILES:
+        raise ValueError(f"more than {MAX_PROFILES} tags: learn them in parts")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, x = b.column("tag").to_pylist(), b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            got: dict[str, list[float]] = {}
+            at = [i for i, t in enumerate(names) if t in known]
+            sims = np.einsum("ij,ij->i", x[at], np.array([known[names[i]] for i in at])) if at else []
+            for i, v in zip(at, sims):
+                g = got.setdefault(names[i], [0, 0.0, 0.0])
+                g[0] += 1
+                g[1] += v
+                g[2] += v * v
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(got), pa.string()), *(pa.array([g[k] for g in got.values()], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64())))], ["tag", "n", "s", "q"]
+            )
+
+    total = rows.select("tag", "v").mapInArrow(spread, "tag string, n bigint, s double, q double").groupBy("tag").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    mean = F.col("s") / F.col("n")
+    sims = total.select("tag", mean.alias("mean_sim"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)).alias("std_sim"))
     return centre.join(sims, "tag").withColumn("threshold", F.col("mean_sim") - F.col("std_sim"))
 
 
@@ -144,8 +187,6 @@ def diverse(rows: DataFrame, n: int) -> DataFrame:
 
     Each step is one aggregate over the table, which keeps its distance to the chosen rows, so any number of rows works;
     n itself is small (a list for a person), and the chosen vectors are all that reaches the driver."""
-    from cratewave.storage import materialize
-
     first = rows.orderBy(F.desc("uncertainty"), "ord").limit(1).collect()
     if not first:
         return rows.select(F.lit(0).alias("pick"), "ord").limit(0)

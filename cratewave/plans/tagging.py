@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cratewave.operators import tags as G
 from cratewave.plans import register, sql
 from cratewave.plans.library import tracks, vectors
+from cratewave.storage import materialize
 
 query, QUERIES, ORACLES = register()
 
@@ -26,7 +27,7 @@ _PRUNE = "pr AS (SELECT * FROM ev WHERE score < threshold - 0.02)"
 def learned(spark, d):
     """(tracks, vectors, profiles)"""
     t, v = tracks(spark, d), vectors(spark, d)
-    return t, v, G.profiles(t, v)
+    return t, v, materialize(G.profiles(t, v), "profiles")
 
 
 def free_rows(t, v):
