@@ -18,13 +18,26 @@ query, QUERIES, ORACLES = register()
 # outside lists
 
 _SPLIT = "list_filter(list_transform(string_split(replace({0}, ';', ','), ','), lambda t: trim(t)), lambda t: t <> '')"
-_MATCH = """m AS (SELECT t.ord, s.* FROM shop_rows s JOIN tracks t ON lower(trim(coalesce(s.artist, ''))) = lower(trim(coalesce(t.artist, ''))) AND lower(trim(coalesce(s.title, ''))) = lower(trim(coalesce(t.title, ''))))"""
+# the shop's own rows, and bought copies of every tenth track as a shop writes them: other case, blanks, other delimiters
+_SHOP = """sr AS (SELECT row_id, artist, title, tags, genre, subgenre FROM shop_rows UNION ALL
+  SELECT 100000000 + ord, upper(artist), ' ' || title, coalesce(array_to_string(tags, '; '), ''), CASE WHEN ord % 20 = 0 THEN 'Bought' END, NULL FROM tracks WHERE ord % 10 = 0)"""
+_MATCH = _SHOP + """, m AS (SELECT t.ord, s.* FROM sr s JOIN tracks t ON lower(trim(coalesce(s.artist, ''))) = lower(trim(coalesce(t.artist, ''))) AND lower(trim(coalesce(s.title, ''))) = lower(trim(coalesce(t.title, ''))))"""
+
+
+def shop(spark, d):
+    """Rows of `_SHOP`."""
+    own = table(spark, d, "shop_rows").select("row_id", "artist", "title", "tags", "genre", "subgenre")
+    bought = tracks(spark, d).where("ord % 10 = 0").select(
+        (F.lit(100000000) + F.col("ord")).alias("row_id"), F.upper("artist").alias("artist"), F.concat(F.lit(" "), "title").alias("title"), F.coalesce(F.array_join("tags", "; "), F.lit("")).alias("tags"),
+        F.when(F.col("ord") % 20 == 0, "Bought").alias("genre"), F.lit(None).cast("string").alias("subgenre"),
+    )
+    return own.unionByName(bought)
 
 
 @query("bandcamp_merge", f"""WITH {_MATCH}, b AS (SELECT ord, arg_min(coalesce(tags, ''), row_id) AS first_tags, arg_max(genre, row_id) FILTER (WHERE coalesce(genre, '') <> '') AS g, arg_max(subgenre, row_id) FILTER (WHERE coalesce(subgenre, '') <> '') AS sg, count(*) AS rows FROM m GROUP BY ord)
   SELECT t.ord, array_to_string(coalesce(t.tags, list_sort(list_distinct({_SPLIT.format("b.first_tags")}))), '|') AS tags, coalesce(b.g, t.genre) AS genre, coalesce(b.sg, t.subgenre) AS subgenre, b.rows FROM tracks t JOIN b USING (ord)""")
 def bandcamp_merge(spark, d):
-    return matching.merge_shop(table(spark, d, "shop_rows"), tracks(spark, d)).select("ord", F.array_join("tags", "|").alias("tags"), "genre", "subgenre", "rows")
+    return matching.merge_shop(shop(spark, d), tracks(spark, d)).select("ord", F.array_join("tags", "|").alias("tags"), "genre", "subgenre", "rows")
 
 
 @query("shop_tags", f"SELECT row_id, array_to_string({_SPLIT.format('tags')}, '|') AS tags, len({_SPLIT.format('tags')})::INTEGER AS n FROM shop_rows WHERE tags IS NOT NULL")
@@ -35,10 +48,10 @@ def shop_tags(spark, d):
     return rows.select("row_id", F.array_join("t", "|").alias("tags"), F.size("t").alias("n"))
 
 
-@query("csv_mirror", """WITH s AS (SELECT lower(trim(coalesce(artist, ''))) AS a, lower(trim(coalesce(title, ''))) AS t, min(row_id) AS row_id FROM shop_rows GROUP BY 1, 2)
+@query("csv_mirror", f"""WITH {_SHOP}, s AS (SELECT lower(trim(coalesce(artist, ''))) AS a, lower(trim(coalesce(title, ''))) AS t, min(row_id) AS row_id FROM sr GROUP BY 1, 2)
   SELECT t.ord, min(s.row_id) AS first_row FROM tracks t JOIN s ON contains(lower(coalesce(t.artist, '')), s.a) AND contains(lower(coalesce(t.title, '')), s.t) GROUP BY t.ord""")
 def csv_mirror(spark, d):
-    return matching.mirror_playlist(table(spark, d, "shop_rows"), tracks(spark, d))
+    return matching.mirror_playlist(shop(spark, d), tracks(spark, d))
 
 
 # beats: the events of a user stand for the beats of a track
