@@ -19,8 +19,8 @@ BLOCK = 4096
 def current_vectors(vectors: DataFrame, dim: int = DIM) -> DataFrame:
     """(ord, vec_id, v) of the newest usable vector of each track; of several built at once the highest vec_id."""
     good = vectors.where(V.usable(F.col("embedding"), dim) & F.col("ord").isNotNull())
-    newest = F.struct(F.col("built_at").isNotNull().alias("has"), "built_at", "vec_id")
-    return good.groupBy("ord").agg(F.max_by(F.struct("vec_id", "embedding"), newest).alias("b")).select("ord", "b.vec_id", V.doubles(F.col("b.embedding")).alias("v"))
+    order = Window.partitionBy("ord").orderBy(F.col("built_at").desc_nulls_last(), F.desc("vec_id"))
+    return good.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("ord", "vec_id", V.doubles(F.col("embedding")).alias("v"))
 
 
 def index(vectors: DataFrame, tracks: DataFrame, dim: int = DIM) -> DataFrame:

@@ -24,20 +24,18 @@ def tagged(tracks: DataFrame, vectors: DataFrame) -> DataFrame:
     return tracks.select("ord", F.posexplode(T.clean_tags(F.col("mytags"))).alias("pos", "tag")).join(vectors.select("ord", V.unit(F.col("v")).alias("v")), "ord")
 
 
-def _sums(rows: DataFrame) -> DataFrame:
-    """(tag, n, s): count and sum of the vectors of each tag, one row per tag and batch of the input."""
+def _listed(tracks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(tags, v) of the tracks with tags and a vector, written once because two passes read it."""
+    tags = T.clean_tags(F.col("mytags"))
+    return materialize(tracks.select("ord", tags.alias("tags")).where(F.size("tags") > 0).join(vectors.select("ord", "v"), "ord").select("tags", "v"), "tagged")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            names, inverse = np.unique(np.array(b.column("tag").to_pylist(), dtype=object).astype(str), return_inverse=True)
-            order = np.argsort(inverse, kind="stable")
-            edges = np.flatnonzero(np.diff(inverse[order], prepend=-1))
-            s = np.add.reduceat(x[order], edges, axis=0) if len(order) else np.empty((0, 1))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * s.shape[1], pa.int32()), pa.array(s.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), pa.array(np.bincount(inverse, minlength=len(names)).astype(np.int64)), flat], ["tag", "n", "s"])
 
-    return rows.select("tag", "v").mapInArrow(run, "tag string, n bigint, s array<double>")
+def _unit_rows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Unit vectors of a batch of (tags, v), the row of each tag, and the tags."""
+    x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    lengths = b.column("tags").value_lengths().to_numpy(zero_copy_only=False)
+    return np.divide(x, n, out=x.copy(), where=n > 0), np.repeat(np.arange(b.num_rows), lengths), b.column("tags").flatten().to_pylist()
 
 
 def profiles(tracks: DataFrame, vectors: DataFrame, min_samples: int = 3) -> DataFrame:
@@ -45,9 +43,23 @@ def profiles(tracks: DataFrame, vectors: DataFrame, min_samples: int = 3) -> Dat
 
     The centroid is the unit mean of the unit vectors; the threshold is the mean similarity to it less the population's
     standard deviation. Both passes add up per batch before anything is shuffled, so a tag that a third of all tracks
-    carry sends as little as any other. `tracks` and `vectors` are read twice."""
-    rows = tagged(tracks, vectors)
-    sums = _sums(rows).select("tag", "n", F.posexplode("s").alias("p", "x")).groupBy("tag", "p").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).where(F.col("n") >= max(1, min_samples))
+    carry sends as little as any other. No tagged tracks give no rows."""
+    rows = _listed(tracks, vectors)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, owner, tags = _unit_rows(b)
+            names, inverse = np.unique(np.array(tags, dtype=object).astype(str), return_inverse=True)
+            if not len(names):
+                continue
+            order = np.argsort(inverse, kind="stable")
+            edges = np.flatnonzero(np.diff(inverse[order], prepend=-1))
+            s = np.add.reduceat(x[owner[order]], edges, axis=0)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * s.shape[1], pa.int32()), pa.array(s.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), pa.array(np.bincount(inverse, minlength=len(names)).astype(np.int64)), flat], ["tag", "n", "s"])
+
+    sums = rows.mapInArrow(add, "tag string, n bigint, s array<double>").select("tag", "n", F.posexplode("s").alias("p", "x"))
+    sums = sums.groupBy("tag", "p").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).where(F.col("n") >= max(1, min_samples))
     centre = sums.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("p", (F.col("x") / F.col("n")).alias("x")))).alias("c"), F.max("n").alias("samples")).select("tag", "samples", V.unit(F.col("c.x")).alias("centroid"))
     centre = materialize(centre, "centroids")
     known = {r["tag"]: np.array(r["centroid"]) for r in centre.select("tag", "centroid").limit(MAX_PROFILES + 1).collect()}
@@ -56,12 +68,12 @@ def profiles(tracks: DataFrame, vectors: DataFrame, min_samples: int = 3) -> Dat
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, x = b.column("tag").to_pylist(), b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            x, owner, tags = _unit_rows(b)
             got: dict[str, list[float]] = {}
-            at = [i for i, t in enumerate(names) if t in known]
-            sims = np.einsum("ij,ij->i", x[at], np.array([known[names[i]] for i in at])) if at else []
+            at = [i for i, t in enumerate(tags) if t in known]
+            sims = np.einsum("ij,ij->i", x[owner[at]], np.array([known[tags[i]] for i in at])) if at else []
             for i, v in zip(at, sims):
-                g = got.setdefault(names[i], [0, 0.0, 0.0])
+                g = got.setdefault(tags[i], [0, 0.0, 0.0])
                 g[0] += 1
                 g[1] += v
                 g[2] += v * v
@@ -69,7 +81,7 @@ def profiles(tracks: DataFrame, vectors: DataFrame, min_samples: int = 3) -> Dat
                 [pa.array(list(got), pa.string()), *(pa.array([g[k] for g in got.values()], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64())))], ["tag", "n", "s", "q"]
             )
 
-    total = rows.select("tag", "v").mapInArrow(spread, "tag string, n bigint, s double, q double").groupBy("tag").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    total = rows.mapInArrow(spread, "tag string, n bigint, s double, q double").groupBy("tag").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     mean = F.col("s") / F.col("n")
     sims = total.select("tag", mean.alias("mean_sim"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)).alias("std_sim"))
     return centre.join(sims, "tag").withColumn("threshold", F.col("mean_sim") - F.col("std_sim"))
