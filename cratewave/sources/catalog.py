@@ -67,7 +67,7 @@ def read_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFra
 
 def write_csv(df: DataFrame, folder: str) -> None:
     """A table as CSV files with headers."""
-    df.write.mode("overwrite").option("header", "true").csv(folder)
+    df.write.mode("overwrite").option("header", "true").option("escape", chr(34)).csv(folder)
 
 
 def read_npy(spark: SparkSession, folder: str) -> DataFrame:
