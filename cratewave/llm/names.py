@@ -101,7 +101,7 @@ class Lexicon:
     """Common words of the corpus and what shortened and other forms of them mean."""
 
     def __init__(self, common: list[str], nicknames: list[tuple[str, str]]) -> None:
-        self.given = sorted(w for w in common if len(w) > 2 and w not in GROUP_WORDS and w not in SHORT and w not in ("the", "and", "sound", "system"))
+        self.given = sorted(w for w in {*common, *NICKNAMES} if len(w) > 2 and w not in GROUP_WORDS and w not in SHORT and w not in ("the", "and", "sound", "system"))
         known = set(self.given)
         self.nick: dict[str, set[str]] = {}
         for g, n in [*((g, n) for g, many in NICKNAMES.items() for n in many), *nicknames]:
@@ -180,6 +180,14 @@ class Lexicon:
                 if i != keep:
                     marks[i] = "=" + items[i].rstrip(".")
             rest = [keep]
+        elif len(rest) > 2:
+            # a duo of uncommon given names: the core is before the comma, or on the side with more words, at its outer end
+            ahead = sum(w not in (",", "&") for w in split[: split.index("&")])
+            keep = rest[0] if comma is not None or len(items) - ahead == 1 else rest[-1] if ahead == 1 else None
+            for i in rest if keep is not None else ():
+                if i != keep:
+                    marks[i] = "=" + items[i].rstrip(".")
+            rest = rest if keep is None else [keep]
         cores = sorted({normal(items[i].rstrip(".")) for i in rest}, key=lambda c: (-len(c), c))
         if len(cores) > 1 and all(near(cores[0], c, 2) for c in cores[1:]):
             cores = cores[:1]
