@@ -40,12 +40,12 @@ def _recommend(k: int, top: int, camelot: bool, score: str, order: str) -> str:
       SELECT row_number() OVER (ORDER BY {order}) AS rank, ord, relation, round(dist, 6) AS dist, round(score, 6) AS score FROM f ORDER BY {order} LIMIT {top}"""
 
 
-@query("recommend", _recommend(75, 25, True, "0.0", "dist, label"))
+@query("recommend", _recommend(75, 25, True, "0.0::DOUBLE", "dist, label"))
 def recommend(spark, d):
     return rank.recommend(*seeded(spark, d))
 
 
-@query("recommend_no_key", _recommend(75, 25, False, "0.0", "dist, label"))
+@query("recommend_no_key", _recommend(75, 25, False, "0.0::DOUBLE", "dist, label"))
 def recommend_no_key(spark, d):
     return rank.recommend(*seeded(spark, d), camelot=False)
 
