@@ -49,3 +49,29 @@ def player_warnings(rows: DataFrame, sample_rate: str = "sample_rate", most: int
     """`ord`, `path` and a warning for sample rates that players may not support; missing rates count as 0."""
     rate = F.coalesce(F.col(sample_rate), F.lit(0))
     return rows.where(rate > most).select("ord", "path", F.concat(F.lit("Sample rate "), rate.cast("string"), F.lit("Hz may be unsupported")).alias("warning"))
+
+
+def stage(plan: DataFrame, move: bool = False, dry_run: bool = False) -> DataFrame:
+    """(ord, path, target, status) after copying or moving the files of a `stage_plan` on a file system that all tasks
+    share; files that are missing are skipped, and with `dry_run` nothing is touched. Runs when the result is read, once
+    per row; a repeated task finds its target and counts it as done."""
+    import os
+    import shutil
+
+    import pyarrow as pa
+
+    def work(batches):
+        for b in batches:
+            status = []
+            for path, target in zip(b.column("path").to_pylist(), b.column("target").to_pylist()):
+                if not os.path.exists(path):
+                    status.append("success" if move and os.path.exists(target) else "skipped")
+                elif dry_run:
+                    status.append("planned")
+                else:
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    (shutil.move if move else shutil.copy2)(path, target)
+                    status.append("success")
+            yield pa.RecordBatch.from_arrays([b.column("ord"), b.column("path"), b.column("target"), pa.array(status, pa.string())], ["ord", "path", "target", "status"])
+
+    return plan.select("ord", "path", "target").mapInArrow(work, "ord bigint, path string, target string, status string")

@@ -157,3 +157,20 @@ def set_tags(store: DataFrame, changes: DataFrame, known: DataFrame | None = Non
     new = changes if known is None else changes.join(known.select("path"), "path", "left_semi")
     kept = store.join(new.select("path"), "path", "left_anti")
     return kept.unionByName(new.where(F.size("tags") > 0).select("path", F.array_distinct("tags").alias("tags")))
+
+
+def add_tag(user_tags: DataFrame, path: str, tag: str, source: str = "user") -> DataFrame:
+    """User tags (path, tag) with one more; suggested tags have to be accepted instead and raise ValueError."""
+    if source == "ai":
+        raise ValueError("a suggestion is accepted, not added")
+    return user_tags.select("path", "tag").unionByName(user_tags.sparkSession.createDataFrame([(path, tag)], "path string, tag string")).distinct()
+
+
+def remove_tag(user_tags: DataFrame, path: str, tag: str) -> DataFrame:
+    """User tags without one of a track; one that is not there changes nothing."""
+    return user_tags.where(~((F.col("path") == path) & (F.col("tag") == tag)))
+
+
+def available(new: list[str], old: list[str]) -> list[str]:
+    """Tags to choose from: new ones first, each once."""
+    return list(dict.fromkeys([*new, *old]))

@@ -175,3 +175,44 @@ def parse_folders(text: str) -> list[str]:
             found = [part.strip("\"'")]
         out += [f for f in found if f not in out]
     return out
+
+
+def media_headers(files: DataFrame) -> DataFrame:
+    """(path, sample_rate, bitrate) from the headers of binary files (path, content); 0 where a header cannot be read."""
+
+    def read(batches):
+        import io
+        import wave
+
+        for b in batches:
+            rates, bits = [], []
+            for content in b.column("content").to_pylist():
+                rate = bit = 0
+                try:
+                    with wave.open(io.BytesIO(content or b"")) as w:
+                        rate, bit = w.getframerate(), w.getframerate() * w.getsampwidth() * 8 * w.getnchannels()
+                except (wave.Error, EOFError):
+                    pass
+                rates.append(rate)
+                bits.append(bit)
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(rates, pa.int32()), pa.array(bits, pa.int32())], ["path", "sample_rate", "bitrate"])
+
+    return files.select("path", "content").mapInArrow(read, "path string, sample_rate int, bitrate int")
+
+
+def clear_cache(folder: str, names: list[str] | None = None) -> int:
+    """Delete the folders of cached stems below a local folder, all or those of some names; returns how many."""
+    import shutil
+
+    if not os.path.isdir(folder):
+        return 0
+    gone = [e.path for e in os.scandir(folder) if e.is_dir() and (names is None or e.name.rpartition("_")[0] in names or e.name in names)]
+    for path in gone:
+        shutil.rmtree(path)
+    return len(gone)
+
+
+def stage_counts(results: DataFrame, stage: str = "stage", status: str = "status") -> DataFrame:
+    """(stage, success, errors, skipped) of the rows that stages of a pipeline have left."""
+    n = lambda s: F.count_if(F.col(status) == s)
+    return results.groupBy(F.col(stage).alias("stage")).agg(n("success").alias("success"), n("error").alias("errors"), n("skipped").alias("skipped"))

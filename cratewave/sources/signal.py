@@ -118,3 +118,55 @@ def features(signals: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["path", "bpm", "chroma", "samples", "bass", "rhythm"])
 
     return signals.select("path", "samples", "rate").mapInArrow(run, "path string, bpm double, chroma array<double>, samples double, bass array<double>, rhythm array<double>")
+
+
+#: The settings of the standard sampling profile, in seconds and shares.
+STANDARD = {"start_skip_s": 10.0, "main_len_s": 90.0, "tail_region": 0.7, "n_tail": 2, "tail_len_s": 30.0, "min_gap_s": 10.0, "force_tail_in_last_60s": True, "energy_onset_align": True}
+
+
+def peaks_above(x: np.ndarray, height: float, distance: int) -> np.ndarray:
+    """Positions of local maxima of at least a height, strongest first wherever two are nearer than a distance; in order of
+    position. A plateau counts at its middle."""
+    found = []
+    i = 1
+    while i < len(x) - 1:
+        j = i
+        while j + 1 < len(x) and x[j + 1] == x[i]:
+            j += 1
+        if x[i - 1] < x[i] and j + 1 < len(x) and x[j + 1] < x[i]:
+            found.append((i + j) // 2)
+        i = j + 1
+    found = np.array([p for p in found if x[p] >= height], int)
+    kept: list[int] = []
+    for p in found[np.argsort(-x[found], kind="stable")]:
+        if all(abs(p - q) >= distance for q in kept):
+            kept.append(int(p))
+    return np.array(sorted(kept), int)
+
+
+def profile_windows(onset: np.ndarray, times: np.ndarray, duration: float, settings: dict | None = None) -> list[tuple[float, float]]:
+    """Windows (start, end) to sample of a track: a long one from the first strong onset after the intro, and shorter ones
+    at the strongest onsets of the last part, at least a gap apart, of which one lies in the last minute of a long track."""
+    s = STANDARD | (settings or {})
+    gap = float(np.median(np.diff(times))) if len(times) > 1 else 0.1
+    after = np.flatnonzero(times >= s["start_skip_s"])
+    if not s["energy_onset_align"] or not len(after):
+        start = min(s["start_skip_s"], max(0.0, duration - 5.0))
+    else:
+        own = onset[after]
+        strong = peaks_above(own, float(np.percentile(own, 75)), max(1, int(5 / gap)))
+        start = float(times[after[strong[0] if len(strong) else int(own.argmax())]])
+    out = [(start, min(start + s["main_len_s"], max(0.0, duration - 5.0)))]
+    late = np.flatnonzero(times >= duration * s["tail_region"])
+    tails: list[tuple[float, float]] = []
+    if len(late):
+        own = onset[late]
+        strong = peaks_above(own, float(np.percentile(own, 60)), max(1, int(s["min_gap_s"] / gap)))
+        for p in strong[np.argsort(-own[strong], kind="stable")]:
+            at = float(min(times[late[p]], duration - s["tail_len_s"] - 1.0))
+            if len(tails) < s["n_tail"] and all(abs(at - t) >= s["min_gap_s"] for t, _ in tails):
+                tails.append((at, at + s["tail_len_s"]))
+    if s["force_tail_in_last_60s"] and duration > 90 and tails and all(t < duration - 60 for t, _ in tails):
+        at = max(duration - 60, duration - s["tail_len_s"] - 1)
+        tails[-1] = (at, at + s["tail_len_s"])
+    return out + tails

@@ -109,3 +109,79 @@ def test_signal_features(spark):
     got = {r.path: r for r in signal.features(df).collect()}
     assert set(got) == {"/a", "/silent"} and abs(got["/a"].bpm - 120) < 3 and int(np.argmax(got["/a"].chroma)) == 9 and len(got["/a"].bass) == 256 and got["/silent"].bpm == 0
     assert signal.pick_tails(np.array([0, 5, 0, 4, 0, 6, 0.0]), np.arange(7.0), 2, 3.0) == [5.0, 1.0]
+
+
+def wav(path, rate=96_000, n=100):
+    import wave
+
+    with wave.open(str(path), "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
+        w.writeframes(b"\0\1" * n)
+
+
+def test_headers_and_decoding(spark, tmp_path):
+    wav(tmp_path / "a.wav")
+    (tmp_path / "b.wav").write_bytes(b"no")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert sorted((r.path[-5:], r.sample_rate, r.bitrate) for r in C.media_headers(files).collect()) == [("a.wav", 96_000, 1_536_000), ("b.wav", 0, 0)]
+    assert [(len(r.samples), r.rate) for r in signal.decode(files).collect()] == [(100, 96_000)]
+
+
+def test_staging_files(spark, tmp_path):
+    from cratewave.operators import dedupe
+
+    for n in ("x", "y"):
+        (tmp_path / n).mkdir()
+        (tmp_path / n / "dup.wav").write_bytes(n.encode())
+    losers = spark.createDataFrame([(1, str(tmp_path / "x/dup.wav")), (2, str(tmp_path / "y/dup.wav")), (3, str(tmp_path / "gone.wav"))], "ord bigint, path string")
+    plan = dedupe.stage_plan(losers, str(tmp_path / "out"))
+    assert {r.status for r in dedupe.stage(plan, dry_run=True).collect()} == {"planned", "skipped"} and not (tmp_path / "out").exists()
+    assert sorted(r.status for r in dedupe.stage(plan).collect()) == ["skipped", "success", "success"]
+    assert (tmp_path / "out/dup.wav").read_bytes() == b"x" and (tmp_path / "out/dup_1.wav").read_bytes() == b"y" and (tmp_path / "x/dup.wav").exists()
+    dedupe.stage(plan, move=True).collect()
+    assert not (tmp_path / "x/dup.wav").exists()
+
+
+def test_stem_cache_and_counts(spark, tmp_path):
+    for n in ("one_m", "two_m"):
+        (tmp_path / n).mkdir()
+    assert C.clear_cache(str(tmp_path), ["one"]) == 1 and C.clear_cache(str(tmp_path)) == 1 and C.clear_cache(str(tmp_path / "none")) == 0
+    df = spark.createDataFrame([("embed", "success"), ("embed", "error"), ("index", "skipped")], "stage string, status string")
+    assert sorted(map(tuple, C.stage_counts(df).collect())) == [("embed", 1, 1, 0), ("index", 0, 0, 1)]
+
+
+def test_profile_windows():
+    times = np.arange(0, 300, 0.1)
+    onset = np.full(len(times), 0.1)
+    for at in (5, 31, 60, 230, 236, 290):
+        onset[int(at * 10)] = 1.0 + at / 1000
+    got = signal.profile_windows(onset, times, 300.0)
+    assert abs(got[0][0] - 31) < 0.2 and abs(got[0][1] - got[0][0] - 90) < 1e-6 and len(got) == 3
+    assert all(b - a == 30 for a, b in got[1:]) and any(a >= 240 for a, _ in got[1:]) and abs(got[1][0] - got[2][0]) >= 10
+    assert signal.profile_windows(np.zeros(0), np.zeros(0), 4.0) == [(0.0, 0.0)]
+
+
+def test_deck_source(spark, tmp_path):
+    spark.dataSource.register(logs.deck_source())
+    df = spark.readStream.format("decks").option("poll", "tests.decks:online").load()
+    q = df.writeStream.format("memory").queryName("decks").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            if spark.table("decks").count() >= 2:
+                break
+            q.awaitTermination(1)
+    finally:
+        q.stop()
+    r = spark.table("decks").orderBy("poll", "player").first()
+    assert (r.player, r.title, r.tempo) == (1, "T", 128.0)
+
+
+def test_user_tags(spark):
+    import pytest
+
+    from cratewave.operators import feedback
+
+    t = feedback.add_tag(spark.createDataFrame([("/1", "a")], "path string, tag string"), "/1", "b")
+    assert feedback.add_tag(t, "/1", "b").count() == 2 and feedback.remove_tag(t, "/1", "a").first().tag == "b" and feedback.available(["x", "y"], ["y", "z"]) == ["x", "y", "z"]
+    with pytest.raises(ValueError):
+        feedback.add_tag(t, "/1", "c", "ai")
