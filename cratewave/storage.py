@@ -2,7 +2,7 @@
 
 Lineage is cut by writing a table, so a lost executor costs a re-read instead of a recomputation. The folder is the
 cluster's `spark.checkpoint.dir`; only where that is unset (tests on one machine) a temporary folder of this machine is
-made and set.
+made and set. Tables stay readable as long as the program runs and are deleted at its end.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,7 @@ def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | No
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    _written.append((spark, path))
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,5 +52,12 @@ def spread(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
 
 @atexit.register
 def _clean() -> None:
+    for spark, path in _written:
+        try:  # the session may have ended before
+            jvm = spark._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:
+            break
     for folder in _own:
         shutil.rmtree(folder, ignore_errors=True)
