@@ -114,5 +114,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_forms": p8_forms,
 }
 
-#: Only what SQL can express over whole tables.
-ORACLES: dict[str, str] = {}
+_USABLE = "len(embedding) = 128 AND len(list_filter(embedding, lambda x: isfinite(x))) = 128 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_SETS = """s AS (SELECT ord, list_distinct(list_filter(list_transform(list_concat(coalesce(mytags, []::VARCHAR[]), coalesce(tags, []::VARCHAR[])), lambda t: lower(trim(t))), lambda t: t IS NOT NULL AND t <> '')) AS t FROM tracks),
+  f AS (SELECT ord, t, len(t) AS n FROM s WHERE len(t) >= 4), e AS (SELECT ord, n, unnest(t) AS tag FROM f)"""
+
+#: Only what SQL can express over whole tables: exact results, without the methods' means.
+ORACLES: dict[str, str] = {
+    # a cluster is a set of vectors that all have the same neighbours, namely this set
+    "p1_found": f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM track_vectors WHERE {_USABLE}), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+      p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON list_dot_product(a.e, b.e) >= 0.75), n AS (SELECT a, list(b ORDER BY b) AS l FROM p GROUP BY a)
+      SELECT l[1] AS cluster_id, a AS vec_id FROM (SELECT *, count(*) OVER (PARTITION BY l) AS same FROM n) WHERE same = len(l) AND len(l) >= 6""",
+    "p5_found": f"""WITH {_SETS}, o AS (SELECT a.ord AS ord_a, b.ord AS ord_b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM e a JOIN e b ON a.tag = b.tag AND a.ord < b.ord GROUP BY 1, 2)
+      SELECT ord_a, ord_b FROM o WHERE k * 10 >= 7 * (n + m - k)""",
+}
