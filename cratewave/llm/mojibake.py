@@ -342,7 +342,7 @@ def readings_of(word: str, model: Model, alphabet: dict[tuple[int, ...], list[st
 
 
 #: Score above which a reading is taken; see `damaged`.
-LIMIT = 2.0
+LIMIT = 1.0
 
 
 def fields_of(tables: list[tuple[DataFrame, str, str]], columns: list[str]) -> DataFrame:
@@ -385,7 +385,8 @@ def damaged(fields: DataFrame, *, limit: float = LIMIT) -> tuple[DataFrame, Data
 
     `fields` comes from `fields_of`. A word is damaged if it has replacement, control or private characters, or if one
     of its readings scores more than `limit`: gain in log likelihood under the character model, twice the oddness that
-    goes away, twice the log ratio of the words' counts, and 3 for readings as UTF-8, which rarely hold by chance.
+    goes away, twice the log ratio of the words' counts, and 3 for readings as UTF-8, which rarely hold by chance, 6 if
+    oddness goes away, too. A reading that is neither UTF-8 nor less odd must be a word of the corpus.
     Null, empty and plain ASCII values are not damaged. All counts are taken over all words of all fields.
     """
     spark = fields.sparkSession
@@ -411,15 +412,16 @@ def damaged(fields: DataFrame, *, limit: float = LIMIT) -> tuple[DataFrame, Data
             for token, key in zip(b.column("token").to_pylist(), b.column("key").to_pylist()):
                 lost = any(c == LOST or unicodedata.category(c) in ("Cc", "Co", "Cn") for c in token)
                 if lost:
-                    rows.append((token, key, None, None, 0.0))
+                    rows.append((token, key, None, None, 0.0, False))
                 for text, kind, gain, odd in readings_of(token, model, alphabet):
-                    rows.append((token, key, text, key_of(text), gain + 2.0 * odd + (3.0 if kind == "utf-8" else 0.0)))
+                    bonus = (6.0 if odd > 0 else 3.0) if kind == "utf-8" else 0.0
+                    rows.append((token, key, text, key_of(text), gain + 2.0 * odd + bonus, kind != "utf-8" and odd <= 0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.float64()))],
-                ["token", "key", "reading", "reading_key", "gain"],
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_()))],
+                ["token", "key", "reading", "reading_key", "gain", "known_only"],
             )
 
-    found = words.repartition(4 * spark.sparkContext.defaultParallelism, "token").mapInArrow(read, "token string, key string, reading string, reading_key string, gain double")
+    found = words.repartition(4 * spark.sparkContext.defaultParallelism, "token").mapInArrow(read, "token string, key string, reading string, reading_key string, gain double, known_only boolean")
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -445,6 +447,7 @@ def damaged(fields: DataFrame, *, limit: float = LIMIT) -> tuple[DataFrame, Data
 
     scored = (
         found.join(counts.withColumnRenamed("n", "own"), "key").join(counts.select(F.col("key").alias("reading_key"), F.col("n").alias("its")), "reading_key", "left")
+        .where("not known_only or its is not null")
         .select("token", "reading", F.when(F.col("reading").isNull(), F.lit(float(limit)) + 1e-6).otherwise(F.col("gain") + 2 * F.log((F.coalesce("its", F.lit(0)) + 0.3) / (F.col("own") + 0.3))).alias("score"))
         .unionByName(words.select("token", "key").join(by_mask, "key").select("token", "reading", "score").mapInArrow(cased, "token string, reading string, score double"))
         .where(F.col("score") > limit)
