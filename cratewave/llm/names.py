@@ -100,8 +100,16 @@ def quoted(name: str) -> tuple[str, str] | None:
 class Lexicon:
     """Common words of the corpus and what shortened and other forms of them mean."""
 
-    def __init__(self, common: list[str], nicknames: list[tuple[str, str]]) -> None:
-        self.given = sorted(w for w in {*common, *NICKNAMES} if len(w) > 2 and w not in GROUP_WORDS and w not in SHORT and w not in ("the", "and", "sound", "system"))
+    def __init__(self, common: dict[str, int], nicknames: list[tuple[str, str]]) -> None:
+        """`common`: words and how many different neighbours they have. A word that is a typing error of one with four
+        times as many, or of a group word, is left out, however common."""
+        kept: dict[str, int] = {}
+        for w, n in sorted(common.items(), key=lambda z: (-z[1], z[0])):
+            group = w in GROUP_WORDS or w in SHORT or w in ("the", "and", "sound", "system") or any(near(w, g, slack(w)) for g in GROUP_WORDS)
+            if len(w) > 2 and not group and not any(len(s) > 4 and s[0] == w[0] and near(w, s, 1) for s in SHORT):
+                if not any(m >= 4 * n and near(w, g, min(slack(w), slack(g))) for g, m in kept.items()):
+                    kept[w] = n
+        self.given = sorted({*kept, *NICKNAMES})
         known = set(self.given)
         self.nick: dict[str, set[str]] = {}
         for g, n in [*((g, n) for g, many in NICKNAMES.items() for n in many), *nicknames]:
@@ -135,7 +143,7 @@ class Lexicon:
             short = len(shorts) == 1 and len(w) == 4 and not any(g.startswith(w) for g in self.known)
             return "#" + shorts.pop() if short else "~" + w
         for vocabulary, mark in ((self.known, "="), (GROUP_WORDS, "#")):
-            close = [g for g in vocabulary if g[0] in w[:2] and near(g, w, slack(min(g, w, key=len)))]
+            close = [g for g in vocabulary if g[0] in w[:2] and near(g, w, slack(min(g, w, key=len)) or (len(g) == 3 and g[0] == w[0] and len(w) > 2))]
             if close:
                 return mark + min(close, key=lambda g: (not near(g, w, 1), g))
         if dotted:
@@ -234,7 +242,8 @@ def _fits(x: str, y: str) -> bool:
     if y[0] != "=" or x[0] == "#":
         return False
     if x[0] == "~":
-        return y[1:].startswith(x[1:]) or len(x) > 2 and near(y[1 : len(x)], x[1:], 1) and y[1] == x[1]
+        part, whole = normal(x[1:]), normal(y[1:])
+        return whole.startswith(part) or len(part) > 2 and whole[0] == part[0] and any(near(whole[:k], part, 1) for k in (len(part) - 1, len(part), len(part) + 1))
     if x[0] == "?":
         return y[1:] in x[1:].split("|")
     return similar_given(x[1:], y[1:])
@@ -242,7 +251,7 @@ def _fits(x: str, y: str) -> bool:
 
 def similar_given(x: str, y: str) -> bool:
     """Two given names outside the common ones: typing errors, a shortening, or the end of the other."""
-    if near(x, y, slack(min(x, y, key=len))):
+    if near(x, y, max(slack(min(x, y, key=len)), x[0] == y[0] and min(len(x), len(y)) > 2)):
         return True
     short, long = sorted((x, y), key=len)
     return len(short) >= 3 and (long.startswith(short) or len(short) >= 4 and long.endswith(short))
@@ -284,11 +293,11 @@ def lexicon_of(rows: DataFrame) -> Lexicon:
     common = (
         pairs.join(weight.withColumnRenamed("total", "own"), "w").join(weight.select(F.col("w").alias("v"), F.col("total").alias("its")), "v")
         .groupBy("w").agg(F.first("different").alias("different"), (F.sum(F.when(F.col("its") < F.col("own"), F.col("n")).otherwise(0)) / F.sum("n")).alias("rarer"))
-        .where((F.col("different") >= max(COMMON, total // COMMON_SHARE)) & (F.col("rarer") >= 0.6)).select("w")
+        .where((F.col("different") >= max(COMMON, total // COMMON_SHARE)) & (F.col("rarer") >= 0.6)).select("w", "different")
     )
     # a nickname is told by at least a ten-thousandth of the rows, which bounds the pairs
     told = rows.mapInArrow(nicknames, "given string, nick string").groupBy("given", "nick").count().where(F.col("count") >= max(1, total // 10_000))
-    return Lexicon([r.w for r in common.collect()], [(r.given, r.nick) for r in told.collect()])
+    return Lexicon({r.w: r.different for r in common.collect()}, [(r.given, r.nick) for r in told.collect()])
 
 
 def resolve(df: DataFrame, *, key: str = "credit_id", name: str = "artist", most_rounds: int = 8) -> DataFrame:
@@ -364,12 +373,15 @@ def resolve(df: DataFrame, *, key: str = "credit_id", name: str = "artist", most
         ).where("pa <> pb")
         settled = forms.where("not attributes rlike '[~?]' and kind <> 'b'").join(profiles, "form", "left").select(F.coalesce("profile", "form").alias("pa")).distinct()
         open_ = materialize(open_.join(settled, "pa", "left_anti").distinct(), "open")
+        # what a profile means: its first full attributes
+        canon = forms.where("not attributes rlike '[~?]' and kind <> 'b'").join(profiles, "form", "left").groupBy(F.coalesce("profile", "form").alias("pb")).agg(F.min("attributes").alias("canon"))
+        open_ = open_.join(canon, "pb", "left")
         # full forms come first; where there are none, a longer shortened form
         open_ = open_.where(full).unionByName(open_.where(~full).join(open_.where(full).select("pa").distinct(), "pa", "left_anti"))
         # where the very same core fits, others that are only near do not count
         exact = open_.where("exact").select("pa").distinct()
         near_ = open_.where("exact").unionByName(open_.join(exact, "pa", "left_anti"))
-        only = near_.groupBy("pa").agg(F.countDistinct(F.when(full, F.concat_ws(" ", "kind", "attributes")).otherwise(F.col("pb").cast("string"))).alias("meanings")).where("meanings = 1").select("pa")
+        only = near_.groupBy("pa").agg(F.countDistinct(F.when(full, F.concat_ws(" ", "kind", F.coalesce("canon", "attributes"))).otherwise(F.col("pb").cast("string"))).alias("meanings")).where("meanings = 1").select("pa")
         new = materialize(near_.join(only, "pa").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "new")
         links = materialize(links.unionByName(new).distinct(), "links")
         count = links.count()
