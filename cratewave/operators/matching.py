@@ -23,14 +23,18 @@ def shop_matches(rows: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def merge_shop(rows: DataFrame, tracks: DataFrame) -> DataFrame:
-    """(ord, tags, genre, subgenre) of matched tracks: tags of the first matching row where the track has none (null), the
-    sorted set of them; genre and subgenre of the last row that has one, else the track's own."""
-    m = shop_matches(rows, tracks)
+    """(ord, tags, genre, subgenre, rows) of matched tracks: tags of the first matching row where the track has none
+    (null), the sorted set of them; genre and subgenre of the last row that has one, else the track's own.
+
+    Shop rows are put together by name first, so each track meets one row: many blank names on both sides cost no more
+    than others."""
     filled = lambda c: F.max_by(c, F.when(F.coalesce(c, F.lit("")) != "", F.col("row_id"))).alias(f"new_{c}")
-    best = m.groupBy("ord").agg(F.min_by(F.coalesce("tags", F.lit("")), "row_id").alias("first_tags"), filled("genre"), filled("subgenre"), F.count("*").alias("rows"))
+    named = rows.groupBy(_low("artist").alias("_a"), _low("title").alias("_t"))
+    best = named.agg(F.min_by(F.coalesce("tags", F.lit("")), "row_id").alias("first_tags"), filled("genre"), filled("subgenre"), F.count("*").alias("rows"))
     new_tags = F.array_sort(F.array_distinct(T.split_tags(F.col("first_tags"))))
     pick = lambda c: F.when(F.coalesce(F.col(f"new_{c}"), F.lit("")) != "", F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
-    return tracks.select("ord", "tags", "genre", "subgenre").join(best, "ord").select("ord", F.coalesce("tags", new_tags).alias("tags"), pick("genre"), pick("subgenre"), "rows")
+    own = tracks.select("ord", "tags", "genre", "subgenre", _low("artist").alias("_a"), _low("title").alias("_t"))
+    return own.join(best, ["_a", "_t"]).select("ord", F.coalesce("tags", new_tags).alias("tags"), pick("genre"), pick("subgenre"), "rows")
 
 
 def mirror_playlist(rows: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -45,13 +49,13 @@ def mirror_playlist(rows: DataFrame, tracks: DataFrame) -> DataFrame:
     part = (F.col("ra") == "") | F.contains(F.col("ta"), F.col("ra"))
     part = part & ((F.col("rt") == "") | F.contains(F.col("tt"), F.col("rt")))
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda i: F.substring(c, i, F.lit(GRAM))))
-    field = lambda c, f: t.where(F.length(c) >= GRAM).select("ord", "ta", "tt", F.lit(f).alias("f"), F.explode(grams(F.col(c))).alias("g"))
+    field = lambda c, f: t.where(F.length(c) >= GRAM).select("ord", F.lit(f).alias("f"), F.explode(grams(F.col(c))).alias("g"))
     by_gram = field("ta", "a").unionByName(field("tt", "t"))
     frequency = by_gram.groupBy("f", "g").agg(F.count("*").alias("n"))
     in_title = F.length("rt") >= F.length("ra")
     long = r.where((F.length("ra") >= GRAM) | (F.length("rt") >= GRAM)).select("*", F.when(in_title, "t").otherwise("a").alias("f"), F.explode(grams(F.when(in_title, F.col("rt")).otherwise(F.col("ra")))).alias("g"))
     rarest = long.join(frequency, ["f", "g"], "left").groupBy("row_id", "ra", "rt", "f").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
-    found = rarest.join(by_gram, ["f", "g"]).where(part).select("ord", "row_id")
+    found = rarest.join(by_gram, ["f", "g"]).join(t, "ord").where(part).select("ord", "row_id")
     short = r.where((F.length("ra") < GRAM) & (F.length("rt") < GRAM)).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rest = short.join(t.withColumn("s", F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int")), "s").where(part).select("ord", "row_id")
     return found.unionByName(rest).groupBy("ord").agg(F.min("row_id").alias("first_row"))
