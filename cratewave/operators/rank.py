@@ -24,6 +24,10 @@ PRESETS = {
 }
 
 
+#: What rankings return; no rows for a seed that was not found (None).
+RESULT = "rank int, ord bigint, relation string, dist double, score double"
+
+
 @dataclass
 class RankingSpec:
     """Weights and filters of a ranking."""
@@ -60,6 +64,8 @@ def recommend(rows: DataFrame, seed, *, top: int = 25, extra: int = 50, tempo_pc
     is left is ordered by distance, or by the weighted score if any weight is set. Fewer than `top` rows may be left.
 
     `rows` has label, ord, path, camelot, bpm, samples, v, and bass and rhythm if they are weighted."""
+    if seed is None:
+        return rows.sparkSession.createDataFrame([], RESULT)
     weights = {k: w for k, w in (weights or {}).items() if w}
     # the limit is a barrier: filters below it would change the pool
     pool = knn.nearest_to(rows, seed["v"], top + extra, "label").where(F.col("ord") != seed["ord"])
@@ -108,6 +114,8 @@ def sequence(rows: DataFrame, seeds: DataFrame, *, top: int = 25, pool: int = 10
 def discover(rows: DataFrame, seed, spec: RankingSpec, *, top: int = 50) -> DataFrame:
     """Weighted discovery: the nearest 4 x `top` rows, filtered by tempo, tags and key relations, by a score over the
     sum of the weights. `rows` has label, ord, camelot, bpm, samples, tags, mytags, bass, rhythm, v."""
+    if seed is None:
+        return rows.sparkSession.createDataFrame([], RESULT)
     w = {k: spec.weights.get(k, 0.0) for k in WEIGHTS}
     total = sum(w.values())
     total = total if total > 0 else 1.0

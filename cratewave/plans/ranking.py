@@ -17,9 +17,9 @@ _SEED_SQL = """s AS (SELECT * FROM idx WHERE contains(lower(path), 'forum/d1') O
 
 
 def indexed(spark, d):
-    """Index rows with what rankings need of the catalog."""
-    rows = knn.index(table(spark, d, "track_vectors"), tracks(spark, d)).drop("path")
-    return rows.join(tracks(spark, d), "ord")
+    """Index rows with what rankings need of the catalog. Rankings use labels only to order, and labels follow `ord`, so
+    positions need not be counted here."""
+    return vectors(spark, d).select("ord", "v").join(tracks(spark, d), "ord").withColumn("label", F.col("ord"))
 
 
 def seeded(spark, d, extra=False):

@@ -219,3 +219,10 @@ def test_hot_keys_are_not_lost(spark):
     n = 3000
     t = spark.range(n).select(F.col("id").alias("ord"), F.lit("/same.mp3").alias("path"), F.lit("x").alias("artist"), F.lit("y").alias("title"), F.lit(1).alias("duration"), F.lit(0).alias("lossless"), F.lit(1).alias("bitrate"))
     assert dedupe.keep_best(dedupe.names_key(t)).count() == n - 1 and catalog.latest(t).count() == 1
+
+
+def test_no_seed_no_rows(spark):
+    df = spark.createDataFrame([], "label bigint, ord bigint, path string, artist string, title string, camelot string, bpm double, samples double, v array<double>")
+    seed = rank.resolve_seed(df, "x")
+    assert seed is None and rank.recommend(df, seed).count() == 0 and rank.discover(df, seed, rank.RankingSpec()).count() == 0
+    assert rank.sequence(df, df).count() == 0 and knn.nearest_for_all(df, df, 3).count() == 0
