@@ -6,8 +6,9 @@ of the values in its prefix: two sets that are similar enough share a value ther
 of its classes, sorted by size, and each class probes them: for a record of n values, a partner must occur on at least
 T = ceil(threshold * n) of its lists. The L longest lists are set aside, the others are merged by a heap that skips
 ahead where fewer than T - L lists can meet, and survivors are looked up in the long lists by binary search. A pair is
-emitted in the partition of its first common prefix value only. Partitions that hold many classes are split: probes by
-a salt, lists copied to each salt. No candidate is capped.
+emitted in the partition of its first common prefix value only. A partition that holds many classes is cut into blocks,
+and each pair of blocks is a task of its own, so its size is bounded however many classes share a value. No candidate is
+capped.
 
 Values are compared by 64-bit hashes; two values of one pair colliding has a chance below 1e-15.
 """
@@ -29,7 +30,7 @@ from cratewave.storage import materialize
 
 BUCKETS = 1 << 16
 PARTITION_CLASSES = 1000
-SALT_CLASSES = 6000
+BLOCK_CLASSES = 6000
 
 
 def value_set(*arrays: str) -> Column:
@@ -71,16 +72,16 @@ def merge(lists: list[list[int]], bounds: list[tuple[int, int]], least: int) ->
                 heapq.heappush(heap, (lists[i][at[i]], i))
 
 
-def join_block(records: list[list[int]], probes: list[int], threshold: Fraction, across: list[int] | None = None, weight: float = 0.02) -> Iterator[tuple[int, int]]:
-    """Pairs (probe, earlier record) of similar sets; `records` are sorted by size, `across` holds their tables if the
-    pair must be of two."""
+def join_block(records: list[list[int]], threshold: Fraction, apart: tuple[list[int], ...] = (), weight: float = 0.02) -> Iterator[tuple[int, int]]:
+    """Pairs (record, earlier record) of similar sets; `records` are sorted by size, `apart` holds labels of the records
+    in which the two of a pair must differ."""
     num, den = threshold.numerator, threshold.denominator
     lists: dict[int, list[int]] = {}
     for i, r in enumerate(records):
         for v in r:
             lists.setdefault(v, []).append(i)
     sizes = [len(r) for r in records]
-    for p in probes:
+    for p in range(len(records)):
         n = sizes[p]
         least = -(-num * n // den)
         start = bisect_left(sizes, least)
@@ -96,7 +97,7 @@ def join_block(records: list[list[int]], probes: list[int], threshold: Fraction,
         aside = min(least - 1, int(least / (weight * math.log2(chosen[-1][0] + 1) + 1)))
         short, long = chosen[: len(chosen) - aside], chosen[len(chosen) - aside :]
         for c, count in merge([z[1] for z in short], [(z[2], z[3]) for z in short], max(1, least - aside)):
-            if across is not None and across[c] == across[p]:
+            if any(label[c] == label[p] for label in apart):
                 continue
             need = -(-num * (n + sizes[c]) // (num + den))
             left = len(long)
@@ -113,7 +114,7 @@ def join_block(records: list[list[int]], probes: list[int], threshold: Fraction,
 
 def similar(
     df: DataFrame, *, key: str, values: Column, threshold: str = "0.7", smallest: int = 1, other: DataFrame | None = None, other_values: Column | None = None,
-    partition_classes: int = PARTITION_CLASSES, salt_classes: int = SALT_CLASSES,
+    partition_classes: int = PARTITION_CLASSES, block_classes: int = BLOCK_CLASSES,
 ) -> DataFrame:
     """(a, b): pairs of rows with sets of at least `smallest` values and a Jaccard similarity of `threshold` or more.
 
@@ -149,22 +150,23 @@ def similar(
     size = F.size("s")
     prefix = F.slice("s", 1, (size - F.ceil(size * F.lit(share.numerator) / F.lit(share.denominator) - F.lit(1e-9)) + 1).cast("int"))
     placed = sorted_.select("class", "side", "s", F.explode(F.array_distinct(F.transform(prefix, lambda v: F.pmod(v, F.lit(n_parts)).cast("int")))).alias("part"))
-    salts = placed.groupBy("part").count().select("part", F.ceil(F.col("count") / salt_classes).cast("int").alias("salts")).where("salts > 1")
-    salted = (
-        placed.join(salts, "part", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64("class", "side"), F.col("salts")).cast("int"))
-        .select("part", "class", "side", "s", "own", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    blocks = placed.groupBy("part").count().select("part", F.ceil(F.col("count") / block_classes).cast("int").alias("blocks")).where("blocks > 1")
+    blocked = (
+        placed.join(blocks, "part", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("own", F.pmod(F.xxhash64("class", "side"), F.col("blocks")).cast("int"))
+        .select("part", "class", "side", "s", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+        .select("part", "class", "side", "s", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
     )
     between = other is not None
 
     def probe(group: pa.Table) -> pa.Table:
-        part, salt = group["part"][0].as_py(), group["salt"][0].as_py()
+        part, two = group["part"][0].as_py(), group["i"][0].as_py() != group["j"][0].as_py()
         ids, sides, own, records = group["class"].to_pylist(), group["side"].to_pylist(), group["own"].to_pylist(), group["s"].to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (len(records[i]), ids[i], sides[i]))
         records = [records[i] for i in order]
-        probes = [k for k, i in enumerate(order) if own[i] == salt]
+        apart = tuple([label[i] for i in order] for label, needed in ((sides, between), (own, two)) if needed)
         out = []
-        for p, c in join_block(records, probes, share, [sides[i] for i in order] if between else None):
+        for p, c in join_block(records, share, apart):
             other_prefix = set(records[c][: prefix_length(len(records[c]), share)])
             first = next(v for v in records[p][: prefix_length(len(records[p]), share)] if v in other_prefix)
             if first % n_parts == part:
@@ -173,7 +175,7 @@ def similar(
         take = lambda z, at, t: pa.array([z[i] for i in at], t)
         return pa.table([take(ids, a, pa.int64()), take(sides, a, pa.int32()), take(ids, b, pa.int64()), take(sides, b, pa.int32())], ["x", "xs", "y", "ys"])
 
-    linked = salted.groupBy("part", "salt").applyInArrow(probe, "x bigint, xs int, y bigint, ys int")
+    linked = blocked.groupBy("part", "i", "j").applyInArrow(probe, "x bigint, xs int, y bigint, ys int")
     members = sets.join(classes.select("k1", "k2", "side", "class", "n"), ["k1", "k2", "side"]).select("id", "side", "k1", "k2", "class", "n")
     side = lambda i, c, s: members.select(F.col("id").alias(i), F.col("class").alias(c), F.col("side").alias(s))
     expanded = linked.join(side("i", "x", "xs"), ["x", "xs"]).join(side("j", "y", "ys"), ["y", "ys"])

@@ -32,11 +32,11 @@ def random_sets(seed, n=250):
 
 
 @pytest.mark.parametrize("threshold", ["0.7", "0.5", "0.9", "1"])
-@pytest.mark.parametrize("salted", [False, True])
-def test_set_join(spark, threshold, salted):
-    sets = random_sets(int(float(threshold) * 10) + salted)
+@pytest.mark.parametrize("blocked", [False, True])
+def test_set_join(spark, threshold, blocked):
+    sets = random_sets(int(float(threshold) * 10) + blocked)
     df = spark.createDataFrame([(k, sorted(s), "z") for k, s in sets], "ord bigint, v array<string>, side string")
-    got = setjoin.similar(df, key="ord", values=F.col("v"), threshold=threshold, partition_classes=60, salt_classes=25 if salted else 6000).collect()
+    got = setjoin.similar(df, key="ord", values=F.col("v"), threshold=threshold, partition_classes=60, block_classes=25 if blocked else 6000).collect()
     assert len(got) == len({(r.a, r.b) for r in got}) and {(r.a, r.b) for r in got} == brute_pairs(sets, threshold)
 
 
