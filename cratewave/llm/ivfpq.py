@@ -28,7 +28,7 @@ MAX_CELLS = 4096
 SAMPLE_PER_CELL, LEAST_SAMPLE = 24, 16_384
 MARGIN, MOST_PROBES = 0.1, 4
 PARTS, WORDS = 16, 256
-SHORTLIST = 256
+SHORTLIST = 400
 #: Members up to which a cell is one task.
 CELL_ROWS = 6000
 
