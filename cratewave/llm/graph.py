@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cratewave.storage import materialize
@@ -25,8 +25,9 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: the smaller neighbours of a node, and the node, are linked to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = materialize(small, "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()  # taken while the table is written
+        edges = materialize(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        state = tuple(seen.get.values())
         if state == before:
             break
         before = state

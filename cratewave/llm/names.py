@@ -363,7 +363,7 @@ def resolve(df: DataFrame, *, key: str = "credit_id", name: str = "artist", most
     )
     could = materialize(could.join(forms.select(F.col("form").alias("form_b"), "kind", F.col("core").alias("core_b"), "attributes"), "form_b").join(forms.select(F.col("form").alias("form_a"), F.col("core").alias("core_a")), "form_a").withColumn("exact", F.col("core_a") == F.col("core_b")), "could")
     full = ~F.col("attributes").rlike("[~?]")
-    done = None
+    known = links.count()
     for _ in range(most_rounds):
         profiles = components(links).withColumnRenamed("node", "form").withColumnRenamed("component", "profile")
         of = lambda side: profiles.select(F.col("form").alias(f"form_{side}"), F.col("profile").alias(f"profile_{side}"))
@@ -382,14 +382,15 @@ def resolve(df: DataFrame, *, key: str = "credit_id", name: str = "artist", most
         exact = open_.where("exact").select("pa").distinct()
         near_ = open_.where("exact").unionByName(open_.join(exact, "pa", "left_anti"))
         only = near_.groupBy("pa").agg(F.countDistinct(F.when(full, F.concat_ws(" ", "kind", F.coalesce("canon", "attributes"))).otherwise(F.col("pb").cast("string"))).alias("meanings")).where("meanings = 1").select("pa")
-        new = materialize(near_.join(only, "pa").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "new")
+        new = near_.join(only, "pa").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
         links = materialize(links.unionByName(new).distinct(), "links")
         count = links.count()
-        if count == done:
+        if count == known:  # nothing merged: the profiles stand
             break
-        done = count
-    profiles = components(links)
-    classes = parsed.join(profiles.withColumnRenamed("node", "form"), "form", "left").select("name", F.coalesce("component", "form").alias("artist_class"))
+        known = count
+    else:
+        profiles = components(links).withColumnRenamed("node", "form").withColumnRenamed("component", "profile")
+    classes = parsed.join(profiles, "form", "left").select("name", F.coalesce("profile", "form").alias("artist_class"))
     return rows.join(classes, "name").select(F.col("k").alias(key), "artist_class")
 
 
