@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cratewave.storage import materialize
@@ -78,7 +78,7 @@ class Model:
     """Character bigrams of the corpus, hashed into tables of fixed size."""
 
     def __init__(self, uni: np.ndarray, bi: np.ndarray) -> None:
-        self.uni, self.bi, self.total = uni, bi, max(1, int(uni.sum()))
+        self.uni, self.bi, self.total = uni, bi, max(1.0, float(uni.sum()))
         self.cached = functools.lru_cache(200_000)(self._step)
 
     def _step(self, a: str, b: str) -> float:
@@ -91,6 +91,14 @@ class Model:
     def word(self, w: str) -> float:
         return sum(self.step(a, b) for a, b in zip("^" + w, w + "$"))
 
+    def without(self, key: str, n: float) -> Model:
+        """The model as if a word had been counted `n` times less."""
+        uni, bi = self.uni.copy(), self.bi.copy()
+        for a, b in zip("^" + key, key + "$"):
+            uni[hash_uni(a)] -= n
+            bi[hash_bi(a, b)] -= n
+        return Model(np.maximum(uni, 0), np.maximum(bi, 0))
+
 
 def hash_uni(c: str) -> int:
     return zlib.crc32(c.encode("utf-8", "surrogatepass")) % UNIGRAMS
@@ -323,26 +331,61 @@ def fill(word: str, reading: str) -> str:
     return "".join(out)
 
 
-def readings_of(word: str, model: Model, alphabet: dict[tuple[int, ...], list[str]]) -> list[tuple[str, str, float, int]]:
-    """(reading, kind, gain, oddness removed) of a word. Gains are log likelihoods over the word's own."""
+#: Characters of ordinary writing outside ASCII, as ranges.
+ORDINARY = ((0xA0, 0x17F), (0x218, 0x21B), (0x370, 0x3FF), (0x400, 0x491), (0x5D0, 0x5EA), (0x620, 0x6FF), (0x900, 0x97F), (0xE00, 0xE7F), (0x1E00, 0x1EFF), (0x2010, 0x2044), (0x20AC, 0x20AC), (0x2122, 0x2122), (0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+
+
+def sure(word: str, text: str) -> bool:
+    """Whether a reading holds whatever the counts: all bytes of the word, read with single-byte encodings, are UTF-8 of
+    ordinary characters, and its oddness goes away. One odd place alone may be a quotation mark or a dash after a
+    capital, so there it must be another sign."""
+    odd = oddness(word)
+    if not odd or oddness(text) or not all(ord(c) < 128 or any(a <= ord(c) <= b for a, b in ORDINARY) for c in text):
+        return False
+    if odd == 1 and not any(ord(c) > 127 and group_of(c) in ("So", "Sm", "Sc", "Sk", "No") for c in word):
+        return False
+    at = {word}
+    for _ in range(2):
+        data = [to_bytes(w, wrong) for w in at for wrong in READ_AS if wrong not in MULTI]
+        at = {t for t in (from_bytes(b, "utf-8") for b in data if b is not None) if t is not None} - {word}
+        if text in at:
+            return True
+    return False
+
+
+def readings_of(word: str, model: Model, alphabet: dict[tuple[int, ...], list[str]], damped: Model | None = None, count: float = 1.0) -> list[tuple[str, str, float, int, bool]]:
+    """(reading, kind, gain, oddness removed, sure) of a word. Gains are log likelihoods over the word's own; for a
+    reading that removes oddness also under `damped`, which has the word `count` times and, beside a UTF-8 reading,
+    takes it once."""
     own, odd = model.word(word.lower()), oddness(word)
-    found: dict[str, tuple[str, float, int]] = {}
+    found: dict[str, tuple[str, float, int, bool]] = {}
+    once = None
     for text, kind in transcodings(word):
         if any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in text):
             continue
-        gain = model.word(text.lower()) - own
-        if gain > 0 or kind == "utf-8" and gain > -6:
-            found[text] = (kind, gain, odd - oddness(text))
-    if not any(k == "utf-8" for k, _, _ in found.values()) and (odd or word == word.lower()):
+        gain, less = model.word(text.lower()) - own, odd - oddness(text)
+        certain = False
+        if kind == "utf-8" and less > 0:
+            certain = sure(word, text)
+        if less > 0 and damped:
+            if kind == "utf-8" and count > 1:
+                once = once or damped.without(key_of(word), count - 1)
+            other = once if kind == "utf-8" and once else damped
+            gain = max(gain, other.word(text.lower()) - other.word(word.lower()))
+        if gain > 0 or certain or kind == "utf-8" and gain > -6:
+            found[text] = (kind, gain, less, certain)
+    if not any(k == "utf-8" for k, *_ in found.values()) and (odd or word == word.lower()):
         for wrong in ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman"):
             for text, score in viterbi(word, wrong, model, alphabet):
                 if text not in found and not any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in text) and score - own > -4:
-                    found[text] = ("lattice", score - own, odd - oddness(text))
+                    found[text] = ("lattice", score - own, odd - oddness(text), False)
     return [(t, *x) for t, x in found.items()]
 
 
 #: Score above which a reading is taken; see `damaged`.
 LIMIT = 1.0
+#: What a corpus word with the same remaining letters must score more where it is as odd as the word.
+MASK_COST = 1.0
 
 
 def fields_of(tables: list[tuple[DataFrame, str, str]], columns: list[str]) -> DataFrame:
@@ -355,21 +398,22 @@ def fields_of(tables: list[tuple[DataFrame, str, str]], columns: list[str]) -> D
     return out.where(F.col("value").rlike(r"[^\x00-\x7F]"))
 
 
-def model_of(words: DataFrame) -> tuple[Model, dict[tuple[int, ...], list[str]]]:
-    """Character model and alphabet of (key, n) words, over all of them. Tables of fixed size reach the driver."""
+def model_of(words: DataFrame, by: str = "n") -> tuple[Model, dict[tuple[int, ...], list[str]]]:
+    """Character model and alphabet of words (key, and a count `by`), over all of them. Tables of fixed size reach the
+    driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got: dict[tuple[str, int], int] = {}
-            for w, n in zip(b.column("key").to_pylist(), b.column("n").to_pylist()):
+            got: dict[tuple[str, int], float] = {}
+            for w, n in zip(b.column("key").to_pylist(), b.column(by).to_pylist()):
                 for a, c in zip("^" + w, w + "$"):
                     for k in (("u", hash_uni(a)), ("b", hash_bi(a, c)), ("c", ord(a))):
                         got[k] = got.get(k, 0) + n
             kinds, slots = zip(*got) if got else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(slots, pa.int64()), pa.array(list(got.values()), pa.int64())], ["kind", "slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(slots, pa.int64()), pa.array(list(got.values()), pa.float64())], ["kind", "slot", "n"])
 
-    uni, bi, characters = np.zeros(UNIGRAMS, np.int64), np.zeros(BIGRAMS, np.int64), []
-    counted = words.mapInArrow(count, "kind string, slot bigint, n bigint").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow()
+    uni, bi, characters = np.zeros(UNIGRAMS), np.zeros(BIGRAMS), []
+    counted = words.mapInArrow(count, "kind string, slot bigint, n double").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow()
     for kind, slot, n in zip(*(counted.column(c).to_pylist() for c in ("kind", "slot", "n"))):
         if kind == "u":
             uni[slot] = n
@@ -387,6 +431,10 @@ def damaged(fields: DataFrame, *, limit: float = LIMIT) -> tuple[DataFrame, Data
     of its readings scores more than `limit`: gain in log likelihood under the character model, twice the oddness that
     goes away, twice the log ratio of the words' counts, and 3 for readings as UTF-8, which rarely hold by chance, 6 if
     oddness goes away, too. A reading that is neither UTF-8 nor less odd must be a word of the corpus.
+
+    Repeats of a damaged value are no evidence for it: for a reading that removes oddness, the gain and the ratio are
+    also taken with the repeats of a value counted by their logarithm, and the better ones hold. A word never counts against a
+    UTF-8 reading that removes oddness as more than a single row, and some such readings hold by themselves (`sure`).
     Null, empty and plain ASCII values are not damaged. All counts are taken over all words of all fields.
     """
     spark = fields.sparkSession
@@ -397,62 +445,79 @@ def damaged(fields: DataFrame, *, limit: float = LIMIT) -> tuple[DataFrame, Data
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = [key_of(t) for t in b.column("token").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("token"), b.column("n"), pa.array(keys, pa.string())], ["token", "n", "key"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.string())], ["token", "n", "d", "key"])
 
-    words = materialize(places.groupBy("token").agg(F.count("*").alias("n")).mapInArrow(keyed, "token string, n bigint, key string"), "words")
-    counts = words.groupBy("key").agg(F.sum("n").alias("n"))
+    values = fields.groupBy("value").agg(F.count("*").alias("n")).select("n", F.explode(F.split("value", "[ \\t\\r\\n]+")).alias("token")).where(F.col("token").rlike(r"[^\x00-\x7F]"))
+    words = values.groupBy("token").agg(F.sum("n").alias("n"), F.sum(1 + F.log("n")).alias("d"))
+    words = materialize(words.mapInArrow(keyed, "token string, n bigint, d double, key string"), "words")
+    counts = words.groupBy("key").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     counts = materialize(counts, "counts")
-    shared = spark.sparkContext.broadcast(model_tables(model_of(counts)))
+    shared = spark.sparkContext.broadcast((*model_tables(model_of(counts)), *model_tables(model_of(counts, "d"))[:2]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uni, bi, alphabet = shared.value
-        model = Model(uni, bi)
+        uni, bi, alphabet, *others = shared.value
+        model, damped = Model(uni, bi), Model(*others)
         for b in batches:
             rows: list[tuple] = []
-            for token, key in zip(b.column("token").to_pylist(), b.column("key").to_pylist()):
+            for token, key, d in zip(*(b.column(c).to_pylist() for c in ("token", "key", "own_d"))):
+                bare = not any(c.isalnum() for c in token)  # nothing but counts tells what it was
                 lost = any(c == LOST or unicodedata.category(c) in ("Cc", "Co", "Cn") for c in token)
                 if lost:
-                    rows.append((token, key, None, None, 0.0, False))
-                for text, kind, gain, odd in readings_of(token, model, alphabet):
+                    rows.append((token, key, None, None, 0.0, False, False, False, None))
+                for text, kind, gain, odd, certain in readings_of(token, model, alphabet, damped, d):
                     bonus = (6.0 if odd > 0 else 3.0) if kind == "utf-8" else 0.0
-                    rows.append((token, key, text, key_of(text), gain + 2.0 * odd + bonus, kind != "utf-8" and odd <= 0))
+                    # the least that the counts may add: what they add for a single row beside an unknown reading
+                    floor = 2 * math.log(0.3 / 1.3) if kind == "utf-8" and odd > 0 else None
+                    rows.append((token, key, text, key_of(text), gain + 2.0 * odd + bonus, odd <= 0 or bare, kind != "utf-8" and odd <= 0, certain, floor))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_()))],
-                ["token", "key", "reading", "reading_key", "gain", "known_only"],
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.float64()))],
+                ["token", "key", "reading", "reading_key", "gain", "as_odd", "known_only", "sure", "floor"],
             )
 
-    found = words.repartition(4 * spark.sparkContext.defaultParallelism, "token").mapInArrow(read, "token string, key string, reading string, reading_key string, gain double, known_only boolean")
+    found = words.join(counts.select("key", F.col("d").alias("own_d")), "key").repartition(4 * spark.sparkContext.defaultParallelism, "token").mapInArrow(
+        read, "token string, key string, reading string, reading_key string, gain double, as_odd boolean, known_only boolean, sure boolean, floor double"
+    )
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column("key").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), pa.array([mask_of(k) for k in keys], pa.string())], ["key", "n", "mask"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), b.column("d"), pa.array([mask_of(k) for k in keys], pa.string())], ["key", "n", "d", "mask"])
 
-    masks = counts.mapInArrow(masked, "key string, n bigint, mask string").where("mask is not null")
+    masks = counts.mapInArrow(masked, "key string, n bigint, d double, mask string").where("mask is not null")
     alike = (
-        masks.select("mask", F.col("key"), F.col("n")).join(masks.select("mask", F.col("key").alias("reading"), F.col("n").alias("m")), "mask")
-        .where("m >= 5 and m >= 8 * n").select("key", "reading", "n", "m")
+        masks.join(masks.select("mask", F.col("key").alias("reading"), F.col("n").alias("m"), F.col("d").alias("e")), "mask")
+        .where("key <> reading").select("key", "reading", "n", "m", "d", "e")
     )
 
     def explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [all(x == y or explains(x, y) for x, y in zip(runs(r), runs(k))) for k, r in zip(b.column("key").to_pylist(), b.column("reading").to_pylist())]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    by_mask = alike.mapInArrow(explained, "key string, reading string, n bigint, m bigint").select("key", "reading", (2 * F.log(F.col("m") / F.col("n")) + 2).alias("score"))
+            keys, texts = b.column("key").to_pylist(), b.column("reading").to_pylist()
+            odd = [oddness(k) - oddness(r) for k, r in zip(keys, texts)]
+            keep = [o >= 0 and LOST not in r and all(x == y or explains(x, y) for x, y in zip(runs(r), runs(k))) for k, r, o in zip(keys, texts, odd)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(odd, pa.int64()), pa.array([LOST in k for k in keys], pa.bool_())], [*b.schema.names, "odd", "lost"]).filter(pa.array(keep, pa.bool_()))
+
+    # only counts tell two words that are equally odd apart; a word that has lost characters is damaged in any case
+    rows = 2 * F.log(F.col("m") / F.col("n"))
+    ratio = F.when(F.col("odd") > 0, F.greatest(rows, 2 * F.log(F.col("e") / F.col("d"))) + 2 * F.col("odd")).otherwise(rows - MASK_COST)
+    by_mask = alike.mapInArrow(explained, "key string, reading string, n bigint, m bigint, d double, e double, odd bigint, lost boolean").select("key", "reading", ratio.alias("score"), F.col("lost").alias("sure"))
     def cased(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             readings = [fill(t, r) for t, r in zip(b.column("token").to_pylist(), b.column("reading").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("token"), pa.array(readings, pa.string()), b.column("score")], ["token", "reading", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("token"), pa.array(readings, pa.string()), b.column("score"), b.column("sure")], ["token", "reading", "score", "sure"])
+
+    def log_ratio(its: str, own: str) -> Column:
+        return 2 * F.log((F.coalesce(its, F.lit(0)) + 0.3) / (F.col(own) + 0.3))
 
+    by_count = F.when(F.col("as_odd"), log_ratio("its", "own")).otherwise(F.greatest(log_ratio("its", "own"), log_ratio("its_d", "own_d"), "floor"))
     scored = (
-        found.join(counts.withColumnRenamed("n", "own"), "key").join(counts.select(F.col("key").alias("reading_key"), F.col("n").alias("its")), "reading_key", "left")
+        found.join(counts.select("key", F.col("n").alias("own"), F.col("d").alias("own_d")), "key")
+        .join(counts.select(F.col("key").alias("reading_key"), F.col("n").alias("its"), F.col("d").alias("its_d")), "reading_key", "left")
         .where("not known_only or its is not null")
-        .select("token", "reading", F.when(F.col("reading").isNull(), F.lit(float(limit)) + 1e-6).otherwise(F.col("gain") + 2 * F.log((F.coalesce("its", F.lit(0)) + 0.3) / (F.col("own") + 0.3))).alias("score"))
-        .unionByName(words.select("token", "key").join(by_mask, "key").select("token", "reading", "score").mapInArrow(cased, "token string, reading string, score double"))
-        .where(F.col("score") > limit)
+        .select("token", "reading", F.when(F.col("reading").isNull(), F.lit(float(limit)) + 1e-6).otherwise(F.col("gain") + by_count).alias("score"), "sure")
+        .unionByName(words.select("token", "key").join(by_mask, "key").select("token", "reading", "score", "sure").mapInArrow(cased, "token string, reading string, score double, sure boolean"))
+        .where((F.col("score") > limit) | F.col("sure"))
     )
-    best = Window.partitionBy("token").orderBy(F.desc("score"), "reading")
+    best = Window.partitionBy("token").orderBy(F.col("reading").isNull(), F.desc("score"), "reading")
     bad = materialize(scored.withColumn("r", F.row_number().over(best)).where("r = 1").select("token", "reading"), "damaged")
     return bad, places.join(bad.select("token"), "token", "left_semi")
 

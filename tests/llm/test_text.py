@@ -140,6 +140,18 @@ def test_wrong_encodings(spark):
     assert right / len(bad) >= 0.9, [(b, restored.get(10_000 + i)) for i, (t, b) in enumerate(bad) if (restored.get(10_000 + i) or "").lower() != t.lower()]
 
 
+def test_damage_that_repeats(spark):
+    texts = CLEAN * 40 + ["CafÃ© Nocturno"] * 4000 + ["M·sica Fina"] * 200 + ["Música Fina"] * 300 + ["MANHÃ”"] * 40
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "ord bigint, title string")
+    restored = {(r.value, r.restored) for r in mojibake.restore(mojibake.fields_of([(df, "tracks", "ord")], ["title"])).collect()}
+    assert restored == {("CafÃ© Nocturno", "Café Nocturno"), ("M·sica Fina", "Música Fina")}
+
+
+@pytest.mark.parametrize("word,text,holds", [("CafÃ©", "Café", True), ("SÃ£o", "São", True), ("KrautÃƒÂ¤hnlich", "Krautähnlich", True), ("MANHÃ”", "MANHÔ", False), ("CAFÉ»", "CAFɻ", False), ("Café", "Caf", False)])
+def test_readings_that_hold_whatever_the_counts(word, text, holds):
+    assert mojibake.sure(word, text) is holds
+
+
 def test_no_text_to_repair(spark):
     df = spark.createDataFrame([], "ord bigint, title string")
     _, places = mojibake.damaged(mojibake.fields_of([(df, "t", "ord")], ["title"]))
