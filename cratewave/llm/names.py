@@ -41,9 +41,8 @@ NICKNAMES = {
 }
 PLAIN = str.maketrans({"ø": "o", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "ß": "ss", "æ": "ae", "đ": "d", "œ": "oe"})
 SHORT = {s: word for word, shorts in GROUP_WORDS.items() for s in shorts}
-#: A word is common from so many different neighbours on, and at least one for each `COMMON_SHARE` rows, which bounds
-#: the common words to a few thousand whatever the size.
-COMMON, COMMON_SHARE = 5, 2000
+#: A word is common from so many different neighbours on, spellings of one word counted once, whatever the table's size.
+COMMON = 5
 
 
 def fold(text: str) -> str:
@@ -112,11 +111,20 @@ class Lexicon:
         self.given = sorted({*kept, *NICKNAMES})
         known = set(self.given)
         self.nick: dict[str, set[str]] = {}
-        for g, n in [*((g, n) for g, many in NICKNAMES.items() for n in many), *nicknames]:
+        told: dict[str, list[str]] = {}
+        for g, n in nicknames:
+            # an unknown name that is a typing error of one that was told with the same nickname, more often, means that one
+            more = next((x for x in told.get(n, ()) if near(g, x, 1)), g)
+            told.setdefault(n, []).append(more if g not in known else g)
+        for g, n in [*((g, n) for g, many in NICKNAMES.items() for n in many), *((g, n) for n, many in told.items() for g in many)]:
             g = next((x for x in self.given if x == g or near(x, g, slack(g))), g) if g not in known else g
             if n != g:
                 self.nick.setdefault(n, set()).add(g)
         self.known = known - {n for n in self.nick if n not in NICKNAMES}  # a nickname may be common, too
+        self.nick_near: dict[str, list[str]] = {}
+        for n in self.nick:
+            for key in shorter(n):
+                self.nick_near.setdefault(key, []).append(n)
         self.cache: dict[str, str | None] = {}
 
     def attribute(self, word: str) -> str | None:
@@ -151,7 +159,8 @@ class Lexicon:
         starts = [g for g in self.known if g.startswith(w)] if 3 <= len(w) <= 5 else []
         if len(starts) == 1:
             return "=" + starts[0]
-        names = sorted({g for n in self.nick if len(w) >= 4 and near(n, w, 1) for g in self.nick[n]})
+        typed = {n for key in shorter(w) for n in self.nick_near.get(key, ())} if len(w) >= 4 else ()
+        names = sorted({g for n in typed if near(n, w, 1) for g in self.nick[n]})
         if names:
             return "=" + names[0] if len(names) == 1 else "?" + "|".join(names)
         return "#" + shorts.pop() if len(shorts) == 1 else None
@@ -263,13 +272,30 @@ def core_slack(a: str, b: str) -> int:
     return 0 if n < 5 else 1 if n < 9 else 2
 
 
+def shorter(word: str) -> set[str]:
+    """The word and all forms with one character less."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
 def deletions(core: str) -> list[str]:
     """The core and all forms with one character less."""
-    return sorted({core, *(core[:i] + core[i + 1 :] for i in range(len(core)))}) if len(core) >= 5 else [core]
+    return sorted(shorter(core)) if len(core) >= 5 else [core]
+
+
+def unlike(words: list[str], most: int) -> int:
+    """How many of some words, up to `most`, are no typing errors of each other."""
+    kept: list[str] = []
+    for w in words:
+        if len(kept) == most:
+            break
+        if not any(near(w, k, max(1, slack(min(w, k, key=len)))) for k in kept):
+            kept.append(w)
+    return len(kept)
 
 
 def lexicon_of(rows: DataFrame) -> Lexicon:
-    """The common words of (name) rows: at least `COMMON` different neighbours, mostly rarer than the word itself."""
+    """The common words of (name) rows: at least `COMMON` different neighbours, mostly rarer than the word itself, and all
+    nicknames that are told. Neither depends on the number of other rows."""
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,17 +313,23 @@ def lexicon_of(rows: DataFrame) -> Lexicon:
             found = [q for q in map(quoted, b.column("name").to_pylist()) if q]
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.string()), pa.array([n for _, n in found], pa.string())], ["given", "nick"])
 
-    total = rows.count()
+    def different(group: pa.Table) -> pa.Table:
+        n, v = group["n"].to_pylist(), group["v"].to_pylist()
+        found = unlike([x for _, x in sorted(zip([-k for k in n], v))], COMMON)
+        return group.select(["w", "different"]).slice(0, 1) if found >= COMMON else group.select(["w", "different"]).slice(0, 0)
+
     pairs = materialize(rows.mapInArrow(neighbours, "w string, v string").groupBy("w", "v").agg(F.count("*").alias("n")), "neighbours")
     weight = pairs.groupBy("w").agg(F.sum("n").alias("total"), F.count("*").alias("different"))
     common = (
         pairs.join(weight.withColumnRenamed("total", "own"), "w").join(weight.select(F.col("w").alias("v"), F.col("total").alias("its")), "v")
         .groupBy("w").agg(F.first("different").alias("different"), (F.sum(F.when(F.col("its") < F.col("own"), F.col("n")).otherwise(0)) / F.sum("n")).alias("rarer"))
-        .where((F.col("different") >= max(COMMON, total // COMMON_SHARE)) & (F.col("rarer") >= 0.6)).select("w", "different")
+        .where((F.col("different") >= COMMON) & (F.col("rarer") >= 0.6)).select("w", "different")
     )
-    # a nickname is told by at least a ten-thousandth of the rows, which bounds the pairs
-    told = rows.mapInArrow(nicknames, "given string, nick string").groupBy("given", "nick").count().where(F.col("count") >= max(1, total // 10_000))
-    return Lexicon({r.w: r.different for r in common.collect()}, [(r.given, r.nick) for r in told.collect()])
+    # the neighbours of a family name may be many spellings of one given name
+    common = pairs.join(common, "w").groupBy("w").applyInArrow(different, "w string, different bigint")
+    told = rows.mapInArrow(nicknames, "given string, nick string").groupBy("given", "nick").count()
+    told = sorted(told.collect(), key=lambda r: (-r[2], r.given, r.nick))
+    return Lexicon({r.w: r.different for r in common.collect()}, [(r.given, r.nick) for r in told])
 
 
 def resolve(df: DataFrame, *, key: str = "credit_id", name: str = "artist", most_rounds: int = 8) -> DataFrame:

@@ -102,6 +102,22 @@ def test_names(spark):
     assert (0, 903) in pairs and all(a < b for a, b in pairs)
 
 
+def test_names_beside_many_other_rows(spark):
+    given = ["Brunolde " + c for c in ("Takvisar", "Omelguth", "Pidronek", "Fasculomb", "Grevantil", "Hostivurn")]
+    rows = [*given, "Takvisar Brunolde", "Roswithe Kandelfor", "Roswithe 'Wittka' Kandelfor", "Wittka Kandelfor", "Kandelfor, Roswithe"]
+    rng = random.Random(5)
+    others = ["".join(rng.choices("qxzjv", k=14)) for _ in range(20_500)]
+    for more in ([], others):
+        df = spark.createDataFrame(list(enumerate(rows + more)), "credit_id bigint, artist string")
+        of = {r.credit_id: r.artist_class for r in names.resolve(df).where(f"credit_id < {len(rows)}").collect()}
+        assert len({of[i] for i in range(6)}) == 6 and of[0] == of[6], (len(more), of)
+        assert len({of[i] for i in (7, 8, 9, 10)}) == 1, (len(more), of)
+
+
+def test_spellings_of_one_neighbour_count_once():
+    assert names.unlike(["patrick", "patriick", "partick", "nathaniel", "patrikc"], 5) == 2 and names.unlike(["a" * k for k in (3, 8, 13, 18, 23)], 4) == 4
+
+
 def test_names_of_nothing(spark):
     assert names.resolve(spark.createDataFrame([], "credit_id bigint, artist string")).count() == 0
 
