@@ -9,7 +9,8 @@ joined group is a cluster only if all of them do.
 
 A group with a member near the border of its task is compared with its like across the tasks, by the cells (leaves of
 the upper tree) within a margin; links between groups are followed through, and linked groups are checked again as one,
-in blocks, so that no group has to fit one task. Exact copies travel once per input partition and come back at the end.
+in blocks, so that no group has to fit one task. Every group that may be reported is also compared, in blocks, with all
+vectors of other groups that can reach a member by the radius of the group. Exact copies travel once per input partition and come back at the end.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ SAMPLE_PER_CELL, LEAST_SAMPLE = 16, 16_384
 NODE_ROWS = 12_000
 MARGIN, MOST_PROBES = 0.12, 6
 BLOCK = 4096
-#: Slack below the similarity at which leaf centres are compared member by member.
-SLACK = 0.07
+#: Rows and groups of one comparison with outsiders.
+ROW_BLOCK, HUB_BLOCK = 40_000, 32_768
+#: Radians by which bounds on angles are widened for rounding.
+ROUNDING = 2e-3
 
 
 def split(x: np.ndarray, rng: np.random.Generator, rounds: int = 4) -> np.ndarray:
@@ -140,10 +143,16 @@ def compact_leaves(x: np.ndarray, least: float) -> np.ndarray:
     return label
 
 
+def bound(radius: np.ndarray, least: float) -> np.ndarray:
+    """Cosine with the centre of a group below which no member within `radius` (an angle) of it can reach `least`."""
+    return np.cos(np.minimum(np.arccos(least) + radius + ROUNDING, np.pi)).astype(np.float32)
+
+
 def rejoin(x: np.ndarray, leaf: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(group of each row, whether all pairs of the group reach `least`), groups being connected by pairs that do.
 
-    Every leaf must be compact. Leaves are compared where their centres reach `least` less a slack.
+    Every leaf must be compact. A row is compared with the members of a leaf wherever one of them can reach it by the
+    radius of the leaf.
     """
     order = np.argsort(leaf, kind="stable")
     edges = np.flatnonzero(np.diff(leaf[order], prepend=-1))
@@ -158,15 +167,19 @@ def rejoin(x: np.ndarray, leaf: np.ndarray, least: float) -> tuple[np.ndarray, n
             i = label[i]
         return i
 
-    for s in range(0, k, 2048):
-        a, b = np.nonzero(centres[s : s + 2048] @ centres.T >= least - SLACK)
-        for i, j in zip(a[a + s < b] + s, b[a + s < b]):
+    sizes = np.diff(np.append(edges, len(order)))
+    of_leaf = np.repeat(np.arange(k), sizes)
+    radius = np.maximum.reduceat(np.arccos(np.clip(np.einsum("ij,ij->i", x[order], centres[of_leaf]), -1, 1)), edges)
+    near = bound(radius, least)
+    for s in range(0, len(order), 2048):
+        rows = x[order[s : s + 2048]]
+        r, b = np.nonzero(rows @ centres.T >= near)
+        for i, j in np.unique(np.stack([of_leaf[s + r], b])[:, of_leaf[s + r] != b], axis=1).T:
             i, j = find(i), find(j)
             if i != j:
                 label[max(i, j)] = min(i, j)
     rough = np.array([find(i) for i in range(k)])
     group, whole = np.arange(k), np.ones(k, bool)
-    sizes = np.diff(np.append(edges, len(order)))
     by = np.argsort(rough, kind="stable")
     starts = np.flatnonzero(np.diff(rough[by], prepend=-1))
     for s, e in zip(starts, [*starts[1:], k]):
@@ -177,10 +190,13 @@ def rejoin(x: np.ndarray, leaf: np.ndarray, least: float) -> tuple[np.ndarray, n
         cuts = np.cumsum(sizes[own]) - sizes[own]
         high, low = np.full((len(own), len(own)), -2, np.float32), np.full((len(own), len(own)), 2, np.float32)
         owner = np.repeat(np.arange(len(own)), sizes[own])
+        members = x[rows]
         for t in range(0, len(rows), 1024):
-            g = x[rows[t : t + 1024]] @ x[rows].T
-            np.maximum.at(high, owner[t : t + 1024], np.maximum.reduceat(g, cuts, axis=1))
-            np.minimum.at(low, owner[t : t + 1024], np.minimum.reduceat(g, cuts, axis=1))
+            g = members[t : t + 1024] @ members.T
+            first = np.flatnonzero(np.diff(owner[t : t + 1024], prepend=-1))
+            at = owner[t : t + 1024][first]
+            high[at] = np.maximum(high[at], np.maximum.reduceat(np.maximum.reduceat(g, cuts, axis=1), first, axis=0))
+            low[at] = np.minimum(low[at], np.minimum.reduceat(np.minimum.reduceat(g, cuts, axis=1), first, axis=0))
         near = high >= least
         free = np.ones(len(own), bool)
         for i in range(len(own)):
@@ -255,14 +271,25 @@ def clusters(
         open_ = np.zeros(len(names), bool)
         np.logical_or.at(open_, inverse, away)
         open_ = open_[inverse]
+        # the first row of a whole group of several has its centre, in half precision, and the radius about it
+        n = np.bincount(inverse)
+        sums = np.zeros((len(names), dim), np.float32)
+        np.add.at(sums, inverse, x)
+        centres = V.unit((sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-12)).astype(np.float16))
+        radius = np.zeros(len(names), np.float32)
+        np.maximum.at(radius, inverse, np.arccos(np.clip(np.einsum("ij,ij->i", x, centres[inverse]), -1, 1)))
+        first = (ids == lowest[inverse]) & whole & (n[inverse] > 1)
         return pa.table(
-            [pa.array(lowest[inverse]), pa.array(ids), pa.array(whole), pa.array(open_), pa.array([v if o else None for v, o in zip(rows, open_)], pa.binary())],
-            ["part", "id", "whole", "open", "v"],
+            [
+                pa.array(lowest[inverse]), pa.array(ids), pa.array(whole), pa.array(open_), pa.array(rows, pa.binary()), pa.array(n[inverse]),
+                pa.array([centres[g].astype(np.float16).tobytes() if f else None for g, f in zip(inverse, first)], pa.binary()), pa.array(radius[inverse], pa.float32()),
+            ],
+            ["part", "id", "whole", "open", "v", "n", "centre", "radius"],
         )
 
     parts = materialize(
         df.mapInArrow(route, "node int, id bigint, v binary").groupBy("node")
-        .applyInArrow(bisect, "part bigint, id bigint, whole boolean, open boolean, v binary"), "parts",
+        .applyInArrow(bisect, "part bigint, id bigint, whole boolean, open boolean, v binary, n bigint, centre binary, radius float"), "parts",
     )
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,17 +310,41 @@ def clusters(
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     near = parts.where("open").select("part", "v").mapInArrow(to_cells, "cell int, part bigint, v binary")
-    links = materialize(near.groupBy("cell").applyInArrow(link, "a bigint, b bigint").distinct(), "links")
-    joined = components(links)  # (node, component) of the linked parts only
-
-    linked = parts.where("open").join(joined.withColumnRenamed("node", "part"), "part")
-    sizes = linked.groupBy("component").agg(F.count("*").alias("n"), F.min("whole").alias("whole")).where("whole")
-    blocked = (
-        linked.join(sizes.select("component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "component")
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .select("component", "own", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("component", "own", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
+    links = near.groupBy("cell").applyInArrow(link, "a bigint, b bigint")
+
+    def reach(rows: pa.Table, hubs: pa.Table) -> pa.Table:
+        at, to = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(rows) and len(hubs):
+            part, hub = rows["part"].to_numpy(), hubs["hub"].to_numpy()
+            x, centres = V.unit(V.from_bytes(rows["v"].to_pylist(), dim)), V.unit(V.from_bytes(hubs["centre"].to_pylist(), dim))
+            least_of = bound(hubs["radius"].to_numpy(), least)
+            found = []
+            for s in range(0, len(x), 1024):
+                i, j = np.nonzero((x[s : s + 1024] @ centres.T >= least_of) & (part[s : s + 1024, None] != hub[None, :]))
+                found.append((i + s, j))
+            at, to = (np.concatenate(z) for z in zip(*found))
+            return pa.table([pa.array(hub[to]), rows["part"].take(pa.array(at)), rows["v"].take(pa.array(at))], ["hub", "part", "v"])
+        return pa.table([pa.array(at), pa.array(to), pa.array([], pa.binary())], ["hub", "part", "v"])
+
+    def touch(outside: pa.Table, members: pa.Table) -> pa.Table:
+        found: set[int] = set()
+        if len(outside) and len(members):
+            y, x = (V.unit(V.from_bytes(t["v"].to_pylist(), dim)) for t in (outside, members))
+            part, hub = outside["part"].to_numpy(), outside["hub"][0].as_py()
+            for s in range(0, len(y), 512):
+                found |= set(part[s : s + 512][(y[s : s + 512] @ x.T >= least).any(axis=1)].tolist())
+        pairs = [(min(p, hub), max(p, hub)) for p in sorted(found)]
+        return pa.table([pa.array([p for p, _ in pairs], pa.int64()), pa.array([q for _, q in pairs], pa.int64())], ["a", "b"])
+
+    def outsiders(hubs: DataFrame, n_hubs: int) -> DataFrame:
+        """(a, b) of groups (hub, centre, radius) and the groups of all vectors that reach one of their members."""
+        row_blocks, hub_blocks = max(1, -(-total // ROW_BLOCK)), max(1, -(-n_hubs // HUB_BLOCK))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = parts.select("part", "v", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int").alias("i"), every(hub_blocks).alias("j"))
+        right = hubs.select("hub", "centre", "radius", F.pmod(F.xxhash64("hub"), F.lit(hub_blocks)).cast("int").alias("j"), every(row_blocks).alias("i"))
+        could = materialize(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(reach, "hub bigint, part bigint, v binary"), "could")
+        members = parts.select(F.col("part").alias("hub"), "v").join(could.select("hub").distinct(), "hub", "left_semi")
+        return could.groupBy("hub").cogroup(members.groupBy("hub")).applyInArrow(touch, "a bigint, b bigint")
 
     def lowest(group: pa.Table) -> pa.Table:
         x, own = V.unit(V.from_bytes(group["v"].to_pylist(), dim)), group["own"].to_numpy()
@@ -301,11 +352,37 @@ def clusters(
         low = min((float((a[s : s + 512] @ b.T).min()) for s in range(0, len(a), 512)), default=1.0) if len(b) else 1.0
         return pa.table([group["component"].slice(0, 1), pa.array([low])], ["component", "low"])
 
-    good = blocked.groupBy("component", "i", "j").applyInArrow(lowest, "component bigint, low double").groupBy("component").agg(F.min("low").alias("low")).where(F.col("low") >= least)
+    def joined_by(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(node, component) of the linked parts only, their rows, and the components in which every two reach `least`."""
+        joined = components(links)
+        linked = parts.select("part", "id", "n", "whole").join(joined.withColumnRenamed("node", "part"), "part")
+        sizes = linked.groupBy("component").agg(F.count("*").alias("rows"), F.min("whole").alias("all_whole")).where("all_whole")
+        blocked = (
+            parts.select("part", "id", "v").join(joined.withColumnRenamed("node", "part").join(sizes.select("component", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "component"), "part")
+            .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            .select("component", "own", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            .select("component", "own", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        )
+        good = blocked.groupBy("component", "i", "j").applyInArrow(lowest, "component bigint, low double").groupBy("component").agg(F.min("low").alias("low")).where(F.col("low") >= least)
+        return joined, linked, materialize(good.select("component"), "good")
+
+    members, _ = V.copies(df, "id", "v", 1, dim)
+    members = materialize(members, "copies")
+    # single vectors may be reported for their copies
+    single = parts.where("n = 1").select("id", F.col("part").alias("hub"), F.col("v").alias("centre"), "radius")
+    hubs = parts.where("centre is not null").select(F.col("part").alias("hub"), "centre", "radius").unionByName(single.join(members.select("id").distinct(), "id", "left_semi").drop("id"))
+    hubs = materialize(hubs, "hubs")
+    links = materialize(links.unionByName(outsiders(hubs, hubs.count())).distinct(), "links")
+    joined, linked, good = joined_by(links)
+    # single vectors that have come to a group across tasks may be reached in their turn
+    late = materialize(single.join(linked.join(good, "component", "left_semi").where("n = 1").select("id"), "id", "left_semi").join(hubs.select("hub"), "hub", "left_anti").drop("id"), "late")
+    n_late = late.count()
+    if n_late:
+        links = materialize(links.unionByName(outsiders(late, n_late)).distinct(), "links")
+        joined, linked, good = joined_by(links)
     whole = parts.where("whole").select("part", "id")
     alone = whole.join(joined.select(F.col("node").alias("part")), "part", "left_anti")
     together = linked.join(good, "component", "left_semi").select(F.col("component").alias("part"), "id")
-    members, _ = V.copies(df, "id", "v", 1, dim)
     grouped = alone.unionByName(together).join(members, "id", "left")
     others = members.withColumnRenamed("id", "copy")
     full = grouped.where("k1 is null").select("part", "id").unionByName(

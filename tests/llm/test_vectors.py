@@ -77,6 +77,39 @@ def test_a_chain_is_no_cluster(spark):
     assert clusters.clusters(table(spark, rows)).count() == 0 and not true_clusters(rows)
 
 
+def with_strays(n=40, seed=12):
+    """Loose groups of eight, most with a vector outside that reaches one member only."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        centre = rng.normal(size=DIM)
+        centre /= np.linalg.norm(centre)
+        side = np.linalg.qr(np.c_[centre, rng.normal(size=(DIM, 10))])[0].T[1:]
+        t = np.arccos(0.872)
+        group = [np.cos(t) * centre + np.sin(t) * s for s in side[:8]]
+        out += group
+        if rng.random() < 0.8:
+            out.append(0.78 * group[0] + np.sqrt(1 - 0.78**2) * (np.sin(t) * -centre + np.cos(t) * side[0]) * 0.6 + np.sqrt(1 - 0.78**2) * 0.8 * side[9])
+    return [(int(i), v) for i, v in zip(rng.permutation(len(out)), out)]
+
+
+def test_a_vector_that_reaches_one_member(spark):
+    rows = [(i, np.float16(v)) for i, v in with_strays()]
+    ids, c = cosines(rows)
+    assert len(true_clusters(rows)) < 0.5 * len(rows)
+    x = V.unit(np.array([v for _, v in rows], np.float32))
+    group, whole = clusters.rejoin(x, clusters.compact_leaves(x, 0.75), 0.75)
+    i, j = np.nonzero(c >= 0.75)
+    assert (group[i] == group[j]).all()
+
+
+@pytest.mark.parametrize("node_rows", [12_000, 40])
+def test_groups_with_strays(spark, node_rows):
+    rows = [(i, np.float16(v)) for i, v in with_strays()]
+    found = clusters.clusters(table(spark, rows).repartition(3), rows_per_cell=6, node_rows=node_rows, margin=0.01)
+    assert {(r.cluster_id, r.vec_id) for r in found.collect()} == true_clusters(rows)
+
+
 def test_clusters_of_nothing(spark):
     assert clusters.clusters(table(spark, [(1, None)])).count() == 0
     assert clusters.clusters(table(spark, [(1, None)]).limit(0)).count() == 0
