@@ -76,11 +76,14 @@ def pack(sizes: DataFrame, limits: list[tuple[int, int]], *, key: str = "doc_id"
 
     Columns: limit_id, container_id, key, piece, token_start, n_tokens, container_offset. A document within the
     capacity has one row (piece 0); a longer one is cut into full pieces and a rest, in order of token_start. Null and
-    zero sizes are not placed, limits without a positive capacity hold nothing. `sizes` is read three times and should
+    zero sizes are not placed, limits without a positive capacity hold nothing, one above
+    `MAX_CAPACITY` is an error. `sizes` is read three times and should
     be a written table; `key` must be unique, else repeated rows are placed one by one.
     """
     spark = sizes.sparkSession
-    limits = [(int(i), int(c)) for i, c in limits if i is not None and c is not None and 0 < c <= MAX_CAPACITY]
+    limits = [(int(i), int(c)) for i, c in limits if i is not None and c is not None and c > 0]
+    if any(c > MAX_CAPACITY for _, c in limits):
+        raise ValueError(f"a capacity above {MAX_CAPACITY}")
     if len(limits) > MAX_LIMITS:
         raise ValueError(f"more than {MAX_LIMITS} limits")
     key_type = sizes.schema[key].dataType.simpleString()

@@ -104,3 +104,10 @@ def test_plan_places_all(counts):
             assert room[c] == offset
             room[c] += each * length
     assert {k: placed.get(k, 0) for k in counts} == counts and all(0 < r <= 50 for r in room)
+
+
+def test_a_capacity_that_is_too_large_is_told(spark):
+    sizes = spark.createDataFrame([(1, 5)], "doc_id bigint, n_tokens int")
+    with pytest.raises(ValueError):
+        packing.pack(sizes, [(1, 10), (2, packing.MAX_CAPACITY + 1)])
+    assert packing.pack(sizes, [(1, packing.MAX_CAPACITY), (2, 0)]).count() == 1
