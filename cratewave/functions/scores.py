@@ -30,3 +30,11 @@ def entropy(scores: Column) -> Column:
 def least_confidence(scores: Column) -> Column:
     """One minus the highest score; 1 if there is none."""
     return F.coalesce(1 - F.array_max(scores), F.lit(1.0))
+
+
+def exact_mean(x: Column) -> Column:
+    """Aggregate: the mean of numbers of up to nine decimals, rounded to six, halves upwards. It is taken over whole
+    billionths, so it does not depend on the order of summing; null for no numbers."""
+    n = F.count(x)
+    total = F.sum(F.round(x * 1e9).cast("bigint").cast("decimal(28,0)")) + 500 * n
+    return F.when(n > 0, ((total - F.pmod(total, 1000 * n)) / (1000 * n)).cast("bigint") / 1e6)

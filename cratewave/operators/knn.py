@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,11 +102,15 @@ def nearest_for_all(queries: DataFrame, rows: DataFrame, k: int, parts: int | No
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def score_profiles(rows: DataFrame, profiles: list[tuple[str, list[float]]], key: str = "ord", normalise: bool = True) -> DataFrame:
-    """(key, tag, score) of every vector row and profile: one matrix product per batch. `profiles` is a vocabulary whose
-    size the caller has checked."""
-    names = [t for t, _ in profiles]
-    matrix = np.array([c for _, c in profiles], dtype=np.float64).reshape(len(profiles), -1)
+def score_batches(rows: DataFrame, profiles: list[tuple[str, list[float]]], take: Callable[[np.ndarray, np.ndarray], tuple], schema: str, key: str = "ord", normalise: bool = True) -> DataFrame:
+    """Rows of `schema` (its first column is the key) that `take` makes of keys and of their scores (row, profile): one
+    matrix product per batch. Whatever of the scores is not wanted never leaves the batch. `take` returns the position
+    of a key for each row, and the other columns. `profiles` is a vocabulary whose size the caller has checked; without
+    profiles there are no rows."""
+    if not profiles:
+        return rows.sparkSession.createDataFrame([], schema)
+    matrix = np.array([c for _, c in profiles], dtype=np.float64)
+    names = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,11 +120,7 @@ def score_profiles(rows: DataFrame, profiles: list[tuple[str, list[float]]], key
                 if normalise:
                     n = np.linalg.norm(x, axis=1, keepdims=True)
                     x = np.divide(x, n, out=x.copy(), where=n > 0)
-                s = x @ matrix.T
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(part.column(key).to_numpy(), len(names))), pa.array(names * part.num_rows, pa.string()), pa.array(s.ravel())], [key, "tag", "score"]
-                )
-
-    if not names:
-        return rows.sparkSession.createDataFrame([], f"{key} bigint, tag string, score double")
-    return rows.select(key, "v").mapInArrow(run, f"{key} bigint, tag string, score double")
+                row, *columns = take(x @ matrix.T)
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(row)), *columns], names)
+
+    return rows.select(key, "v").mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,20 +87,48 @@ def profiles(tracks: DataFrame, vectors: DataFrame, min_samples: int = 3) -> Dat
     return centre.join(sims, "tag").withColumn("threshold", F.col("mean_sim") - F.col("std_sim"))
 
 
-def scored(rows: DataFrame, profile_table: DataFrame, normalise: bool = True) -> DataFrame:
-    """(ord, tag, score, threshold) of every row (ord, v) and every profile, by one matrix product per batch."""
-    kept = profile_table.select("tag", "centroid").orderBy("tag").limit(MAX_PROFILES + 1).collect()
+def _vocabulary(profile_table: DataFrame) -> tuple[list[tuple[str, list[float]]], np.ndarray]:
+    """(tag, centroid) of the profiles in the order of their tags, and their thresholds; a vocabulary of checked size."""
+    kept = sorted(profile_table.select("tag", "centroid", "threshold").limit(MAX_PROFILES + 1).collect(), key=lambda r: r["tag"])
     if len(kept) > MAX_PROFILES:
         raise ValueError(f"more than {MAX_PROFILES} tags: score them in parts")
-    return knn.score_profiles(rows, [(r["tag"], list(r["centroid"])) for r in kept], normalise=normalise).join(profile_table.select("tag", "threshold"), "tag").select("ord", "tag", "score", "threshold")
+    return [(r["tag"], list(r["centroid"])) for r in kept], np.array([r["threshold"] for r in kept])
+
+
+def scored(rows: DataFrame, profile_table: DataFrame, normalise: bool = True) -> DataFrame:
+    """(ord, tag, score, threshold) of every row (ord, v) and every profile: a long table; what follows below takes its
+    part of the scores where they are made."""
+    known, limits = _vocabulary(profile_table)
+    names = pa.array([t for t, _ in known], pa.string())
+
+    def take(s: np.ndarray) -> tuple:
+        row, tag = np.divmod(np.arange(s.size), max(1, s.shape[1]))
+        return row, names.take(pa.array(tag)), pa.array(s.ravel()), pa.array(limits[tag])
+
+    return knn.score_batches(rows, known, take, "ord bigint, tag string, score double, threshold double", normalise=normalise)
+
+
+def _picked(rows: DataFrame, profile_table: DataFrame, order: Callable[[np.ndarray, np.ndarray], np.ndarray], top_k: int) -> DataFrame:
+    """(ord, rank, tag, score, threshold) of the tags of each row in the order of some values (row, profile), the smallest
+    first, infinite ones left out; ties go by tag. Ranked within the batch: nothing is shuffled."""
+    known, limits = _vocabulary(profile_table)
+    names = pa.array([t for t, _ in known], pa.string())
+
+    def take(s: np.ndarray) -> tuple:
+        value = order(s, limits)
+        best = np.argsort(value, axis=1, kind="stable")  # tags stand in their order
+        best = best[:, :top_k] if top_k > 0 else best
+        row, rank = np.nonzero(np.isfinite(np.take_along_axis(value, best, axis=1)))
+        tag = best[row, rank]
+        return row, pa.array((rank + 1).astype(np.int32)), names.take(pa.array(tag)), pa.array(s[row, tag]), pa.array(limits[tag])
+
+    return knn.score_batches(rows, known, take, "ord bigint, rank int, tag string, score double, threshold double")
 
 
 def suggest(rows: DataFrame, profile_table: DataFrame, margin: float = 0.0, top_k: int = 3) -> DataFrame:
     """(ord, rank, tag, score, threshold) of the best tags of each row that reach their threshold less the margin. With
     `top_k` of 0 all are kept; ties go by tag."""
-    fit = scored(rows, profile_table).where(F.col("score") >= F.col("threshold") - margin)
-    ranked = fit.withColumn("rank", F.row_number().over(Window.partitionBy("ord").orderBy(F.desc(F.round("score", 9)), "tag")))
-    return (ranked.where(F.col("rank") <= top_k) if top_k > 0 else ranked).select("ord", "rank", "tag", "score", "threshold")
+    return _picked(rows, profile_table, lambda s, limits: np.where(s >= limits - margin, -np.round(s, 9), np.inf), top_k)
 
 
 def evaluate(tracks: DataFrame, vectors: DataFrame, profile_table: DataFrame) -> DataFrame:
@@ -143,6 +171,9 @@ def untagged(tracks: DataFrame, user_tags: DataFrame | None = None) -> DataFrame
     return tracks.where(F.size(T.clean_tags(F.col("mytags"))) == 0)
 
 
+STRATEGIES = ("margin", "entropy", "least_confidence")
+
+
 def uncertainty(score_rows: DataFrame, strategy: str = "margin", top_k: int = 10) -> DataFrame:
     """(rank, ord, uncertainty, top_tags, reason) of the rows whose tags are least clear; NaN comes last, ties by ord.
 
@@ -150,41 +181,81 @@ def uncertainty(score_rows: DataFrame, strategy: str = "margin", top_k: int = 10
     vocabulary, so that the list of one row is bounded."""
     lists = score_rows.groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("score", "tag")), asc=False).alias("s"))
     s: Column = F.col("s.score")
-    if strategy == "margin":
-        value = 1 - S.margin(s)
-    elif strategy == "entropy":
-        value = S.entropy(s)
-    elif strategy == "least_confidence":
-        value = S.least_confidence(s)
-    else:
+    values = dict(zip(STRATEGIES, (1 - S.margin(s), S.entropy(s), S.least_confidence(s))))
+    if strategy not in values:
         raise ValueError(f"unknown strategy {strategy!r}")
-    rows = lists.select("ord", F.round(value, 9).alias("uncertainty"), F.array_join(F.transform(F.slice("s", 1, 3), lambda x: x["tag"]), ", ").alias("top_tags"), s.alias("s"))
+    return _least_clear(lists.select("ord", values[strategy].alias("uncertainty"), F.slice("s", 1, 3).alias("best")), strategy, top_k)
+
+
+def _least_clear(rows: DataFrame, strategy: str, top_k: int) -> DataFrame:
+    """The result of `uncertainty` from (ord, uncertainty, best three tags)."""
     order = [F.isnan("uncertainty"), F.desc("uncertainty"), "ord"]
-    few = rows.orderBy(*order).limit(top_k)
-    return few.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "ord", "uncertainty", "top_tags", explain(F.col("s"), strategy).alias("reason"))
+    few = rows.withColumn("uncertainty", F.round("uncertainty", 9)).orderBy(*order).limit(top_k)
+    return few.select(
+        F.row_number().over(Window.orderBy(*order)).alias("rank"), "ord", "uncertainty", F.array_join(F.transform("best", lambda x: x["tag"]), ", ").alias("top_tags"), explain(F.col("best"), strategy).alias("reason")
+    )
 
 
-def explain(scores: Column, strategy: str) -> Column:
-    """Why a row counts as uncertain, in words; percents are rounded."""
-    pct = lambda n: F.format_string("%.0f%%", F.try_element_at(scores, F.lit(n)) * 100)
+def least_clear(rows: DataFrame, profile_table: DataFrame, strategy: str = "margin", top_k: int = 10) -> DataFrame:
+    """The result of `uncertainty` for rows (ord, v) and profiles. One value and three tags of each row leave the matrix
+    product; the scores themselves are never shuffled. Without profiles there are no rows."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    known, _ = _vocabulary(profile_table)
+    names = pa.array([t for t, _ in known], pa.string())
+
+    def take(s: np.ndarray) -> tuple:
+        best = np.argsort(-s[:, ::-1], axis=1, kind="stable")[:, :3]  # of equal scores the later tag stands first
+        best = s.shape[1] - 1 - best
+        top = np.take_along_axis(s, best, axis=1)
+        if strategy == "margin":
+            value = 1 - (top[:, 0] - top[:, 1]) if s.shape[1] > 1 else np.zeros(len(s))
+        elif strategy == "least_confidence":
+            value = 1 - top[:, 0]
+        else:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                total = s.sum(axis=1, keepdims=True)
+                value = np.where(total[:, 0] == 0, 0.0, -(s / total * np.log(s / total + 1e-10)).sum(axis=1))
+        pairs = pa.StructArray.from_arrays([pa.array(top.ravel()), names.take(pa.array(best.ravel()))], ["score", "tag"])
+        return np.arange(len(s)), pa.array(value), pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * best.shape[1]), pairs)
+
+    return _least_clear(knn.score_batches(rows, known, take, "ord bigint, uncertainty double, best array<struct<score:double,tag:string>>"), strategy, top_k)
+
+
+# Texts that tell why a row counts as uncertain; in order: the first tag and its percent, the second and its.
+REASONS = {"none": "No confident predictions", "margin": "I'm %2$s sure it's '%1$s' but %4$s sure it's '%3$s'. Which is it?", "entropy": "Could be any of: ", "least": "Best guess is '%1$s' but only %2$s confident"}
+
+
+def explain(best: Column, strategy: str) -> Column:
+    """Why a row counts as uncertain, in words, from its tags (score, tag), the best first. Percents are rounded; a close
+    call needs two tags, else the best guess is named."""
+    percent = lambda x: F.format_string("%.0f%%", x["score"] * 100)
+    first, second = F.try_element_at(best, F.lit(1)), F.try_element_at(best, F.lit(2))
+    guess = F.format_string(REASONS["least"], first["tag"], percent(first))
+    told = guess
     if strategy == "margin":
-        return F.when(F.size(scores) < 2, "only one tag").otherwise(F.concat(F.lit("close call: "), pct(1), F.lit(" against "), pct(2)))
+        told = F.when(F.size(best) < 2, guess).otherwise(F.format_string(REASONS["margin"], first["tag"], percent(first), second["tag"], percent(second)))
     if strategy == "entropy":
-        return F.concat(F.lit("spread over "), F.size(scores).cast("string"), F.lit(" tags"))
-    return F.concat(F.lit("best tag reaches only "), pct(1))
+        named = F.transform(F.slice(best, 1, 3), lambda x: F.format_string("'%s' (%s)", x["tag"], percent(x)))
+        told = F.concat(F.lit(REASONS["entropy"]), F.array_join(named, ", "))
+    return F.when(F.size(best) == 0, F.lit(REASONS["none"])).otherwise(told)
 
 
-def near_threshold(score_rows: DataFrame, margin: float) -> DataFrame:
+def near_threshold(rows: DataFrame, profile_table: DataFrame, margin: float) -> DataFrame:
     """(ord, rank, tag, score, threshold) within a margin of the threshold, the closest first."""
-    gap = F.abs(F.col("score") - F.col("threshold"))
-    close = score_rows.where(gap <= margin)
-    return close.withColumn("rank", F.row_number().over(Window.partitionBy("ord").orderBy(F.round(gap, 9), "tag"))).select("ord", "rank", "tag", "score", "threshold")
+
+    def gap(s: np.ndarray, limits: np.ndarray) -> np.ndarray:
+        d = np.abs(s - limits)
+        return np.where(d <= margin, np.round(d, 9), np.inf)
+
+    return _picked(rows, profile_table, gap, 0)
 
 
-def bootstrap(score_rows: DataFrame, tag: str, top_k: int = 20) -> DataFrame:
-    """(rank, ord, score) of the rows that fit one tag best."""
+def bootstrap(rows: DataFrame, profile_table: DataFrame, tag: str, top_k: int = 20) -> DataFrame:
+    """(rank, ord, score) of the rows that fit one tag best; no rows for a tag without a profile. Only its profile is
+    scored."""
     order = [F.desc(F.round("score", 9)), "ord"]
-    few = score_rows.where(F.col("tag") == tag).orderBy(*order).limit(top_k)
+    few = scored(rows, profile_table.where(F.col("tag") == tag)).orderBy(*order).limit(top_k)
     return few.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "ord", "score")
 
 

@@ -74,22 +74,22 @@ def with_fallback(results: DataFrame, least: float = 0.3) -> DataFrame:
 
 
 def minima(series: DataFrame, percentile: float = 0.4, keep: int = 2, key: str = "path") -> DataFrame:
-    """(key, rank, i, x): the lowest local minima of a series (key, i, x) that lie below its percentile; at the ends only one
-    neighbour counts."""
+    """(key, rank, i, x): the lowest local minima of a series (key, i, x) that lie below its percentile. A minimum is lower
+    than both neighbours, so a plateau has none; at the ends only one neighbour counts."""
     order = Window.partitionBy(key).orderBy("i")
     rows = series.withColumns({"before": F.lag("x").over(order), "after": F.lead("x").over(order)})
     limit = series.groupBy(key).agg(F.percentile("x", F.lit(percentile)).alias("limit"))
-    low = rows.join(limit, key).where((F.col("x") < F.col("limit")) & F.coalesce(F.col("x") <= F.col("before"), F.lit(True)) & F.coalesce(F.col("x") <= F.col("after"), F.lit(True)))
+    low = rows.join(limit, key).where((F.col("x") < F.col("limit")) & F.coalesce(F.col("x") < F.col("before"), F.lit(True)) & F.coalesce(F.col("x") < F.col("after"), F.lit(True)))
     return low.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("x", "i"))).where(F.col("rank") <= keep).select(key, "rank", "i", "x")
 
 
 def drop_time(onsets: DataFrame, after: float = 15.0, key: str = "path") -> DataFrame:
-    """(key, t): when the strength of rows (key, t, strength) is highest from some seconds on, the earliest of equals; the
-    highest of all where none is so late."""
+    """(key, t): when the strength of rows (key, t, strength) is highest later than some seconds, the earliest of equals;
+    the highest of all where none is so late."""
     best = lambda late: F.max_by("t", F.when(late, F.struct("strength", -F.col("t"))))
-    return onsets.groupBy(key).agg(F.coalesce(best(F.col("t") >= after), best(F.lit(True))).alias("t"))
+    return onsets.groupBy(key).agg(F.coalesce(best(F.col("t") > after), best(F.lit(True))).alias("t"))
 
 
 def first_crossing(series: DataFrame, level: float, key: str = "path") -> DataFrame:
-    """(key, t): the first time at which rows (key, t, x) reach a level, null if never."""
-    return series.groupBy(key).agg(F.min(F.when(F.col("x") >= level, F.col("t"))).alias("t"))
+    """(key, t): the first time at which rows (key, t, x) are above a level; the first time of all where they never are."""
+    return series.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("x") > level, F.col("t"))), F.min("t")).alias("t"))

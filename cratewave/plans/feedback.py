@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cratewave.functions import scores as S
 from cratewave.functions import text as T
 from cratewave.operators import feedback as B
 from cratewave.plans import register, sql
@@ -187,7 +188,8 @@ def bulk_set_tags(spark, d):
     return B.set_tags(now.where(F.size("tags") > 0), changes.unionByName(cleared)).select("path", F.array_join("tags", "|").alias("tags"))
 
 
-@query("log_by_day", "SELECT strftime(logged_at, '%Y-%m-%d') AS day, action, count(*) AS n, round(avg(confidence), 6) AS confidence FROM correction_log WHERE logged_at IS NOT NULL GROUP BY 1, 2")
+@query("log_by_day", """WITH l AS (SELECT strftime(logged_at, '%Y-%m-%d') AS day, action, round(confidence * 1000000000)::BIGINT AS c FROM correction_log WHERE logged_at IS NOT NULL), s AS (SELECT day, action, count(*) AS n, count(c)::HUGEINT AS k, sum(c)::HUGEINT AS s FROM l GROUP BY day, action)
+  SELECT day, action, n, ((s + 500 * k) // (1000 * k))::BIGINT / 1000000.0::DOUBLE AS confidence FROM s""")
 def log_by_day(spark, d):
     rows = table(spark, d, "correction_log").where("logged_at is not null")
-    return rows.groupBy(F.date_format("logged_at", "yyyy-MM-dd").alias("day"), "action").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return rows.groupBy(F.date_format("logged_at", "yyyy-MM-dd").alias("day"), "action").agg(F.count("*").alias("n"), S.exact_mean(F.col("confidence")).alias("confidence"))

@@ -130,17 +130,17 @@ def series(spark, d):
 
 
 @query("local_minima", f"""WITH {_SERIES}, r AS (SELECT path, i, x, lag(x) OVER w AS b, lead(x) OVER w AS a FROM beats WINDOW w AS (PARTITION BY path ORDER BY i)), l AS (SELECT path, quantile_cont(x, 0.4) AS lim FROM beats GROUP BY path),
-  m AS (SELECT r.path, i, x, row_number() OVER (PARTITION BY r.path ORDER BY x, i) AS rank FROM r JOIN l ON l.path = r.path WHERE x < lim AND coalesce(x <= b, true) AND coalesce(x <= a, true)) SELECT path, rank, i, x FROM m WHERE rank <= 2""")
+  m AS (SELECT r.path, i, x, row_number() OVER (PARTITION BY r.path ORDER BY x, i) AS rank FROM r JOIN l ON l.path = r.path WHERE x < lim AND coalesce(x < b, true) AND coalesce(x < a, true)) SELECT path, rank, i, x FROM m WHERE rank <= 2""")
 def local_minima(spark, d):
     return timeseries.minima(series(spark, d)).withColumn("i", F.col("i").cast("bigint"))
 
 
-@query("drop_detection", f"""WITH {_SERIES} SELECT path, coalesce(arg_max(i, (x, -i)) FILTER (WHERE i >= 15), arg_max(i, (x, -i)))::DOUBLE AS t FROM beats GROUP BY path""")
+@query("drop_detection", f"""WITH {_SERIES} SELECT path, coalesce(arg_max(i, (x, -i)) FILTER (WHERE i > 15), arg_max(i, (x, -i)))::DOUBLE AS t FROM beats GROUP BY path""")
 def drop_detection(spark, d):
     return timeseries.drop_time(series(spark, d))
 
 
-@query("first_crossing", f"WITH {_SERIES} SELECT path, (min(i) FILTER (WHERE x >= 100))::DOUBLE AS t FROM beats GROUP BY path")
+@query("first_crossing", f"WITH {_SERIES} SELECT path, coalesce(min(i) FILTER (WHERE x > 100), min(i))::DOUBLE AS t FROM beats GROUP BY path")
 def first_crossing(spark, d):
     return timeseries.first_crossing(series(spark, d), 100.0)
 

@@ -34,10 +34,10 @@ def free_rows(t, v):
     return G.untagged(t).select("ord").join(v.select("ord", "v"), "ord")
 
 
-def scores(spark, d):
-    """(ord, tag, score, threshold) of untagged tracks."""
+def unlabelled(spark, d):
+    """(rows to score, profiles): the untagged tracks and what was learned of the others."""
     t, v, p = learned(spark, d)
-    return G.scored(free_rows(t, v), p)
+    return free_rows(t, v), p
 
 
 def suggested(spark, d):
@@ -100,32 +100,35 @@ def tag_snapshot(spark, d):
 _LISTS = f"{_SCORED}, li AS (SELECT ord, list(score ORDER BY score DESC, tag DESC) AS s, list(tag ORDER BY score DESC, tag DESC) AS t FROM sc GROUP BY ord)"
 
 
-def _uncertain(value: str) -> str:
-    return f"""{_LISTS}, un AS (SELECT ord, round({value}, 9) AS u, array_to_string(t[1:3], ', ') AS top_tags FROM li)
-      SELECT row_number() OVER (ORDER BY isnan(u), u DESC, ord) AS rank, ord, u AS uncertainty, top_tags FROM un ORDER BY isnan(u), u DESC, ord LIMIT 10"""
+def _uncertain(value: str, reason: str) -> str:
+    return f"""{_LISTS}, un AS (SELECT ord, round({value}, 9) AS u, array_to_string(t[1:3], ', ') AS top_tags, {reason} AS reason FROM li)
+      SELECT row_number() OVER (ORDER BY isnan(u), u DESC, ord) AS rank, ord, u AS uncertainty, top_tags, reason FROM un ORDER BY isnan(u), u DESC, ord LIMIT 10"""
 
 
-def _strategy(name: str, strategy: str, value: str) -> None:
-    @query(name, _uncertain(value))
+def _strategy(name: str, strategy: str, value: str, reason: str) -> None:
+    @query(name, _uncertain(value, reason))
     def uncertain(spark, d):
-        return G.uncertainty(scores(spark, d), strategy).drop("reason")
+        return G.least_clear(*unlabelled(spark, d), strategy)
 
 
 _TOTAL = "list_sum(s)"
-_strategy("uncertain_margin", "margin", "CASE WHEN len(s) < 2 THEN 0.0 ELSE 1 - (s[1] - s[2]) END")
+_GUESS = "printf('Best guess is ''%s'' but only %.0f%% confident', t[1], s[1] * 100)"
+_CLOSE = f"CASE WHEN len(s) < 2 THEN {_GUESS} ELSE printf('I''m %.0f%% sure it''s ''%s'' but %.0f%% sure it''s ''%s''. Which is it?', s[1] * 100, t[1], s[2] * 100, t[2]) END"
+_ANY = "'Could be any of: ' || array_to_string(list_transform(range(1, least(len(s), 3) + 1), lambda i: printf('''%s'' (%.0f%%)', t[i], s[i] * 100)), ', ')"
+_strategy("uncertain_margin", "margin", "CASE WHEN len(s) < 2 THEN 0.0 ELSE 1 - (s[1] - s[2]) END", _CLOSE)
 _strategy("uncertain_entropy", "entropy", f"CASE WHEN {_TOTAL} = 0 THEN 0.0 WHEN list_min(s) / {_TOTAL} + 1e-10 < 0 OR list_max(s) / {_TOTAL} + 1e-10 < 0 THEN 'nan'::DOUBLE"
-          f" ELSE -list_sum(list_transform(s, lambda x: x / {_TOTAL} * ln(greatest(x / {_TOTAL} + 1e-10, 1e-300)))) END")
-_strategy("uncertain_least_conf", "least_confidence", "1 - list_max(s)")
+          f" ELSE -list_sum(list_transform(s, lambda x: x / {_TOTAL} * ln(greatest(x / {_TOTAL} + 1e-10, 1e-300)))) END", _ANY)
+_strategy("uncertain_least_conf", "least_confidence", "1 - list_max(s)", _GUESS)
 
 
 @query("near_threshold", f"{_SCORED} SELECT ord, row_number() OVER (PARTITION BY ord ORDER BY round(abs(score - threshold), 9), tag) AS rank, tag, round(score, 6) AS score, round(threshold, 6) AS threshold FROM sc WHERE abs(score - threshold) <= 0.05")
 def near_threshold(spark, d):
-    return _rounded(G.near_threshold(scores(spark, d), 0.05), "score", "threshold")
+    return _rounded(G.near_threshold(*unlabelled(spark, d), 0.05), "score", "threshold")
 
 
 @query("tag_bootstrap", f"{_SCORED} SELECT row_number() OVER (ORDER BY round(score, 9) DESC, ord) AS rank, ord, round(score, 6) AS score FROM sc WHERE tag = 'After Hours' ORDER BY round(score, 9) DESC, ord LIMIT 20")
 def tag_bootstrap(spark, d):
-    return _rounded(G.bootstrap(scores(spark, d), "After Hours"), "score")
+    return _rounded(G.bootstrap(*unlabelled(spark, d), "After Hours"), "score")
 
 
 @query("needs_more_samples", f"{_LEARN} SELECT tag, samples, 60 - samples AS missing FROM prof WHERE samples < 60")
@@ -135,9 +138,8 @@ def needs_more_samples(spark, d):
 
 @query("diversity_sample", None)
 def diversity_sample(spark, d):
-    t, v, p = learned(spark, d)
-    rows = free_rows(t, v)
-    worst = G.uncertainty(G.scored(rows, p), "margin", 50).select("ord", "uncertainty")
+    rows, p = unlabelled(spark, d)
+    worst = G.least_clear(rows, p, "margin", 50).select("ord", "uncertainty")
     return G.diverse(rows.join(worst, "ord"), 10)
 
 

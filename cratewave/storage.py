@@ -1,8 +1,9 @@
 """Intermediate tables in the folder that all executors share.
 
 Lineage is cut by writing a table, so a lost executor costs a re-read instead of a recomputation. The folder is the
-cluster's `spark.checkpoint.dir`; only where that is unset (tests on one machine) a temporary folder of this machine is
-made and set. Tables stay readable as long as the program runs and are deleted at its end.
+cluster's `spark.checkpoint.dir`; only where that is unset and the master is one machine (tests) a temporary folder of
+this machine is made and set; on a cluster without the setting an error is raised. Tables stay readable as long as the
+program runs and are deleted at its end, or before by `discard`.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = option.get() if option.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="cratewave-")
         _own.append(folder)
         found = f"file://{folder}"
@@ -41,7 +45,23 @@ def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | No
         writer = writer.partitionBy(*partition_by)
     _written.append((spark, path))
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._table_path = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that `materialize` returned and that nothing will read again, such as those of a round gone by."""
+    for table in tables:
+        path = getattr(table, "_table_path", None)
+        if path:
+            _written.remove((table.sparkSession, path))
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
@@ -54,9 +74,7 @@ def spread(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
 def _clean() -> None:
     for spark, path in _written:
         try:  # the session may have ended before
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:
             break
     for folder in _own:

@@ -226,3 +226,44 @@ def test_no_seed_no_rows(spark):
     seed = rank.resolve_seed(df, "x")
     assert seed is None and rank.recommend(df, seed).count() == 0 and rank.discover(df, seed, rank.RankingSpec()).count() == 0
     assert rank.sequence(df, df).count() == 0 and knn.nearest_for_all(df, df, 3).count() == 0
+
+
+def test_series_at_equality(spark):
+    rows = [("a", i, float(x)) for i, x in enumerate((5, 1, 1, 5, 0, 5, 2))]
+    s = spark.createDataFrame(rows, "path string, i int, x double")
+    assert [(r.i, r.x) for r in timeseries.minima(s, 1.0, 5).orderBy("rank").collect()] == [(4, 0.0), (6, 2.0)]  # the plateau is none
+    t = spark.createDataFrame([("a", 15.0, 9.0), ("a", 16.0, 3.0), ("a", 17.0, 3.0), ("b", 15.0, 2.0), ("b", 1.0, 1.0)], "path string, t double, strength double")
+    assert {r.path: r.t for r in timeseries.drop_time(t).collect()} == {"a": 16.0, "b": 15.0}
+    x = t.withColumnRenamed("strength", "x")
+    assert {r.path: r.t for r in timeseries.first_crossing(x, 3.0).collect()} == {"a": 15.0, "b": 1.0}  # above, not at; never: the first
+    assert timeseries.first_crossing(x, 9.0).where("path = 'a'").first().t == 15.0
+
+
+def test_exact_mean(spark):
+    from cratewave.functions.scores import exact_mean
+
+    df = spark.createDataFrame([("h", 0.522212), ("h", 0.522213), ("n", None), ("one", 0.1)], "k string, x double")
+    assert {r.k: r.m for r in df.groupBy("k").agg(exact_mean(F.col("x")).alias("m")).collect()} == {"h": 0.522213, "n": None, "one": 0.1}
+
+
+def test_scores_stay_in_their_batch(spark):
+    p = spark.createDataFrame([("a", [1.0, 0.0], 0.5), ("b", [0.0, 1.0], 0.5), ("c", [0.6, 0.8], 0.9)], "tag string, centroid array<double>, threshold double")
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0])], "ord bigint, v array<double>")
+    assert [(r.ord, r.rank, r.tag) for r in tags.suggest(rows, p).orderBy("ord", "rank").collect()] == [(1, 1, "a"), (2, 1, "b")]
+    assert "Exchange" not in tags.suggest(rows, p)._jdf.queryExecution().executedPlan().toString()
+    for strategy in tags.STRATEGIES:
+        short, long = tags.least_clear(rows, p, strategy).collect(), tags.uncertainty(tags.scored(rows, p), strategy).collect()
+        assert [(r.ord, r.top_tags, r.reason) for r in short] == [(r.ord, r.top_tags, r.reason) for r in long]
+    assert tags.least_clear(rows, p).where("ord = 1").first().reason == "I'm 100% sure it's 'a' but 60% sure it's 'c'. Which is it?"
+    assert tags.bootstrap(rows, p, "c", 1).first().ord == 2 and tags.bootstrap(rows, p, "none").count() == 0
+    assert [(r.ord, r.tag) for r in tags.near_threshold(rows, p, 0.11).orderBy("ord").collect()] == [(2, "c")]
+
+
+def test_intermediate_tables(spark):
+    from cratewave.storage import discard, materialize
+
+    t = materialize(spark.range(3), "gone")
+    discard(t, None)
+    import os
+
+    assert not os.path.exists(t._table_path.removeprefix("file://"))
