@@ -1,11 +1,11 @@
-"""Connected components of a graph given as pairs, by alternating large-star and small-star steps."""
+"""Connected components of a graph given as pairs, by alternating large-star and small-star steps; pairs within classes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from cratewave.storage import materialize
+from cratewave.storage import discard, materialize
 
 
 def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -26,11 +26,27 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         seen = Observation()  # taken while the table is written
+        gone = edges
         edges = materialize(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
         state = tuple(seen.get.values())
+        discard(gone)
         if state == before:
             break
         before = state
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+#: Members of a class up to which its pairs are made in one piece.
+HOT_CLASS = 4_000
+
+
+def class_pairs(members: DataFrame, keys: list[str], hot: int = HOT_CLASS) -> DataFrame:
+    """(a, b), a < b, of all rows (`keys`, id) of one class. A class of more than `hot` members is cut into parts: each
+    part meets a copy of the whole class in a task of its own, so no task makes all pairs of a large class."""
+    parts = members.groupBy(*keys).agg(F.ceil(F.count("*") / hot).cast("int").alias("parts"))
+    rows = members.join(parts, keys)
+    left = rows.select(*keys, F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    right = rows.select(*keys, F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, [*keys, "part"]).where("a < b").select("a", "b")

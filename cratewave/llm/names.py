@@ -1,48 +1,41 @@
 """Spellings of names typed by people, linked to the person, duo or group they mean.
 
 Method: merge-and-rematch resolution. A name is parsed into its kind (person, duo, group, bare), its distinguishing core
-(the family name or the name of a group) and its attributes (given names or the kind of group), where given names are
-learned from the corpus: words that stand beside many rarer ones. Equal parses start as one profile. Profiles with agreeing
-attributes and cores of a small edit distance merge; a merged profile unites the spellings of its members, and with all
-its spellings enters blocking again, where profiles with initials, shortened or no attributes are matched to the only
-artist they fit. This is repeated until nothing merges. A shared core alone links nothing where it fits two artists.
-
-Blocking is by single-deletion keys of the cores, joined together with kind and attributes where these are known.
+(the family name or the name of a group) and its attributes (given names, initials or the kind of group). What a word
+means is learned from the corpus, not listed: given names and kinds of groups are words that stand beside many rarer ones,
+the former mostly first, the latter mostly last; a nickname, a short form or a typing error stands beside the same cores
+as the word it stands for.
+
+Equal parses start as one profile. Profiles whose attributes and cores agree merge; a profile with initials, shortened or
+no attributes merges with the only artist that it fits. A merged profile unites the cores, initials and names of its
+members, also to combinations that none of them has ("R. & Wilmund", "Roswithe & W."): these enter blocking again as new
+forms of the profile, against all forms, until no round brings a new form or a new link. A shared core alone links nothing
+where it fits two artists.
+
+Blocking is by deletion keys of the cores, joined with kind and attributes where these are known.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cratewave.llm.graph import components
-from cratewave.storage import materialize
-
-# Words for kinds of groups, with the short forms that are in use.
-GROUP_WORDS = {
-    "project": ("proj", "prj"), "quartet": ("qrt", "quart", "qtet", "4tet"), "records": ("rec", "recs", "rcds"), "collective": ("coll", "col", "clctv", "kollektiv"),
-    "laboratory": ("lab", "labs"), "experience": ("exp", "exper", "xp"), "department": ("dept", "dpt", "dep"), "international": ("intl", "int"),
-    "brothers": ("bros", "brs", "bro"), "ensemble": ("ens", "ensbl", "enmbl"), "orchestra": ("orch", "orc", "ork"), "soundsystem": ("soundsys", "ss"),
-    "trio": (), "quintet": ("qnt",), "band": (), "choir": (), "sisters": (), "crew": (), "unit": (), "foundation": ("fdn",), "company": ("co",), "society": ("soc",),
-}
-# Nicknames that are no shortening of the name they stand for.
-NICKNAMES = {
-    "william": ("bill", "billy"), "anthony": ("tony",), "margaret": ("peggy", "maggie", "greta", "meg"), "elisabeth": ("betty", "liz", "lisa", "lilli", "beth"),
-    "charlotte": ("lottie", "charlie"), "katarina": ("katya", "katja", "kata"), "ekaterina": ("katya", "katja"), "theodore": ("ted", "theo"), "dorothy": ("dot", "dotty", "dolly"),
-    "francisco": ("paco", "pancho", "cisco"), "jose": ("pepe",), "robert": ("bob", "bobby", "bert"), "michael": ("mike", "mick"), "benjamin": ("benji", "benny"),
-    "leonardo": ("nardo", "leo"), "henrik": ("rikki", "rik", "hank"), "jurgen": ("jupp",), "gudrun": ("gunna", "runa"), "isabella": ("bella", "izzy"), "victoria": ("vicky", "tori"),
-    "patrick": ("paddy",), "frederic": ("freddy", "fred"), "aleksander": ("sasha", "alex", "olek", "sander"), "yasmin": ("yaz",), "ximena": ("mena",), "umberto": ("berto",),
-    "oluwaseun": ("seun",), "vojtech": ("vojta",), "wiktor": ("witek",), "helene": ("lena",), "agnes": ("agi",), "lukasz": ("luki",), "nathaniel": ("nate",),
-}
+from cratewave.llm.graph import class_pairs, components
+from cratewave.storage import discard, materialize
+
 PLAIN = str.maketrans({"ø": "o", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "ß": "ss", "æ": "ae", "đ": "d", "œ": "oe"})
-SHORT = {s: word for word, shorts in GROUP_WORDS.items() for s in shorts}
 #: A word is common from so many different neighbours on, spellings of one word counted once, whatever the table's size.
 COMMON = 5
+#: Common words and meanings that are sent to the driver and to all tasks at most: a vocabulary, not data. More is an error.
+MAX_WORDS = 200_000
+#: Full forms of one block up to which it is joined in one piece.
+HOT_BLOCK = 2_000
 
 
 def fold(text: str) -> str:
@@ -76,16 +69,28 @@ def slack(word: str) -> int:
     return 0 if len(word) < 4 else 1 if len(word) < 7 else 2
 
 
+def shorter(word: str) -> set[str]:
+    """The word and all forms with one character less."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def abbreviates(short: str, word: str) -> bool:
+    """Whether a shorter word begins as the other and has its letters in the same order."""
+    rest = iter(word)
+    return len(short) < len(word) and short[:1] == word[:1] and all(c in rest for c in short)
+
+
 def words_of(name: str) -> list[str]:
-    """Folded words of a name; "&" between the members of a duo, "," kept, a dot kept at shortened words."""
+    """Folded words of a name without a quoted nickname; "&" between the members of a duo, "," kept, a dot kept at
+    shortened words; dotted letters in a row are one word."""
     out = []
     name = re.sub(r"(?<=\s)['‘\"“][^'’\"”]+['’\"”](?=\s)", " ", f" {name} ")
     for i, c in enumerate(name):
         if c.isupper() and name[i - 1].islower() and name[i : i + 3].isalpha() and sum(x.isupper() for x in name) < len(name) / 2:
             out.append(" ")
         out.append(c)
-    s = fold("".join(out))
-    s = re.sub(r"\bs\.\s*s\.", " soundsystem ", s).replace("int'l", "intl")
+    s = re.sub(r"(?<=\w)['’](?=\w)", "", fold("".join(out)))
+    s = re.sub(r"\b([a-z])\.\s*([a-z])\.", r"\1\2.", s)
     s = re.sub(r"\s(?:and|und)\s|[&+/]", " & ", s)
     return re.findall(r"[a-z0-9']+\.?|&|,", s)
 
@@ -96,85 +101,138 @@ def quoted(name: str) -> tuple[str, str] | None:
     return (fold(m[1]), fold(m[2])) if m else None
 
 
+def index_of(words: Iterable[str], most: Callable[[str], int]) -> dict[str, list[str]]:
+    """Words by all forms that lack up to `most` of their characters."""
+    out: dict[str, list[str]] = {}
+    for w in words:
+        for key in lacking(w, most(w)):
+            out.setdefault(key, []).append(w)
+    return out
+
+
+def lacking(word: str, n: int) -> set[str]:
+    """The word and all forms with up to n characters less."""
+    forms = {word}
+    for _ in range(n):
+        forms |= {f for w in forms for f in shorter(w)}
+    return forms
+
+
 class Lexicon:
-    """Common words of the corpus and what shortened and other forms of them mean."""
-
-    def __init__(self, common: dict[str, int], nicknames: list[tuple[str, str]]) -> None:
-        """`common`: words and how many different neighbours they have. A word that is a typing error of one with four
-        times as many, or of a group word, is left out, however common."""
-        kept: dict[str, int] = {}
-        for w, n in sorted(common.items(), key=lambda z: (-z[1], z[0])):
-            group = w in GROUP_WORDS or w in SHORT or w in ("the", "and", "sound", "system") or any(near(w, g, slack(w)) for g in GROUP_WORDS)
-            if len(w) > 2 and not group and not any(len(s) > 4 and s[0] == w[0] and near(w, s, 1) for s in SHORT):
-                if not any(m >= 4 * n and near(w, g, min(slack(w), slack(g))) for g, m in kept.items()):
-                    kept[w] = n
-        self.given = sorted({*kept, *NICKNAMES})
-        known = set(self.given)
-        self.nick: dict[str, set[str]] = {}
-        told: dict[str, list[str]] = {}
-        for g, n in nicknames:
-            # an unknown name that is a typing error of one that was told with the same nickname, more often, means that one
-            more = next((x for x in told.get(n, ()) if near(g, x, 1)), g)
-            told.setdefault(n, []).append(more if g not in known else g)
-        for g, n in [*((g, n) for g, many in NICKNAMES.items() for n in many), *((g, n) for n, many in told.items() for g in many)]:
-            g = next((x for x in self.given if x == g or near(x, g, slack(g))), g) if g not in known else g
-            if n != g:
-                self.nick.setdefault(n, set()).add(g)
-        self.known = known - {n for n in self.nick if n not in NICKNAMES}  # a nickname may be common, too
-        self.nick_near: dict[str, list[str]] = {}
-        for n in self.nick:
-            for key in shorter(n):
-                self.nick_near.setdefault(key, []).append(n)
+    """Common words of the corpus, what they are, and what other words mean."""
+
+    def __init__(self, words: list[tuple[str, int, float, float]], bigrams: list[str], shared: list[tuple[str, str, int, int]], told: list[tuple[str, str]]) -> None:
+        """`words`: (word, names it stands in, share of them in which it is first, share of names of three words or more
+        among those of no duo). `bigrams`: words that belong together. `shared`: (word, common word, cores that both stand
+        beside, cores of the word). `told`: (given name, nickname)."""
+        count = {w: n for w, n, _, _ in words}
+        first = {w: f for w, _, f, _ in words}
+        self.joined = {tuple(b.split(" ")) for b in bigrams}
+        self.stop = {w for w, _, f, wide in words if f > 0.9 and wide > 0.8}
+        is_group = lambda w: first[w] < 0.4
+        halves = {h for pair in self.joined for h in pair}
+        common = [w for w, *_ in sorted(words, key=lambda z: (-z[1], z[0])) if w not in self.stop and w not in halves and len(w) > 2]
+        means: dict[str, dict[str, int]] = {}
+        for w, g, both, own in shared:
+            if g not in count or g in self.stop or w == g or self._is_stop(w) and not abbreviates(w, g) or (w in first and is_group(w) != is_group(g)):
+                continue
+            if both >= 0.2 * own and (both >= 3 or 2 * both >= own and len(w) <= len(g) + 1 or near(w, g, 1 + (len(w) > 6)) or abbreviates(w, g)):
+                means.setdefault(w, {})[g] = both
+        for x, y in self.joined:
+            means.setdefault(x[0] + y[0], {x + y: 1})
+        for given, nick in told:
+            near_ = given if given in count else next((g for g in common if not is_group(g) and near(given, g, slack(g))), given)
+            means.setdefault(nick, {}).setdefault(near_, 1)
+        #: Common words that stand for themselves; of two spellings of one word the more frequent one.
+        self.given: set[str] = set()
+        self.groups: set[str] = set()
+        for w in common:
+            more = means.get(w, {})
+            if not any(count.get(g, 0) > count[w] for g in more):
+                vocabulary = self.groups if is_group(w) else self.given
+                like = [g for g in (*self.groups, *self.given) if count[g] >= 4 * count[w] and near(w, g, min(slack(w), slack(g)))]
+                like = like or [g for g in vocabulary if count[g] >= 4 * count[w] and (g.startswith(w) or is_group(w) and abbreviates(w, g))]
+                if len(like) == 1:
+                    means.setdefault(w, {})[like[0]] = 1
+                else:
+                    vocabulary.add(w)
+        self.means: dict[str, list[str]] = {}
+        for w, found in means.items():
+            if w in self.given or w in self.groups:
+                continue
+            ends = {e for g in found for e in self._ends(g, means)}
+            best = max(found.values())
+            strong = {e for g, n in found.items() if n >= 0.4 * best for e in self._ends(g, means)}
+            self.means[w] = sorted(strong or ends)
+        # a given name that is only told of with its nicknames is one, too
+        self.given |= {g for found in self.means.values() for g in found if g not in self.groups}
+        self.near_given, self.near_group = (index_of(v, slack) for v in (self.given, self.groups))
+        self.near_other = index_of((w for w in self.means if len(w) >= 4), lambda w: 1)
+        self.starts: dict[str, list[str]] = {}
+        for g in sorted(self.given):
+            for k in range(3, 6):
+                self.starts.setdefault(g[:k], []).append(g)
         self.cache: dict[str, str | None] = {}
 
+    def _ends(self, w: str, means: dict[str, dict[str, int]], depth: int = 4) -> set[str]:
+        """What a word means where that has a meaning itself."""
+        if w in self.given or w in self.groups or w not in means or not depth:
+            return {w}
+        top = max(means[w].items(), key=lambda z: (z[1], z[0]))[0]
+        return self._ends(top, means, depth - 1)
+
     def attribute(self, word: str) -> str | None:
         """"=name" of a given name, "?a|b" of a nickname of several, "~x" of a shortened one, "#word" of a group, or None."""
         if word not in self.cache:
             self.cache[word] = self._attribute(word)
         return self.cache[word]
 
+    def _meant(self, names: list[str]) -> str:
+        if names[0] in self.groups:
+            return "#" + names[0]
+        return "=" + names[0] if len(names) == 1 else "?" + "|".join(names)
+
     def _attribute(self, word: str) -> str | None:
         dotted, w = word.endswith("."), word.rstrip(".")
-        if w in GROUP_WORDS:
-            return "#" + w
-        if w in SHORT:
-            return "#" + SHORT[w]
         if len(w) == 1:
             return "~" + w if w.isalpha() else None
-        if w in self.known:
+        if w in self.groups:
+            return "#" + w
+        if w in self.given:
             return "=" + w
-        if w in self.nick:
-            names = sorted(self.nick[w])
-            return "=" + names[0] if len(names) == 1 else "?" + "|".join(names)
-        shorts = {SHORT[s] for s in SHORT if len(w) >= 3 and len(s) >= 3 and s[0] == w[0] and near(s, w, 1)}
+        if w in self.means:
+            return self._meant(self.means[w])
+        kinds = {g for g in self.groups if g.startswith(w) or len(w) <= 5 and abbreviates(w, g)} if len(w) > 2 else set()
+        typed = {n for key in shorter(w) for n in self.near_other.get(key, ()) if near(n, w, 1)} if len(w) >= 4 else set()
+        meant = sorted({g for n in typed for g in self.means[n]})
         if dotted and len(w) <= 4:
-            short = len(shorts) == 1 and len(w) == 4 and not any(g.startswith(w) for g in self.known)
-            return "#" + shorts.pop() if short else "~" + w
-        for vocabulary, mark in ((self.known, "="), (GROUP_WORDS, "#")):
-            close = [g for g in vocabulary if g[0] in w[:2] and near(g, w, slack(min(g, w, key=len)) or (len(g) == 3 and g[0] == w[0] and len(w) > 2))]
+            kinds |= {g for g in meant if g in self.groups}
+            return "#" + kinds.pop() if len(kinds) == 1 and not any(g.startswith(w) for g in self.given) else "~" + w
+        for index, mark in ((self.near_given, "="), (self.near_group, "#")):
+            close = {g for key in lacking(w, slack(w)) for g in index.get(key, ())}
+            close = [g for g in close if g[0] in w[:2] and near(g, w, slack(min(g, w, key=len)) or (len(g) == 3 and g[0] == w[0] and len(w) > 2))]
             if close:
                 return mark + min(close, key=lambda g: (not near(g, w, 1), g))
         if dotted:
             return "~" + w
-        starts = [g for g in self.known if g.startswith(w)] if 3 <= len(w) <= 5 else []
+        starts = self.starts.get(w, ())
         if len(starts) == 1:
             return "=" + starts[0]
-        typed = {n for key in shorter(w) for n in self.nick_near.get(key, ())} if len(w) >= 4 else ()
-        names = sorted({g for n in typed if near(n, w, 1) for g in self.nick[n]})
-        if names:
-            return "=" + names[0] if len(names) == 1 else "?" + "|".join(names)
-        return "#" + shorts.pop() if len(shorts) == 1 else None
+        if meant:
+            return self._meant(meant)
+        return "#" + kinds.pop() if len(kinds) == 1 else None
 
     def parse(self, name: str) -> tuple[str, str, str]:
         """(kind p, d, g or b, core, attributes joined by a blank). An empty core marks a name without letters."""
         words = words_of(name)
         tokens: list[str] = []
-        for k, w in enumerate(words):
-            if w in ("dj", "mc", "dj.", "the", "teh", "hte") and len(words) > 1:
-                continue
+        for w in words:
             plain = w.rstrip(".")
-            if tokens and near(plain, "system", 2) and near(tokens[-1].rstrip("."), "sound", 1) and len(plain) > 3:
-                tokens[-1] = "soundsystem"
+            if len(words) > 1 and len(plain) > 1 and self._is_stop(plain) and not (w != plain or plain in self.means or plain in self.starts):
+                continue
+            pair = next((a + b for a, b in self.joined if tokens and len(plain) > 3 and near(plain, b, 2) and near(tokens[-1].rstrip("."), a, 1)), None)
+            if pair:
+                tokens[-1] = pair
             else:
                 tokens.append(w)
         split: list[str] = []
@@ -214,11 +272,15 @@ class Lexicon:
             attributes = [m for m in attributes if m[0] == "#"]
         return kind, " ".join(sorted(cores)), " ".join(attributes)
 
+    def _is_stop(self, w: str) -> bool:
+        """Whether a word is one that tells nothing, such as an article, or a typing error of one."""
+        return w in self.stop or len(w) > 2 and any(len(s) > 2 and abs(len(s) - len(w)) < 2 and near(w, s, 1) for s in self.stop)
+
     def _unglue(self, word: str) -> list[str]:
-        for g in GROUP_WORDS:
+        for g in self.groups:
             if len(g) > 4 and word.endswith(g) and len(word) - len(g) >= 4:
                 return [word[: -len(g)], g]
-        for g in GROUP_WORDS:
+        for g in self.groups:
             for n in (len(g), len(g) - 1, len(g) + 1):
                 if len(g) >= 7 and len(word) - n >= 5 and near(word[-n:], g, 1):
                     return [word[:-n], g]
@@ -272,76 +334,231 @@ def core_slack(a: str, b: str) -> int:
     return 0 if n < 5 else 1 if n < 9 else 2
 
 
-def shorter(word: str) -> set[str]:
-    """The word and all forms with one character less."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
-
-
 def deletions(core: str) -> list[str]:
     """The core and all forms with one character less."""
     return sorted(shorter(core)) if len(core) >= 5 else [core]
 
 
-def unlike(words: list[str], most: int) -> int:
-    """How many of some words, up to `most`, are no typing errors of each other."""
+def unlike(words: list[str], most: int) -> list[str]:
+    """Some words, up to `most`, that are no typing errors of each other: the first ones that are none of those before."""
     kept: list[str] = []
     for w in words:
         if len(kept) == most:
             break
         if not any(near(w, k, max(1, slack(min(w, k, key=len)))) for k in kept):
             kept.append(w)
-    return len(kept)
+    return kept
 
 
-def lexicon_of(rows: DataFrame) -> Lexicon:
-    """The common words of (name) rows: at least `COMMON` different neighbours, mostly rarer than the word itself, and all
-    nicknames that are told. Neither depends on the number of other rows."""
+def lexicon_of(names: DataFrame) -> Lexicon:
+    """What the words of distinct (name) rows are and mean. A word is common if it has at least `COMMON` different
+    neighbours, most of them rarer than itself. It means a common word of twice its names if it stands beside the same
+    cores. Neither depends on the number of other rows. More than `MAX_WORDS` common words or meanings are an error."""
+    spark = names.sparkSession
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = [], []
+            rows: list[tuple[str, str, int, int, int]] = []
             for name in b.column("name").to_pylist():
-                found = sorted({w for w in words_of(name) if w.isalpha() and len(w) > 2})
-                for x in found:
-                    for y in found:
-                        if x != y:
-                            left.append(x), right.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], ["w", "v"])
-
-    def nicknames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                all_ = [w.rstrip(".") for w in words_of(name)]
+                plain = [w for w in all_ if w not in ("&", ",")]
+                single = "&" not in all_
+                units = [(i, w, {w}) for i, w in enumerate(plain) if w.isalnum() and len(w) > 1]
+                if len(plain) > 2 and len(all_) == len(plain):
+                    units += [(i, f"{x} {y}", {x, y}) for i, (x, y) in enumerate(zip(plain, plain[1:])) if min(len(x), len(y)) > 2]
+                for i, w, own in dict((u[1], u) for u in units).values():
+                    rows.append((w, "", int(i == 0), int(single and len(plain) > 2), int(single)))
+                    rows += [(w, v, 0, 0, 0) for v in {v for v in plain if v not in own and len(v) > 2 and v.isalpha()}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string() if k < 2 else pa.int64()) for k in range(5)], ["w", "v", "first", "wide", "single"])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [q for q in map(quoted, b.column("name").to_pylist()) if q]
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.string()), pa.array([n for _, n in found], pa.string())], ["given", "nick"])
 
     def different(group: pa.Table) -> pa.Table:
-        n, v = group["n"].to_pylist(), group["v"].to_pylist()
-        found = unlike([x for _, x in sorted(zip([-k for k in n], v))], COMMON)
-        return group.select(["w", "different"]).slice(0, 1) if found >= COMMON else group.select(["w", "different"]).slice(0, 0)
-
-    pairs = materialize(rows.mapInArrow(neighbours, "w string, v string").groupBy("w", "v").agg(F.count("*").alias("n")), "neighbours")
-    weight = pairs.groupBy("w").agg(F.sum("n").alias("total"), F.count("*").alias("different"))
-    common = (
-        pairs.join(weight.withColumnRenamed("total", "own"), "w").join(weight.select(F.col("w").alias("v"), F.col("total").alias("its")), "v")
-        .groupBy("w").agg(F.first("different").alias("different"), (F.sum(F.when(F.col("its") < F.col("own"), F.col("n")).otherwise(0)) / F.sum("n")).alias("rarer"))
-        .where((F.col("different") >= COMMON) & (F.col("rarer") >= 0.6)).select("w", "different")
-    )
-    # the neighbours of a family name may be many spellings of one given name
-    common = pairs.join(common, "w").groupBy("w").applyInArrow(different, "w string, different bigint")
-    told = rows.mapInArrow(nicknames, "given string, nick string").groupBy("given", "nick").count()
-    told = sorted(told.collect(), key=lambda r: (-r[2], r.given, r.nick))
-    return Lexicon({r.w: r.different for r in common.collect()}, [(r.given, r.nick) for r in told])
-
-
-def resolve(df: DataFrame, *, key: str = "credit_id", name: str = "artist", most_rounds: int = 8) -> DataFrame:
+        order = sorted(zip([-k for k in group["n"].to_pylist()], group["v"].to_pylist()))
+        kept = set(unlike([v for _, v in order], COMMON))
+        return group.filter(pa.array([v in kept for v in group["v"].to_pylist()])).select(["w", "v", "n"])
+
+    pairs = names.mapInArrow(beside, "w string, v string, first bigint, wide bigint, single bigint").groupBy("w", "v").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("first", "wide", "single")])
+    pairs = materialize(pairs, "neighbours")
+    own = pairs.where("v = ''").select("w", F.col("n").alias("own"), "first", "wide", "single")
+    its = own.where(~F.contains("w", F.lit(" "))).select(F.col("w").alias("v"), F.col("own").alias("its"))
+    rarer = F.sum(F.when(F.col("its") < F.col("own"), F.col("n")).otherwise(0)) / F.sum("n")
+    several = pairs.where("v <> ''").join(own.where(f"own >= {COMMON}").select("w", "own"), "w").join(its, "v")
+    wanted = several.groupBy("w").agg(F.count("*").alias("different"), rarer.alias("rarer")).where(f"different >= {COMMON} and rarer >= 0.6").select("w")
+    # the neighbours of a family name may be many spellings of one given name: counted in salted parts, then together
+    salted = several.join(wanted, "w").select("w", "v", "n", F.pmod(F.xxhash64("v"), F.lit(16)).alias("s")).groupBy("w", "s").applyInArrow(different, "w string, v string, n bigint")
+    common = salted.groupBy("w").applyInArrow(different, "w string, v string, n bigint").groupBy("w").count().where(f"count >= {COMMON}").select("w")
+    found = common.join(own, "w").limit(MAX_WORDS + 1).collect()
+    near_ = F.broadcast(spark.createDataFrame([(r.w,) for r in found[:MAX_WORDS] if " " not in r.w], "w string"))
+    mutual = pairs.where("v <> ''").join(near_, "w").join(near_.select(F.col("w").alias("v")), "v").select("w", "v", "n").limit(10 * MAX_WORDS + 1).collect()
+    mass = {r.w: r.n for r in pairs.where("v <> ''").join(near_, "w").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    found = _without_cores(found, [(r.w, r.v, r.n) for r in mutual], mass)
+    words = [(r.w, r.own, r["first"] / r.own, r.wide / max(1, r.single)) for r in found if " " not in r.w]
+    count = {w: n for w, n, *_ in words}
+    bigrams = [r.w for r in found if " " in r.w and all(r.own >= 0.6 * count.get(x, 0) for x in r.w.split(" ")) and not set(r.w.split(" ")) & {w for w, _, f, wide in words if f > 0.9 and wide > 0.8}]
+    known = spark.createDataFrame([(w, n) for w, n in sorted(count.items())] + [(b.replace(" ", ""), 1 << 40) for b in bigrams], "g string, total bigint")
+    # words and common words beside the same core, which is itself no common word; words that belong together are one
+    one = pairs.where("v <> ''").select(F.replace("w", F.lit(" "), F.lit("")).alias("w"), "v", F.contains("w", F.lit(" ")).alias("two"))
+    one = one.where(~F.col("two") | F.col("w").isin([b.replace(" ", "") for b in bigrams])).join(known.select(F.col("g").alias("v")), "v", "left_anti").select("w", "v").distinct()
+    if bigrams:
+        halves = [h for b in bigrams for h in b.split(" ")]
+        one = one.where(~F.col("w").isin(halves) & ~F.col("v").isin(halves))
+    one = materialize(one, "cores")
+    both = one.join(one.join(F.broadcast(known), one["w"] == known["g"]).select("v", "g", "total"), "v").where("w <> g").groupBy("w", "g").agg(F.count("*").alias("both"), F.first("total").alias("total")).where("both >= 2")
+    both = both.join(one.groupBy("w").agg(F.count("*").alias("cores")), "w").join(own.select("w", "own"), "w").where("total >= 2 * own and both >= 0.2 * cores")
+    # beside a core stand common words: what stands beside them half of the time is no word for one
+    plain = [w for w, _, f, wide in words if not (f > 0.9 and wide > 0.8)]
+    among = pairs.where("v <> ''").join(F.broadcast(spark.createDataFrame([(w,) for w in plain], "v string")).withColumn("c", F.lit(1)), "v", "left")
+    among = among.groupBy("w").agg((F.sum(F.when(F.col("c") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("among")).where("among < 0.5").select("w")
+    both = both.join(among, "w", "left_semi")
+    shared = both.select("w", "g", "both", "cores").limit(MAX_WORDS + 1).collect()
+    nicknames = names.mapInArrow(told, "given string, nick string").groupBy("given", "nick").count().limit(MAX_WORDS + 1).collect()
+    if max(len(found), len(shared), len(nicknames), len(mutual) // 10) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} common words or meanings")
+    discard(pairs, one)
+    words += [(b.replace(" ", ""), r.own, 0.0 if r["first"] / r.own < 0.4 else 1.0, 0.0) for r in found for b in [r.w] if b in bigrams]
+    return Lexicon(sorted(words), sorted(bigrams), sorted((r.w, r.g, r.both, r.cores) for r in shared), sorted((r.given, r.nick) for r in nicknames))
+
+
+def _without_cores(found: list, mutual: list[tuple[str, str, int]], mass: dict[str, int]) -> list:
+    """Common words (w, own, first, wide) less those that are cores: a family name that many share stands beside common
+    words, most of the time, and those beside rare ones. The clearest cases go first, as they count for the others."""
+    stop = {r.w for r in found if r["first"] > 0.9 * r.own and r.wide > 0.8 * max(1, r.single)}
+    beside: dict[str, dict[str, int]] = {}
+    for w, v, n in mutual:
+        if v not in stop:
+            beside.setdefault(w, {})[v] = n
+    among = {w: sum(b.values()) for w, b in beside.items() if w not in stop}
+    gone: set[str] = set()
+    heap = [(-n / mass[w], w) for w, n in among.items()]
+    heapq.heapify(heap)
+    while heap:
+        share, w = heapq.heappop(heap)
+        if w in gone or -share != among[w] / mass[w]:
+            continue  # out of date
+        if -share < 0.5:
+            break
+        gone.add(w)
+        for v in beside[w]:
+            if v in among and v not in gone and w in beside.get(v, ()):
+                among[v] -= beside[v][w]
+                heapq.heappush(heap, (-among[v] / mass[v], v))
+    return [r for r in found if r.w not in gone]
+
+
+FORM = "form bigint, kind string, core string, attributes string"
+FULL = "kind <> 'b' and not attributes rlike '[~?]'"
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocking keys of forms: `strict` ones tell kind, core and attributes up to one typing error on either side, the
+    others (null) only the core."""
+    for b in batches:
+        out: list[tuple[int, str, bool]] = []
+        for i, (kind, core, attributes) in enumerate(zip(*(b.column(c).to_pylist() for c in ("kind", "core", "attributes")))):
+            near_core = deletions(core)
+            out += [(i, k, False) for k in near_core]
+            out += [(i, f"{kind} {attributes}\x1f{k}", True) for k in near_core]
+            if kind in "pd" and not re.search("[~?]", attributes):
+                words = [w[1:] for w in attributes.split()]
+                typed = {f for w in words for f in (*shorter(w), "^" + w[:3], "$" + w[-4:])}
+                out += [(i, f"{kind}\x1e{core}\x1f{f}", True) for f in typed]
+        at = pa.array([i for i, *_ in out], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), pa.array([k for _, k, _ in out], pa.string()), pa.array([s for *_, s in out], pa.bool_())], [*b.schema.names, "block", "strict"])
+
+
+def _check(agree: Callable[[str, str, str, str], bool]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(n).to_pylist() for n in ("core_a", "core_b", "attributes_a", "attributes_b")]
+            yield b.select(["a", "b"]).filter(pa.array([agree(*x) for x in zip(*columns)], pa.bool_()))
+
+    return run
+
+
+def same_artist_forms(p: str, q: str, u: str, v: str) -> bool:
+    """Whether two forms of one kind certainly agree: equal attributes and like cores, or equal cores and like attributes."""
+    if u == v:
+        return near(p, q, core_slack(p, q))
+    return p == q and bool(u) and not re.search("[~?]", u + v) and fits(u, v)
+
+
+def may_mean(p: str, q: str, u: str, v: str) -> bool:
+    """Whether a form with shortened or no attributes may be one with full or longer ones, or one that has in full what
+    it shortens."""
+    return near(p, q, min(1, core_slack(p, q))) and (fits(u, v) or crosses(u, v))
+
+
+def crosses(u: str, v: str) -> bool:
+    """Whether the attributes of two duos can be one, each in full where the other is shortened."""
+    a, b = u.split(), v.split()
+    either = lambda x, y: _fits(x, y) or _fits(y, x)
+    return len(a) == len(b) == 2 and any(all(map(either, a, z)) for z in (b, b[::-1]))
+
+
+def united(attributes: list[str]) -> set[str]:
+    """Attributes that none of some attributes of one artist has, but all together have: for each member of a duo the
+    full name, where one row gives this and another that. Nothing where the rows leave it open."""
+    slots = [a.split() for a in attributes]
+    out: set[str] = set()
+    for x in slots:
+        for y in slots:
+            if len(x) != 2 or len(y) != 2 or x >= y:
+                continue
+            for z in (y, y[::-1]):
+                best = [p if p[0] == "=" else q for p, q in zip(x, z)]
+                if all(m[0] == "=" for m in best) and all(_fits(*sorted((p, q), key=lambda m: m[0] == "=")) for p, q in zip(x, z)):
+                    out.add(" ".join(sorted(best)))
+    return out - set(attributes)
+
+
+def _richer(group: pa.Table) -> pa.Table:
+    """New forms of one profile: its cores with all its full attributes, its own and united ones."""
+    profile = group.select(["profile"]).slice(0, 1)["profile"].to_pylist()
+    have = set(zip(*(group[c].to_pylist() for c in ("kind", "core", "attributes"))))
+    out: set[tuple[str, str, str]] = set()
+    for kind in {k for k, *_ in have} - {"b"}:
+        own = sorted({a for k, _, a in have if k == kind})
+        full = {a for a in own if not re.search("[~?]", a)} or (united(own) if kind == "d" else set())
+        out |= {(kind, c, a) for c in {c for _, c, _ in have} for a in full}
+    new = sorted(out - have)
+    return pa.table([pa.array(profile * len(new), pa.int64()), *(pa.array([n[k] for n in new], pa.string()) for k in range(3))], ["profile", "kind", "core", "attributes"])
+
+
+def _pairs(fresh: DataFrame, blocks: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
+    """(certain links, possible meanings) of fresh blocks and all blocks; (a, b) of forms. A crowded block of full forms
+    is cut by a salt, and the forms that may mean one of them go to each part."""
+    side = lambda df, s: df.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("kind", "core", "attributes")], F.col("form").alias(s))
+    columns = ["a", "b", "core_a", "core_b", "attributes_a", "attributes_b"]
+    strict = side(fresh.where("strict"), "a").join(side(blocks.where("strict"), "b"), "block").where("kind_a = kind_b and a < b" if first else "kind_a = kind_b and a <> b")
+    certain = strict.select(*columns).distinct().mapInArrow(_check(same_artist_forms), "a bigint, b bigint")
+    loose, new = blocks.where("not strict"), fresh.where("not strict")
+    partial = f"not ({FULL})"
+    crowded = loose.where(FULL).groupBy("block").count().where(f"count > {HOT_BLOCK}").select("block", F.ceil(F.col("count") / HOT_BLOCK).cast("int").alias("parts"))
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        left = side(left.where(partial), "a").join(crowded, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        right = side(right.where("kind <> 'b'"), "b").join(crowded, "block", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        return left.join(right, ["block", "part"]).where("(kind_a = 'b' or kind_a = kind_b) and a <> b").select(*columns)
+
+    both = meet(new, loose) if first else meet(new, loose).unionByName(meet(loose, new))
+    return certain, both.distinct().mapInArrow(_check(may_mean), "a bigint, b bigint")
+
+
+def resolve(df: DataFrame, *, key: str = "credit_id", name: str = "artist") -> DataFrame:
     """(`key`, artist_class): rows that name the same person, duo or group share a class, named by its smallest form.
 
     Null names and names without letters are in no class. Equal names are always one class. Keys are kept as they are;
-    other columns are dropped; an empty table gives no rows.
+    other columns are dropped; an empty table gives no rows. Profiles are merged until nothing changes any more: a link
+    is never taken back and forms are made of words that are there, so this ends.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("k"), F.col(name).alias("name")).where(F.col("name").isNotNull())
     names = materialize(rows.select("name").distinct(), "names")
-    shared = spark.sparkContext.broadcast(lexicon_of(rows))
+    shared = spark.sparkContext.broadcast(lexicon_of(names))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon: Lexicon = shared.value
@@ -349,83 +566,62 @@ def resolve(df: DataFrame, *, key: str = "credit_id", name: str = "artist", most
             parsed = [lexicon.parse(n) for n in b.column("name").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("name"), *(pa.array([p[i] for p in parsed], pa.string()) for i in range(3))], ["name", "kind", "core", "attributes"])
 
+    form = F.xxhash64("kind", "core", "attributes").alias("form")
+    columns = [c.split()[0] for c in FORM.split(", ")]
     parsed = names.mapInArrow(parse, "name string, kind string, core string, attributes string").where("core <> ''")
-    parsed = materialize(parsed.withColumn("form", F.xxhash64("kind", "core", "attributes")), "parsed")
-    forms = materialize(parsed.select("form", "kind", "core", "attributes").distinct(), "forms")
+    parsed = materialize(parsed.withColumn("form", form), "parsed")
+    # every form with the profile it belongs to; forms that unite what others have are added to those that were typed
+    forms = materialize(parsed.select(*columns).distinct().withColumn("profile", F.col("form")), "forms")
+    blocks = fresh = materialize(forms.select(*columns).mapInArrow(_keys, f"{FORM}, block string, strict boolean"), "blocks")
+    links, could = _pairs(fresh, blocks, True)
+    links, could = materialize(links, "links"), materialize(could, "could")
+    if not links.limit(1).count():
+        links = materialize(_meanings(forms, could), "links")
+    while links.limit(1).count():
+        merged = components(links)
+        old, forms = forms, materialize(forms.join(merged, forms["profile"] == merged["node"], "left").select(*columns, F.coalesce("component", "profile").alias("profile")), "forms")
+        # profiles that have just merged unite what they have; what is new enters blocking, against all
+        changed = forms.join(merged.select(F.col("component").alias("profile")).distinct(), "profile", "left_semi")
+        richer = materialize(changed.groupBy("profile").applyInArrow(_richer, "profile bigint, kind string, core string, attributes string").select(form, "profile", "kind", "core", "attributes"), "richer")
+        new = materialize(richer.join(forms.select("form"), "form", "left_anti").groupBy(*columns).agg(F.min("profile").alias("profile")), "new")
+        discard(old, links)
+        # a profile that comes to have a form of another one is the same artist
+        same = richer.join(forms.select("form", F.col("profile").alias("its")), "form").unionByName(richer.join(new.select("form", F.col("profile").alias("its")), "form"))
+        links = same.where("its <> profile").select(F.col("profile").alias("a"), F.col("its").alias("b"))
+        if new.limit(1).count():
+            fresh = materialize(new.select(*columns).mapInArrow(_keys, f"{FORM}, block string, strict boolean"), "fresh")
+            old, forms = forms, materialize(forms.unionByName(new.select(*forms.columns)), "forms")
+            old_blocks, blocks = blocks, materialize(blocks.unionByName(fresh), "blocks")
+            certain, possible = _pairs(fresh, blocks, False)
+            old_could, could = could, materialize(could.unionByName(possible), "could")
+            of = lambda s: forms.select(F.col("form").alias(s), F.col("profile").alias(f"p{s}"))
+            links = links.unionByName(certain.join(of("a"), "a").join(of("b"), "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+            links = materialize(links.unionByName(_meanings(forms, could)).distinct(), "links")
+            discard(old, old_blocks, old_could, fresh)
+        else:
+            links = materialize(links.unionByName(_meanings(forms, could)).distinct(), "links")
+        discard(richer, new)
+    classes = parsed.select("name", "form").join(forms.select("form", F.col("profile").alias("artist_class")), "form")
+    return rows.join(classes, "name").select(F.col("k").alias(key), "artist_class")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [deletions(c) for c in b.column("core").to_pylist()]
-            at = pa.array([i for i, ks in enumerate(keys) for _ in ks], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), pa.array([x for ks in keys for x in ks], pa.string())], [*b.schema.names, "block"])
-
-    blocks = materialize(forms.mapInArrow(keyed, "form bigint, kind string, core string, attributes string, block string"), "blocks")
-    left = blocks.select("block", *[F.col(c).alias(c + "_a") for c in forms.columns])
-    right = blocks.select("block", *[F.col(c).alias(c + "_b") for c in forms.columns])
-
-    def check(agree: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                a, c, x, y = (b.column(n).to_pylist() for n in ("core_a", "core_b", "attributes_a", "attributes_b"))
-                keep = [
-                    near(p, q, core_slack(p, q)) if agree == "core" else near(p, q, min(1, core_slack(p, q))) and fits(u, v) and (agree == "fit" or bool(u))
-                    for p, q, u, v in zip(a, c, x, y)
-                ]
-                yield b.select(["form_a", "form_b"]).filter(pa.array(keep, pa.bool_()))
-
-        return run
-
-    # the same kind and attributes, cores within a few typing errors
-    same = left.join(right, (left["block"] == right["block"]) & (left["kind_a"] == right["kind_b"]) & (left["attributes_a"] == right["attributes_b"])).where("form_a < form_b")
-    same = same.select("form_a", "form_b", "core_a", "core_b", "attributes_a", "attributes_b").distinct().mapInArrow(check("core"), "form_a bigint, form_b bigint")
-    # the same kind and core, full attributes within a few typing errors
-    one = forms.where("kind in ('p', 'd')")
-    typed = (
-        one.select("kind", "core", F.col("form").alias("form_a"), F.col("core").alias("core_a"), F.col("attributes").alias("attributes_a"))
-        .join(one.select("kind", "core", F.col("form").alias("form_b"), F.col("core").alias("core_b"), F.col("attributes").alias("attributes_b")), ["kind", "core"])
-        .where("form_a < form_b and not attributes_a rlike '[~?]' and not attributes_b rlike '[~?]'").select("form_a", "form_b", "core_a", "core_b", "attributes_a", "attributes_b")
-        .mapInArrow(check("attributes"), "form_a bigint, form_b bigint")
-    )
-    links = materialize(same.unionByName(typed).select(F.col("form_a").alias("a"), F.col("form_b").alias("b")), "links")
-    # a form with shortened or no attributes and the full forms that it could mean
-    partial = F.col("attributes_a").rlike("[~?]") | (F.col("kind_a") == "b")
-    could = (
-        left.where(partial).join(right.where("kind_b <> 'b'"), "block").where("(kind_a = 'b' or kind_a = kind_b) and form_a <> form_b")
-        .select("form_a", "form_b", "core_a", "core_b", "attributes_a", "attributes_b").distinct().mapInArrow(check("fit"), "form_a bigint, form_b bigint")
-    )
-    could = materialize(could.join(forms.select(F.col("form").alias("form_b"), "kind", F.col("core").alias("core_b"), "attributes"), "form_b").join(forms.select(F.col("form").alias("form_a"), F.col("core").alias("core_a")), "form_a").withColumn("exact", F.col("core_a") == F.col("core_b")), "could")
+
+def _meanings(forms: DataFrame, could: DataFrame) -> DataFrame:
+    """(a, b): open profiles, which have no full form, and the only artist that all their forms may mean."""
     full = ~F.col("attributes").rlike("[~?]")
-    known = links.count()
-    for _ in range(most_rounds):
-        profiles = components(links).withColumnRenamed("node", "form").withColumnRenamed("component", "profile")
-        of = lambda side: profiles.select(F.col("form").alias(f"form_{side}"), F.col("profile").alias(f"profile_{side}"))
-        # all that the spellings of one profile could mean; a profile that already has a full form is settled
-        open_ = could.join(of("a"), "form_a", "left").join(of("b"), "form_b", "left").select(
-            F.coalesce("profile_a", "form_a").alias("pa"), F.coalesce("profile_b", "form_b").alias("pb"), "kind", "attributes", "exact"
-        ).where("pa <> pb")
-        settled = forms.where("not attributes rlike '[~?]' and kind <> 'b'").join(profiles, "form", "left").select(F.coalesce("profile", "form").alias("pa")).distinct()
-        open_ = materialize(open_.join(settled, "pa", "left_anti").distinct(), "open")
-        # what a profile means: its first full attributes
-        canon = forms.where("not attributes rlike '[~?]' and kind <> 'b'").join(profiles, "form", "left").groupBy(F.coalesce("profile", "form").alias("pb")).agg(F.min("attributes").alias("canon"))
-        open_ = open_.join(canon, "pb", "left")
-        # full forms come first; where there are none, a longer shortened form
-        open_ = open_.where(full).unionByName(open_.where(~full).join(open_.where(full).select("pa").distinct(), "pa", "left_anti"))
-        # where the very same core fits, others that are only near do not count
-        exact = open_.where("exact").select("pa").distinct()
-        near_ = open_.where("exact").unionByName(open_.join(exact, "pa", "left_anti"))
-        only = near_.groupBy("pa").agg(F.countDistinct(F.when(full, F.concat_ws(" ", "kind", F.coalesce("canon", "attributes"))).otherwise(F.col("pb").cast("string"))).alias("meanings")).where("meanings = 1").select("pa")
-        new = near_.join(only, "pa").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-        links = materialize(links.unionByName(new).distinct(), "links")
-        count = links.count()
-        if count == known:  # nothing merged: the profiles stand
-            break
-        known = count
-    else:
-        profiles = components(links).withColumnRenamed("node", "form").withColumnRenamed("component", "profile")
-    classes = parsed.join(profiles, "form", "left").select("name", F.coalesce("profile", "form").alias("artist_class"))
-    return rows.join(classes, "name").select(F.col("k").alias(key), "artist_class")
+    profile = lambda s: forms.select(F.col("form").alias(s), F.col("profile").alias(f"p{s}"), F.col("core").alias(f"core_{s}"))
+    open_ = could.join(profile("a"), "a").join(profile("b").join(forms.select(F.col("form").alias("b"), "kind", "attributes"), "b"), "b").where("pa <> pb")
+    open_ = open_.select("pa", "pb", "kind", "attributes", (F.col("core_a") == F.col("core_b")).alias("exact"))
+    whole = forms.where(FULL).groupBy(F.col("profile").alias("pb")).agg(F.min("attributes").alias("canon"))
+    open_ = materialize(open_.join(whole.select(F.col("pb").alias("pa")), "pa", "left_anti").join(whole, "pb", "left").distinct(), "open")
+    # full forms come first, where there are none a longer shortened form; then those with the very same core
+    rank = F.struct(~full, ~F.col("exact"))
+    best = open_.join(open_.groupBy("pa").agg(F.min(rank).alias("first")), "pa").where(rank == F.col("first"))
+    # an open profile means one artist if all that is left says the same
+    meaning = F.when(full, F.concat_ws(" ", "kind", F.coalesce("canon", "attributes"))).otherwise(F.col("pb").cast("string"))
+    only = best.groupBy("pa").agg(F.min(meaning).alias("low"), F.max(meaning).alias("high")).where("low = high").select("pa")
+    return best.join(only, "pa").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
 
 
 def same_artist(classes: DataFrame, key: str = "credit_id") -> DataFrame:
     """(a, b), a < b, of all rows in one class."""
-    return classes.select("artist_class", F.col(key).alias("a")).join(classes.select("artist_class", F.col(key).alias("b")), "artist_class").where("a < b").select("a", "b")
+    return class_pairs(classes.select("artist_class", F.col(key).alias("id")), ["artist_class"])
