@@ -7,10 +7,12 @@ leaf is compact: each two of its members reach the similarity. Plain bisection a
 whose centres are close are compared member by member and joined again where any two members reach the similarity; a
 joined group is a cluster only if all of them do.
 
-A group with a member near the border of its task is compared with its like across the tasks, by the cells (leaves of
-the upper tree) within a margin; links between groups are followed through, and linked groups are checked again as one,
-in blocks, so that no group has to fit one task. Every group that may be reported is also compared, in blocks, with all
-vectors of other groups that can reach a member by the radius of the group. Exact copies travel once per input partition and come back at the end.
+Every group of several vectors that may be reported is compared, in blocks, with all vectors of other tasks that can
+reach a member by the radius of the group; nothing within the similarity is left out. Single vectors near the border of
+their task are compared with each other across tasks by the cells (leaves of the upper tree) within a margin: only a
+cluster of which every task holds a single member could escape there. Links between groups are followed through, and
+linked groups are checked again as one, in blocks, so that no group has to fit one task. Exact copies travel once per
+input partition and come back at the end.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ NODE_ROWS = 12_000
 MARGIN, MOST_PROBES = 0.12, 6
 BLOCK = 4096
 #: Rows and groups of one comparison with outsiders.
-ROW_BLOCK, HUB_BLOCK = 40_000, 32_768
+ROW_BLOCK, HUB_BLOCK = 100_000, 65_536
+#: Vectors that join a group across tasks up to which they are sent to all tasks (half precision: 4 MB).
+LATE = 16_384
 #: Radians by which bounds on angles are widened for rounding.
 ROUNDING = 2e-3
 
@@ -285,11 +289,11 @@ def clusters(
                 pa.array([centres[g].astype(np.float16).tobytes() if f else None for g, f in zip(inverse, first)], pa.binary()), pa.array(radius[inverse], pa.float32()),
             ],
             ["part", "id", "whole", "open", "v", "n", "centre", "radius"],
-        )
+        ).append_column("node", group["node"].slice(0, len(ids)))
 
     parts = materialize(
         df.mapInArrow(route, "node int, id bigint, v binary").groupBy("node")
-        .applyInArrow(bisect, "part bigint, id bigint, whole boolean, open boolean, v binary, n bigint, centre binary, radius float"), "parts",
+        .applyInArrow(bisect, "part bigint, id bigint, whole boolean, open boolean, v binary, n bigint, centre binary, radius float, node int"), "parts",
     )
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,19 +313,21 @@ def clusters(
         a, b = zip(*sorted(found)) if found else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    near = parts.where("open").select("part", "v").mapInArrow(to_cells, "cell int, part bigint, v binary")
+    # groups of several vectors are compared with all others below
+    near = parts.where("open and n = 1").select("part", "v").mapInArrow(to_cells, "cell int, part bigint, v binary")
     links = near.groupBy("cell").applyInArrow(link, "a bigint, b bigint")
 
     def reach(rows: pa.Table, hubs: pa.Table) -> pa.Table:
         at, to = np.empty(0, np.int64), np.empty(0, np.int64)
         if len(rows) and len(hubs):
-            part, hub = rows["part"].to_numpy(), hubs["hub"].to_numpy()
+            node, hub, home = rows["node"].to_numpy(), hubs["hub"].to_numpy(), hubs["home"].to_numpy()
             x, centres = V.unit(V.from_bytes(rows["v"].to_pylist(), dim)), V.unit(V.from_bytes(hubs["centre"].to_pylist(), dim))
             least_of = bound(hubs["radius"].to_numpy(), least)
             found = []
-            for s in range(0, len(x), 1024):
-                i, j = np.nonzero((x[s : s + 1024] @ centres.T >= least_of) & (part[s : s + 1024, None] != hub[None, :]))
-                found.append((i + s, j))
+            for s in range(0, len(x), 256):
+                i, j = np.nonzero(x[s : s + 256] @ centres.T >= least_of)
+                other = node[i + s] != home[j]  # groups of one task were compared there
+                found.append((i[other] + s, j[other]))
             at, to = (np.concatenate(z) for z in zip(*found))
             return pa.table([pa.array(hub[to]), rows["part"].take(pa.array(at)), rows["v"].take(pa.array(at))], ["hub", "part", "v"])
         return pa.table([pa.array(at), pa.array(to), pa.array([], pa.binary())], ["hub", "part", "v"])
@@ -340,12 +346,33 @@ def clusters(
         """(a, b) of groups (hub, centre, radius) and the groups of all vectors that reach one of their members."""
         row_blocks, hub_blocks = max(1, -(-total // ROW_BLOCK)), max(1, -(-n_hubs // HUB_BLOCK))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = parts.select("part", "v", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int").alias("i"), every(hub_blocks).alias("j"))
-        right = hubs.select("hub", "centre", "radius", F.pmod(F.xxhash64("hub"), F.lit(hub_blocks)).cast("int").alias("j"), every(row_blocks).alias("i"))
+        left = parts.select("part", "node", "v", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int").alias("i"), every(hub_blocks).alias("j"))
+        right = hubs.select("hub", "home", "centre", "radius", F.pmod(F.xxhash64("hub"), F.lit(hub_blocks)).cast("int").alias("j"), every(row_blocks).alias("i"))
         could = materialize(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(reach, "hub bigint, part bigint, v binary"), "could")
         members = parts.select(F.col("part").alias("hub"), "v").join(could.select("hub").distinct(), "hub", "left_semi")
         return could.groupBy("hub").cogroup(members.groupBy("hub")).applyInArrow(touch, "a bigint, b bigint")
 
+    def reached(hubs: DataFrame) -> DataFrame:
+        """`outsiders` of a few single vectors, which go to all tasks instead."""
+        few = hubs.select("hub", "home", "centre").limit(LATE).toArrow()
+        sent = spark.sparkContext.broadcast((few["hub"].to_numpy(), few["home"].to_numpy(), few["centre"].to_pylist()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hub, home, rows = sent.value
+            centres = V.unit(V.from_bytes(rows, dim))
+            for batch in batches:
+                found: set[tuple[int, int]] = set()
+                part, node = batch.column("part").to_numpy(), batch.column("node").to_numpy()
+                x = V.unit(V.from_bytes(batch.column("v").to_pylist(), dim)) if len(part) else np.empty((0, dim), np.float32)
+                for s in range(0, len(x), 1024):
+                    i, j = np.nonzero(x[s : s + 1024] @ centres.T >= least)
+                    other = node[i + s] != home[j]
+                    found |= {(min(p, h), max(p, h)) for p, h in zip(part[i[other] + s].tolist(), hub[j[other]].tolist())}
+                a, b = zip(*sorted(found)) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        return parts.select("part", "node", "v").mapInArrow(run, "a bigint, b bigint")
+
     def lowest(group: pa.Table) -> pa.Table:
         x, own = V.unit(V.from_bytes(group["v"].to_pylist(), dim)), group["own"].to_numpy()
         a, b = x[own == group["i"][0].as_py()], x[own == group["j"][0].as_py()]
@@ -369,8 +396,8 @@ def clusters(
     members, _ = V.copies(df, "id", "v", 1, dim)
     members = materialize(members, "copies")
     # single vectors may be reported for their copies
-    single = parts.where("n = 1").select("id", F.col("part").alias("hub"), F.col("v").alias("centre"), "radius")
-    hubs = parts.where("centre is not null").select(F.col("part").alias("hub"), "centre", "radius").unionByName(single.join(members.select("id").distinct(), "id", "left_semi").drop("id"))
+    single = parts.where("n = 1").select("id", F.col("part").alias("hub"), F.col("node").alias("home"), F.col("v").alias("centre"), "radius")
+    hubs = parts.where("centre is not null").select(F.col("part").alias("hub"), F.col("node").alias("home"), "centre", "radius").unionByName(single.join(members.select("id").distinct(), "id", "left_semi").drop("id"))
     hubs = materialize(hubs, "hubs")
     links = materialize(links.unionByName(outsiders(hubs, hubs.count())).distinct(), "links")
     joined, linked, good = joined_by(links)
@@ -378,7 +405,7 @@ def clusters(
     late = materialize(single.join(linked.join(good, "component", "left_semi").where("n = 1").select("id"), "id", "left_semi").join(hubs.select("hub"), "hub", "left_anti").drop("id"), "late")
     n_late = late.count()
     if n_late:
-        links = materialize(links.unionByName(outsiders(late, n_late)).distinct(), "links")
+        links = materialize(links.unionByName(reached(late) if n_late <= LATE else outsiders(late, n_late)).distinct(), "links")
         joined, linked, good = joined_by(links)
     whole = parts.where("whole").select("part", "id")
     alone = whole.join(joined.select(F.col("node").alias("part")), "part", "left_anti")
