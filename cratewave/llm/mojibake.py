@@ -1,12 +1,14 @@
 """Text that was decoded with a wrong character encoding: finding it and restoring the original.
 
-Method: noisy-channel decoding. A word with characters outside ASCII is turned back into bytes under each encoding it
-may wrongly have been read with; where bytes may be lost or changed (replacement characters, folded case, dropped
-characters) the bytes form a lattice with wildcards. The lattice is read under each encoding the text may really have
-been in, and a Viterbi search keeps the readings that are likely under a character model of the corpus. The readings of
-all words are then weighed by the frequencies of whole words in the corpus: a word is damaged if a reading explains it
-much better than the word itself. Words whose characters are partly lost beyond that are matched to corpus words with
-the same remaining letters, if some pair of encodings turns the one into the other.
+Method: noisy-channel decoding. Every word with characters outside ASCII is turned back into a lattice of bytes under each
+encoding it may wrongly have been read with: a character stands for its byte, or for that of its capital where case may
+have been folded, and a lost one for any byte (a wildcard). The lattice is read under each encoding the text may really
+have been in, and a Viterbi search keeps the readings that are likely under a character model of the corpus; a lattice
+with a single path, which most words have, needs no search and is read by the codec. The readings of all words are then
+weighed by the frequencies of whole words in the corpus, with the character model for words that the corpus does not
+have: a word is damaged if a reading explains it much better than the word itself. Words whose characters are partly lost
+beyond that are lattices of whole words: corpus words with the same remaining letters, if some pair of encodings turns the
+one into the other.
 
 Counts of words are joined, never broadcast; the character model has a fixed size (hashed counts).
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from cratewave.storage import materialize
 
 LOST = "�"
+BLANKS = "[ \\t\\r\\n]+"
 # Encodings that text is wrongly read with, and encodings that it is really in.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "mac_roman", "koi8_r", "cp866", "iso8859_2", "iso8859_15", "cp932", "gbk", "big5")
 WRITTEN_IN = ("utf-8", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "mac_roman", "koi8_r", "cp866", "iso8859_2", "iso8859_7", "cp932", "euc_jp", "gbk")
@@ -140,8 +144,11 @@ def oddness(word: str) -> int:
 
 
 def lattice(word: str, encoding: str) -> list[tuple[int | None, ...]]:
-    """Possible bytes of each character of a word that was read with a single-byte encoding: its own, that of its
-    capital where case may have been folded, any (None) where it was lost. Empty if a character has no byte."""
+    """Possible bytes of a word that was read with an encoding: of each character its own, that of its capital where case
+    may have been folded, any (None) where it was lost. Empty if a character has no bytes."""
+    if encoding in MULTI:
+        data = [None if c == LOST else to_bytes(c, encoding) for c in word]
+        return [] if any(d is None and c != LOST for c, d in zip(word, data)) else [cell for d in data for cell in ([(None,)] if d is None else [(x,) for x in d])]
     table = byte_table(encoding)
     folded = word == word.lower()
     out: list[tuple[int | None, ...]] = []
@@ -152,27 +159,30 @@ def lattice(word: str, encoding: str) -> list[tuple[int | None, ...]]:
         options = [table[c]] if c in table else []
         if folded and ord(c) > 127 and len(c.upper()) == 1 and c.upper() != c and c.upper() in table:
             options.append(table[c.upper()])
-        if c == " ":
-            options.append(0xA0)
         if not options:
             return []
         out.append(tuple(options))
     return out
 
 
-def viterbi(word: str, encoding: str, model: Model, alphabet: dict[tuple[int, ...], list[str]], most: int = 4) -> list[tuple[str, float]]:
-    """Best UTF-8 readings of the byte lattice of a word, by their last characters, and their log likelihoods. Lost and missing bytes are filled by characters of
-    `alphabet` (bytes with None as wildcard -> characters)."""
-    cells = lattice(word, encoding)
-    if not cells:
-        return []
+Alphabet = dict[str, dict[tuple[int, ...], list[str]]]
+
+
+def viterbi(word: str, cells: list[tuple[int | None, ...]], right: str, model: Model, alphabet: Alphabet, most: int = 4) -> list[tuple[str, float]]:
+    """Best readings of a byte lattice under an encoding, by their last characters, and their log likelihoods. Lost and
+    missing bytes are filled by characters of `alphabet` (encoding -> bytes with -1 as wildcard -> characters)."""
     n = len(cells)
+    known = alphabet.get(right, {})
+    step = readings if right == "utf-8" else pairs_of if right in MULTI else singles
     beams: list[dict[str, tuple[float, str]]] = [{} for _ in range(n + 1)]
     beams[0]["^"] = (0.0, "")
     for i in range(n):
         best = sorted(beams[i].items(), key=lambda z: -z[1][0])[:BEAM]
+        if not best:
+            continue
+        ways = list(step(cells, i, known) if right == "utf-8" else step(cells, i, known, right))
         for last, (score, text) in best:
-            for end, chars, cost in readings(cells, i, alphabet):
+            for end, chars, cost in ways:
                 for c in chars:
                     s = score + model.step(last.lower()[:1], c.lower()[:1]) - cost
                     if c not in beams[end] or beams[end][c][0] < s:
@@ -181,6 +191,40 @@ def viterbi(word: str, encoding: str, model: Model, alphabet: dict[tuple[int, ..
     return [(text, score) for score, text in sorted(final, reverse=True)[:most] if text != word]
 
 
+@functools.cache
+def _character(data: bytes, encoding: str) -> str | None:
+    text = from_bytes(data, encoding)
+    return text if text is not None and len(text) == 1 else None
+
+
+def singles(cells: list[tuple[int | None, ...]], i: int, known: dict[tuple[int, ...], list[str]], encoding: str) -> Iterator[tuple[int, list[str], float]]:
+    """(next position, characters, cost) of the readings of a lattice by a single-byte encoding."""
+    for b in cells[i]:
+        if b is None:
+            yield i + 1, known.get((-1,), []), 3.0
+        elif (c := _character(bytes([b]), encoding)) is not None:
+            yield i + 1, [c], 0.0
+
+
+def pairs_of(cells: list[tuple[int | None, ...]], i: int, known: dict[tuple[int, ...], list[str]], encoding: str) -> Iterator[tuple[int, list[str], float]]:
+    """The same by an encoding of one or two bytes a character; either byte of a pair may be lost, or the second missing."""
+    for b in cells[i]:
+        if b is not None and (c := _character(bytes([b]), encoding)) is not None:
+            yield i + 1, [c], 0.0
+            continue
+        lead = -1 if b is None else b
+        for second in cells[i + 1] if i + 1 < len(cells) else ():
+            if second is not None and lead >= 0:
+                if (c := _character(bytes([lead, second]), encoding)) is not None:
+                    yield i + 2, [c], 0.0
+            elif (lead, second) != (-1, None):
+                yield i + 2, known.get((lead, -1 if second is None else second), []), 1.0
+        if lead >= 0:
+            yield i + 1, known.get((lead, -1), []), 6.0
+        else:
+            yield i + 1, known.get((-1,), []), 3.0
+
+
 def readings(cells: list[tuple[int | None, ...]], i: int, alphabet: dict[tuple[int, ...], list[str]]) -> Iterator[tuple[int, list[str], float]]:
     """(next position, characters, cost) of the readings of a lattice from a position on."""
     for lead in cells[i]:
@@ -214,21 +258,32 @@ def readings(cells: list[tuple[int | None, ...]], i: int, alphabet: dict[tuple[i
                         stack.append((at + 1, (*got, b), cost))
             if got.count(-1) == 0:
                 stack.append((at, (*got, -1), cost + 6.0))
-
-
-def patterns(characters: list[str]) -> dict[tuple[int, ...], list[str]]:
-    """UTF-8 bytes of characters, each with up to all following bytes as wildcards -> the characters."""
-    out: dict[tuple[int, ...], list[str]] = {(-1,): list(characters)}
-    for c in characters:
-        data = c.encode()
-        rest = len(data) - 1
-        for mask in range(1, 1 << rest):
-            out.setdefault((data[0], *(-1 if mask >> k & 1 else data[k + 1] for k in range(rest))), []).append(c)
+            if at == len(cells) and len(got) == need:
+                stack.append((at, (*got, 0xA0), cost + 1.0))  # a no-break space that became the blank after the word
+
+
+def patterns(characters: list[str]) -> Alphabet:
+    """Per encoding: bytes of characters, each with all but one of them, or all, as wildcards (-1) -> the characters."""
+    out: Alphabet = {}
+    for encoding in WRITTEN_IN:
+        own = out.setdefault(encoding, {(-1,): []})
+        for c in characters:
+            data = to_bytes(c, encoding) if encoding in MULTI else bytes([t]) if (t := byte_table(encoding).get(c)) is not None and _character(bytes([t]), encoding) == c else None
+            if not data:
+                continue
+            own[(-1,)].append(c)
+            if encoding == "utf-8":
+                for mask in range(1, 1 << (len(data) - 1)):
+                    own.setdefault((data[0], *(-1 if mask >> k & 1 else data[k + 1] for k in range(len(data) - 1))), []).append(c)
+            elif len(data) == 2:
+                own.setdefault((data[0], -1), []).append(c)
+                own.setdefault((-1, data[1]), []).append(c)
     return out
 
 
-def transcodings(word: str) -> Iterator[tuple[str, str]]:
-    """(reading, kind) of a word: by each pair of encodings, and again where the first reading was UTF-8."""
+def single_paths(word: str) -> Iterator[tuple[str, str]]:
+    """(reading, kind) of the lattices of a word in which every character stands for its own byte, so that each pair of
+    encodings has a single path, without a search; and again where the first reading was UTF-8."""
     seen = {word}
     for wrong in READ_AS:
         data = to_bytes(word, wrong)
@@ -353,14 +408,14 @@ def sure(word: str, text: str) -> bool:
     return False
 
 
-def readings_of(word: str, model: Model, alphabet: dict[tuple[int, ...], list[str]], damped: Model | None = None, count: float = 1.0) -> list[tuple[str, str, float, int, bool]]:
+def readings_of(word: str, model: Model, alphabet: Alphabet, damped: Model | None = None, count: float = 1.0) -> list[tuple[str, str, float, int, bool]]:
     """(reading, kind, gain, oddness removed, sure) of a word. Gains are log likelihoods over the word's own; for a
     reading that removes oddness also under `damped`, which has the word `count` times and, beside a UTF-8 reading,
     takes it once."""
     own, odd = model.word(word.lower()), oddness(word)
     found: dict[str, tuple[str, float, int, bool]] = {}
     once = None
-    for text, kind in transcodings(word):
+    for text, kind in single_paths(word):
         if any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in text):
             continue
         gain, less = model.word(text.lower()) - own, odd - oddness(text)
@@ -374,10 +429,20 @@ def readings_of(word: str, model: Model, alphabet: dict[tuple[int, ...], list[st
             gain = max(gain, other.word(text.lower()) - other.word(word.lower()))
         if gain > 0 or certain or kind == "utf-8" and gain > -6:
             found[text] = (kind, gain, less, certain)
-    if not any(k == "utf-8" for k, *_ in found.values()) and (odd or word == word.lower()):
-        for wrong in ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman"):
-            for text, score in viterbi(word, wrong, model, alphabet):
-                if text not in found and not any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in text) and score - own > -4:
+    # lattices with more than one path: lost characters under all encodings, folded and missing ones under UTF-8
+    strict = any(k == "utf-8" for k, *_ in found.values())
+    lost = LOST in word
+    seen: set[tuple] = set()
+    for wrong in READ_AS if lost or not strict and (odd or word == word.lower()) else ():
+        cells = lattice(word, wrong)
+        if not cells:
+            continue
+        for right in WRITTEN_IN if lost else ("utf-8",):
+            if right == wrong or (right, *cells) in seen or right == "utf-8" and strict:
+                continue
+            seen.add((right, *cells))
+            for text, score in viterbi(word, cells, right, model, alphabet):
+                if text not in found and score - own > -4 and not any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in text):
                     found[text] = ("lattice", score - own, odd - oddness(text), False)
     return [(t, *x) for t, x in found.items()]
 
@@ -386,6 +451,8 @@ def readings_of(word: str, model: Model, alphabet: dict[tuple[int, ...], list[st
 LIMIT = 1.0
 #: What a corpus word with the same remaining letters must score more where it is as odd as the word.
 MASK_COST = 1.0
+#: Words of one mask up to which they are compared in one piece.
+HOT_MASK = 1_000
 
 
 def fields_of(tables: list[tuple[DataFrame, str, str]], columns: list[str]) -> DataFrame:
@@ -398,7 +465,7 @@ def fields_of(tables: list[tuple[DataFrame, str, str]], columns: list[str]) -> D
     return out.where(F.col("value").rlike(r"[^\x00-\x7F]"))
 
 
-def model_of(words: DataFrame, by: str = "n") -> tuple[Model, dict[tuple[int, ...], list[str]]]:
+def model_of(words: DataFrame, by: str = "n") -> tuple[Model, Alphabet]:
     """Character model and alphabet of words (key, and a count `by`), over all of them. Tables of fixed size reach the
     driver."""
 
@@ -424,8 +491,9 @@ def model_of(words: DataFrame, by: str = "n") -> tuple[Model, dict[tuple[int, ..
     return Model(uni, bi), patterns([c for _, c in sorted(characters)])
 
 
-def damaged(fields: DataFrame, *, limit: float = LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(damaged words: token, reading or null) and (all their places: table_name, row_id, field_name, token).
+def damaged(fields: DataFrame, *, limit: float = LIMIT, positions: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(damaged words: token, reading or null) and (all their places: table_name, row_id, field_name, token, and with
+    `positions` the number `pos` of the word in the value).
 
     `fields` comes from `fields_of`. A word is damaged if it has replacement, control or private characters, or if one
     of its readings scores more than `limit`: gain in log likelihood under the character model, twice the oddness that
@@ -438,16 +506,16 @@ def damaged(fields: DataFrame, *, limit: float = LIMIT) -> tuple[DataFrame, Data
     Null, empty and plain ASCII values are not damaged. All counts are taken over all words of all fields.
     """
     spark = fields.sparkSession
-    places = materialize(
-        fields.select("table_name", "row_id", "field_name", F.explode(F.split("value", "[ \\t\\r\\n]+")).alias("token")).where(F.col("token").rlike(r"[^\x00-\x7F]")), "places",
-    )
+    split = F.split("value", BLANKS)
+    word = [F.posexplode(split).alias("pos", "token")] if positions else [F.explode(split).alias("token")]
+    places = materialize(fields.select("table_name", "row_id", "field_name", *word).where(F.col("token").rlike(r"[^\x00-\x7F]")), "places")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = [key_of(t) for t in b.column("token").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.string())], ["token", "n", "d", "key"])
 
-    values = fields.groupBy("value").agg(F.count("*").alias("n")).select("n", F.explode(F.split("value", "[ \\t\\r\\n]+")).alias("token")).where(F.col("token").rlike(r"[^\x00-\x7F]"))
+    values = fields.groupBy("value").agg(F.count("*").alias("n")).select("n", F.explode(split).alias("token")).where(F.col("token").rlike(r"[^\x00-\x7F]"))
     words = values.groupBy("token").agg(F.sum("n").alias("n"), F.sum(1 + F.log("n")).alias("d"))
     words = materialize(words.mapInArrow(keyed, "token string, n bigint, d double, key string"), "words")
     counts = words.groupBy("key").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
@@ -484,8 +552,12 @@ def damaged(fields: DataFrame, *, limit: float = LIMIT) -> tuple[DataFrame, Data
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), b.column("d"), pa.array([mask_of(k) for k in keys], pa.string())], ["key", "n", "d", "mask"])
 
     masks = counts.mapInArrow(masked, "key string, n bigint, d double, mask string").where("mask is not null")
+    # a mask of many words is cut into parts, which all words of the mask meet in tasks of their own
+    parts = masks.groupBy("mask").agg(F.ceil(F.count("*") / HOT_MASK).cast("int").alias("parts")).where("parts > 1")
+    cut = masks.join(parts, "mask", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     alike = (
-        masks.join(masks.select("mask", F.col("key").alias("reading"), F.col("n").alias("m"), F.col("d").alias("e")), "mask")
+        cut.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        .join(cut.select("mask", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.col("key").alias("reading"), F.col("n").alias("m"), F.col("d").alias("e")), ["mask", "part"])
         .where("key <> reading").select("key", "reading", "n", "m", "d", "e")
     )
 
@@ -522,16 +594,28 @@ def damaged(fields: DataFrame, *, limit: float = LIMIT) -> tuple[DataFrame, Data
     return bad, places.join(bad.select("token"), "token", "left_semi")
 
 
-def model_tables(both: tuple[Model, dict[tuple[int, ...], list[str]]]) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, ...], list[str]]]:
+def model_tables(both: tuple[Model, Alphabet]) -> tuple[np.ndarray, np.ndarray, Alphabet]:
     """What a model is shipped as: its count tables and the alphabet."""
     return both[0].uni, both[0].bi, both[1]
 
 
 def restore(fields: DataFrame, *, limit: float = LIMIT) -> DataFrame:
-    """(table_name, row_id, field_name, value, restored) of the damaged values; `restored` is null where a word has no
-    reading."""
-    bad, places = damaged(fields, limit=limit)
+    """(table_name, row_id, field_name, value, restored, unread) of the damaged values. Damaged words are replaced at
+    their places; `unread` counts those without a reading, which stay as they are. Blanks are kept."""
+    bad, places = damaged(fields, limit=limit, positions=True)
     at = ["table_name", "row_id", "field_name"]
-    swaps = places.join(bad, "token").groupBy(*at).agg(F.sort_array(F.collect_set(F.struct(F.length("token").alias("l"), "token", "reading")), asc=False).alias("swaps"))
-    done = F.aggregate("swaps", F.col("value"), lambda v, x: F.replace(v, x["token"], x["reading"]))
-    return fields.join(swaps, at).select(*at, "value", done.alias("restored"))
+    swaps = places.join(bad, "token").groupBy(*at).agg(F.collect_list(F.struct("pos", "reading")).alias("swaps"))
+
+    def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, unread = [], []
+            for value, found in zip(b.column("value").to_pylist(), b.column("swaps").to_pylist()):
+                parts = re.split(f"({BLANKS})", value)  # words at even places
+                for x in found:
+                    if x["reading"] is not None:
+                        parts[2 * x["pos"]] = x["reading"]
+                texts.append("".join(parts))
+                unread.append(sum(x["reading"] is None for x in found))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*at, "value")), pa.array(texts, pa.string()), pa.array(unread, pa.int32())], [*at, "value", "restored", "unread"])
+
+    return fields.join(swaps, at).select(*at, "value", "swaps").mapInArrow(swap, "table_name string, row_id bigint, field_name string, value string, restored string, unread int")
