@@ -625,3 +625,8 @@ def _meanings(forms: DataFrame, could: DataFrame) -> DataFrame:
 def same_artist(classes: DataFrame, key: str = "credit_id") -> DataFrame:
     """(a, b), a < b, of all rows in one class."""
     return class_pairs(classes.select("artist_class", F.col(key).alias("id")), ["artist_class"])
+
+
+def with_links(classes: DataFrame) -> DataFrame:
+    """`classes` with `links`, the number of other rows of the class."""
+    return classes.join(classes.groupBy("artist_class").agg((F.count("*") - 1).alias("links")), "artist_class")

@@ -24,13 +24,17 @@ def p1_described(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p2_classes(spark: SparkSession, directory: str) -> DataFrame:
-    """The class of every row that names an artist."""
+    """The class of every row that names an artist, and the number of other rows that name the same one."""
+    return names.with_links(materialize(_artists(spark, directory), "classes")).select("credit_id", "artist_class", "links")
+
+
+def _artists(spark: SparkSession, directory: str) -> DataFrame:
     return names.resolve(table(spark, directory, "artist_credits").select("credit_id", "artist"))
 
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of rows that name the same person, duo or group."""
-    classes = materialize(p2_classes(spark, directory), "classes")
+    classes = materialize(_artists(spark, directory), "classes")
     return names.same_artist(classes).select(F.col("a").alias("credit_a"), F.col("b").alias("credit_b"))
 
 
@@ -64,6 +68,12 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return found.select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"))
 
 
+def p5_classes(spark: SparkSession, directory: str) -> DataFrame:
+    """Tracks with a similar set of tags: the class of equal sets, and the number of similar tracks."""
+    tracks = table(spark, directory, "tracks").select("ord", "mytags", "tags")
+    return setjoin.classes_of(tracks, key="ord", values=setjoin.value_set("mytags", "tags"), threshold="0.7", smallest=4)
+
+
 def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k; null and empty texts give an empty list."""
     return tokens.encode_corpus(spread(table(spark, directory, "documents").select("doc_id", "text")))
@@ -72,7 +82,8 @@ def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
 def _packed(spark: SparkSession, directory: str) -> DataFrame:
     docs = spread(table(spark, directory, "documents").select("doc_id", "text"))
     sizes = materialize(tokens.encode_corpus(docs, count_only=True), "sizes")
-    limits = [(r.limit_id, r.capacity) for r in table(spark, directory, "pack_limits").limit(packing.MAX_LIMITS + 1).collect()]
+    usable = table(spark, directory, "pack_limits").where("limit_id is not null and capacity > 0")
+    limits = [(r.limit_id, r.capacity) for r in usable.limit(packing.MAX_LIMITS + 1).collect()]
     return packing.pack(sizes, limits)
 
 
@@ -93,6 +104,12 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     return confusables.same_looking(keyed).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
+def p8_classes(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents that look like another text: the class of what looks the same, and the number of rows of other texts."""
+    docs = spread(table(spark, directory, "documents").select("doc_id", "text"))
+    return confusables.looks(materialize(confusables.keys(docs), "skeletons"))
+
+
 def p8_forms(spark: SparkSession, directory: str) -> DataFrame:
     """The consistent form of every text."""
     return confusables.forms(spread(table(spark, directory, "documents").select("doc_id", "text")))
@@ -107,10 +124,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_restored": p4_restored,
     "p5_found": p5_found,
+    "p5_classes": p5_classes,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
     "p8_found": p8_found,
+    "p8_classes": p8_classes,
     "p8_forms": p8_forms,
 }
 
@@ -126,4 +145,7 @@ ORACLES: dict[str, str] = {
       SELECT l[1] AS cluster_id, a AS vec_id FROM (SELECT *, count(*) OVER (PARTITION BY l) AS same FROM n) WHERE same = len(l) AND len(l) >= 6""",
     "p5_found": f"""WITH {_SETS}, o AS (SELECT a.ord AS ord_a, b.ord AS ord_b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM e a JOIN e b ON a.tag = b.tag AND a.ord < b.ord GROUP BY 1, 2)
       SELECT ord_a, ord_b FROM o WHERE k * 10 >= 7 * (n + m - k)""",
+    "p5_classes": f"""WITH {_SETS}, o AS (SELECT a.ord AS a, b.ord AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM e a JOIN e b ON a.tag = b.tag AND a.ord <> b.ord GROUP BY 1, 2),
+      l AS (SELECT a AS ord, count(*) AS links FROM o WHERE k * 10 >= 7 * (n + m - k) GROUP BY a), c AS (SELECT ord, min(ord) OVER (PARTITION BY list_sort(t)) AS class_id FROM f)
+      SELECT ord, class_id, links FROM l JOIN c USING (ord)""",
 }

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cratewave.llm.graph import HOT_CLASS, class_pairs
 from cratewave.storage import materialize
 
 BUCKETS = 1 << 16
@@ -114,14 +115,48 @@ def join_block(records: list[list[int]], threshold: Fraction, apart: tuple[list[
 
 def similar(
     df: DataFrame, *, key: str, values: Column, threshold: str = "0.7", smallest: int = 1, other: DataFrame | None = None, other_values: Column | None = None,
-    partition_classes: int = PARTITION_CLASSES, block_classes: int = BLOCK_CLASSES,
+    partition_classes: int = PARTITION_CLASSES, block_classes: int = BLOCK_CLASSES, hot: int = HOT_CLASS,
 ) -> DataFrame:
     """(a, b): pairs of rows with sets of at least `smallest` values and a Jaccard similarity of `threshold` or more.
 
     `values` is an array<string> without nulls or repetitions (see `value_set`); null counts as the empty set, which is
     similar to nothing. Within one table a < b; with `other`, a is of `df` and b of `other`. Keys are bigint; repeated
-    keys give repeated pairs. Empty tables give no rows.
+    keys give repeated pairs. Empty tables give no rows. Rows of a set that more than `hot` rows have are spread over
+    parts, which every partner meets, so no task makes all pairs of a crowded set.
     """
+    members, linked = _linked(df, key, values, threshold, smallest, other, other_values, partition_classes, block_classes)
+    sized = members.withColumn("parts", F.ceil(F.col("n") / hot).cast("int"))
+    parts = sized.select("class", "side", "parts").distinct()
+    side = lambda i, c, s, p: sized.select(F.col("id").alias(i), F.col("class").alias(c), F.col("side").alias(s), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias(p))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    spread = linked
+    for c, s, p in (("x", "xs", "px"), ("y", "ys", "py")):
+        spread = spread.join(parts.select(F.col("class").alias(c), F.col("side").alias(s), F.col("parts").alias(p)), [c, s]).withColumn(p, every(p))
+    expanded = spread.join(side("i", "x", "xs", "px"), ["x", "xs", "px"]).join(side("j", "y", "ys", "py"), ["y", "ys", "py"])
+    if other is not None:
+        pairs = expanded.select(F.when(F.col("xs") == 0, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(F.col("xs") == 0, F.col("j")).otherwise(F.col("i")).alias("b"))
+        most = members.groupBy("k1", "k2").agg(F.ceil(F.max("n") / hot).cast("int").alias("parts"))
+        rows = members.join(most, ["k1", "k2"])
+        left = rows.where("side = 0").select("k1", "k2", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+        right = rows.where("side = 1").select("k1", "k2", F.col("id").alias("b"), every("parts").alias("part"))
+        return pairs.unionByName(left.join(right, ["k1", "k2", "part"]).select("a", "b"))
+    pairs = expanded.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    return pairs.unionByName(class_pairs(members.where("n > 1").select("class", "id"), ["class"], hot))
+
+
+def classes_of(df: DataFrame, *, key: str, values: Column, threshold: str = "0.7", smallest: int = 1) -> DataFrame:
+    """One row per row of `df` with a similar one: `key`, `class_id` (the smallest key of all rows with its set) and `links`
+    (its similar rows, those with the same set among them). Counted by classes of equal sets, without making pairs."""
+    members, linked = _linked(df, key, values, threshold, smallest, None, None, PARTITION_CLASSES, BLOCK_CLASSES)
+    sizes = members.select("class", "n").distinct()
+    both = linked.select(F.col("x").alias("class"), F.col("y").alias("other")).unionByName(linked.select(F.col("y").alias("class"), F.col("x").alias("other")))
+    more = both.join(sizes.select(F.col("class").alias("other"), F.col("n").alias("m")), "other").groupBy("class").agg(F.sum("m").alias("m"))
+    rows = members.join(more, "class", "left").withColumn("links", F.col("n") - 1 + F.coalesce("m", F.lit(0)))
+    return rows.where("links > 0").select(F.col("id").alias(key), F.col("class").alias("class_id"), "links")
+
+
+def _linked(df: DataFrame, key: str, values: Column, threshold: str, smallest: int, other: DataFrame | None, other_values: Column | None, partition_classes: int, block_classes: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: id, side, k1, k2, class, n) of all sets, and pairs of similar classes (x, xs, y, ys)."""
     spark = df.sparkSession
     share = Fraction(threshold)
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.lit(0).alias("side"), values.alias("s"))
@@ -177,13 +212,4 @@ def similar(
 
     linked = blocked.groupBy("part", "i", "j").applyInArrow(probe, "x bigint, xs int, y bigint, ys int")
     members = sets.join(classes.select("k1", "k2", "side", "class", "n"), ["k1", "k2", "side"]).select("id", "side", "k1", "k2", "class", "n")
-    side = lambda i, c, s: members.select(F.col("id").alias(i), F.col("class").alias(c), F.col("side").alias(s))
-    expanded = linked.join(side("i", "x", "xs"), ["x", "xs"]).join(side("j", "y", "ys"), ["y", "ys"])
-    if between:
-        pairs = expanded.select(F.when(F.col("xs") == 0, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(F.col("xs") == 0, F.col("j")).otherwise(F.col("i")).alias("b"))
-        equal = members.where("side = 0").select("k1", "k2", F.col("id").alias("a")).join(members.where("side = 1").select("k1", "k2", F.col("id").alias("b")), ["k1", "k2"])
-        return pairs.unionByName(equal.select("a", "b"))
-    pairs = expanded.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-    several = members.where("n > 1")
-    equal = several.select("class", F.col("id").alias("a")).join(several.select("class", F.col("id").alias("b")), "class").where("a < b")
-    return pairs.unionByName(equal.select("a", "b"))
+    return members, linked

@@ -160,7 +160,7 @@ def test_large_cells_are_split(spark, monkeypatch):
     rows = [(i, np.float16(centre + 0.4 * rng.normal(size=DIM))) for i in range(200)]
     x = V.unit(np.array([v for _, v in rows], np.float32))
     index = ivfpq.fit(x, 200, rows_per_cell=100, cell_rows=20)
-    assert index.salts.sum() >= 8
+    assert index.grid.sum() >= 8
     monkeypatch.setattr(ivfpq, "fit", lambda x, total, **_: index)
     got = {(r.a, r.b) for r in ivfpq.pairs(ivfpq.neighbours(table(spark, rows).repartition(3))).collect()}
     want = true_pairs(rows)
@@ -195,3 +195,35 @@ def test_components(spark):
     df = spark.createDataFrame([*pairs, (None, 1), (7, None)], "a bigint, b bigint")
     assert {r.node: r.component for r in graph.components(df).collect()} == {x: find(x) for x in label}
     assert graph.components(df.limit(0)).count() == 0
+
+
+def test_two_levels_and_a_grid(spark):
+    """A first level of few cells is divided, a crowded cell cut into a grid; both find what one level finds."""
+    good, rows = made(7, n_groups=20, noise=250)
+    df, want = table(spark, rows).repartition(3), true_pairs(good)
+    for settings in ({"max_cells": 4, "rows_per_cell": 25, "cell_rows": 90}, {"max_cells": 3, "rows_per_cell": 300, "cell_rows": 60}):
+        got = {(r.a, r.b) for r in ivfpq.pairs(ivfpq.neighbours(df, **settings)).collect()}
+        assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got), (len(got), len(want), len(got & want))
+
+
+def test_exact_neighbours_and_ties(spark):
+    good, rows = made(8, n_groups=6, noise=60)
+    base = np.random.default_rng(3).normal(size=DIM)
+    scaled = [(50_000 + i, np.float32(base) * np.float32(1 + i / 7)) for i in range(30)]  # one direction, no equal vectors
+    good, rows = good + scaled, rows + scaled
+    df = table(spark, rows)
+    lists = ivfpq.neighbours(df, rows_per_cell=20, exact=True).collect()
+    assert {(min(r.vec_id, r.neighbour), max(r.vec_id, r.neighbour)) for r in lists} >= true_pairs([g for g in good if g[0] < 50_000])
+    of = {}
+    for r in lists:
+        of.setdefault(r.vec_id, []).append((round(-r.cosine, 6), r.neighbour))
+    assert all(len(of[50_000 + i]) == 5 for i in range(30))
+
+
+def test_groups_that_meet_across_tasks(spark):
+    """Links between groups of different tasks are found by the radius of the groups, however far their centres are."""
+    good, rows = made(9, n_groups=10, noise=120)
+    want = true_clusters(good)
+    for node_rows in (40, 90):
+        found = {(r.cluster_id, r.vec_id) for r in clusters.clusters(table(spark, rows).repartition(3), rows_per_cell=5, node_rows=node_rows, margin=0.0, most_probes=1).collect()}
+        assert found == want
