@@ -53,10 +53,12 @@ def player_warnings(rows: DataFrame, sample_rate: str = "sample_rate", most: int
 
 def stage(plan: DataFrame, move: bool = False, dry_run: bool = False) -> DataFrame:
     """(ord, path, target, status) after copying or moving the files of a `stage_plan` on a file system that all tasks
-    share; files that are missing are skipped, and with `dry_run` nothing is touched. Runs when the result is read, once
-    per row; a repeated task finds its target and counts it as done."""
+    share; files that are missing are skipped, and with `dry_run` nothing is touched. Runs when the result is read. A file is
+    written beside its target under a name of its own and renamed at the end, and a moved one is deleted only then: tasks
+    that run twice, also at once, leave one whole target, and find it and count it as done."""
     import os
     import shutil
+    import uuid
 
     import pyarrow as pa
 
@@ -70,8 +72,17 @@ def stage(plan: DataFrame, move: bool = False, dry_run: bool = False) -> DataFra
                     status.append("planned")
                 else:
                     os.makedirs(os.path.dirname(target), exist_ok=True)
-                    (shutil.move if move else shutil.copy2)(path, target)
-                    status.append("success")
+                    part = f"{target}.{uuid.uuid4().hex}"
+                    try:
+                        shutil.copy2(path, part)
+                        os.replace(part, target)
+                        if move:
+                            os.unlink(path)
+                        status.append("success")
+                    except FileNotFoundError:  # another run of the task has just moved it
+                        if os.path.exists(part):
+                            os.unlink(part)
+                        status.append("success" if os.path.exists(target) else "skipped")
             yield pa.RecordBatch.from_arrays([b.column("ord"), b.column("path"), b.column("target"), pa.array(status, pa.string())], ["ord", "path", "target", "status"])
 
     return plan.select("ord", "path", "target").mapInArrow(work, "ord bigint, path string, target string, status string")

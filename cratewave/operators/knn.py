@@ -9,12 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cratewave.functions import vectors as V
+from cratewave.storage import materialize
 
 DIM = 128
-#: Rows of one block of queries; and the queries up to which one block is broadcast (at most 4,096 x 128 numbers).
-BLOCK = 4096
+#: Queries and rows of one pair of blocks at most, about: 4 and 32 MB of numbers.
+BLOCK, ROW_BLOCK = 4096, 32_768
 
 
 def current_vectors(vectors: DataFrame, dim: int = DIM) -> DataFrame:
@@ -30,18 +32,17 @@ def index(vectors: DataFrame, tracks: DataFrame, dim: int = DIM) -> DataFrame:
     return number(rows, "ord").select((F.col("position") - 1).alias("label"), "ord", "path", "v")
 
 
-def number(rows: DataFrame, order: str, parts: int = 64) -> DataFrame:
-    """`rows` with their `position` from 1 in the order of a unique bigint column, numbered by ranges of its values so
-    that no task sorts all rows: counts per range are added up first."""
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return rows.withColumn("position", F.lit(0).cast("bigint"))
-    width = max(1, (high - low + parts) // parts)
-    ranged = rows.withColumn("_range", F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("int"))
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # at most `parts` rows
+def number(rows: DataFrame, order: str, per_part: int = 500_000) -> DataFrame:
+    """`rows` with their `position` from 1 in the order of a unique bigint column. Only this column is sorted, by ranges of
+    about equal numbers of rows whatever its values; counts per range are added up first, so no task sorts all rows."""
+    ids = rows.select(order)
+    parts = max(1, -(-ids.count() // per_part))
+    ranged = materialize(ids.repartitionByRange(parts, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # as many rows as parts
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     within = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return ranged.withColumn("_r", within).join(F.broadcast(before), "_range").withColumn("position", F.col("_r") + F.col("_before")).drop("_range", "_r", "_before")
+    placed = ranged.withColumn("_r", within).join(F.broadcast(before), "_range").select(order, (F.col("_r") + F.col("_before")).alias("position"))
+    return rows.join(placed, order)
 
 
 def extend_index(old: DataFrame, rows: DataFrame) -> DataFrame:
@@ -59,9 +60,22 @@ def mean_vector(vectors: DataFrame) -> list[float] | None:
 
 
 def nearest_to(rows: DataFrame, vector: list[float], k: int, order: str = "ord") -> DataFrame:
-    """The k rows nearest to one vector by cosine distance (`dist`), ties by `order`: a top-k without a full sort."""
-    seed = F.array(*[F.lit(float(x)) for x in vector])
-    return rows.withColumn("dist", V.cosine_distance(F.col("v"), seed)).orderBy("dist", order).limit(k)
+    """The k rows nearest to one vector by cosine distance (`dist`), ties by `order`: one matrix product per batch, of which
+    only k rows go on. Rows without a vector are left out; those of length zero come last, with NaN."""
+    seed = np.asarray(vector, np.float64)
+    seed = seed / np.linalg.norm(seed)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column("v")
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                d = 1 - x @ seed / np.linalg.norm(x, axis=1) if b.num_rows else np.empty(0)
+            at = pa.array(np.lexsort((b.column(order).to_numpy(), d))[:k])
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), pa.array(d).take(at)], [*b.schema.names, "dist"])
+
+    schema = StructType([*rows.schema.fields, StructField("dist", DoubleType())])
+    return rows.where("v is not null").mapInArrow(best, schema).orderBy("dist", order).limit(k)
 
 
 def nearest_for_all(queries: DataFrame, rows: DataFrame, k: int, parts: int | None = None) -> DataFrame:
@@ -69,10 +83,11 @@ def nearest_for_all(queries: DataFrame, rows: DataFrame, k: int, parts: int | No
 
     `queries` and `rows` have (ord, v). Both sides are cut into blocks by hash and every pair of blocks is one task: each
     row is sent once per query block and each query once per row block, nothing is collected, and only k rows per query
-    and row block go on to the final ranking.
+    and row block go on to the final ranking. The number of blocks follows the number of rows, so a task never holds more
+    than one block of either.
     """
     spark = rows.sparkSession
-    parts = parts or max(1, min(4 * spark.sparkContext.defaultParallelism, 64))
+    parts = parts or max(min(4 * spark.sparkContext.defaultParallelism, 64), -(-rows.count() // ROW_BLOCK))
     q_blocks = max(1, -(-queries.count() // BLOCK))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     to_floats = lambda role: F.lit(role).alias("role")

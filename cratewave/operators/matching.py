@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from cratewave.functions import text as T
 
 GRAM = 3
-SALTS = 16
 
 
 def _low(c: str) -> Column:
@@ -42,20 +41,27 @@ def mirror_playlist(rows: DataFrame, tracks: DataFrame) -> DataFrame:
     in lower case, are parts of the track's; an empty text is part of everything. Sorted by first_row and ord this is the
     playlist, each track once.
 
-    A row looks for tracks by the rarest three letters in a row of its longer text, which the track must hold, and
-    compares only with those. Rows whose texts are both shorter are compared with all tracks, salted over tasks."""
+    A row looks for tracks by the rarest three letters in a row of its longer text, or by all of it where it is shorter,
+    which the track must hold, and compares only with those. The one row without both texts names every track."""
     t = tracks.select("ord", F.lower(F.coalesce("artist", F.lit(""))).alias("ta"), F.lower(F.coalesce("title", F.lit(""))).alias("tt"))
     r = rows.groupBy(_low("artist").alias("ra"), _low("title").alias("rt")).agg(F.min("row_id").alias("row_id"))
     part = (F.col("ra") == "") | F.contains(F.col("ta"), F.col("ra"))
     part = part & ((F.col("rt") == "") | F.contains(F.col("tt"), F.col("rt")))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda i: F.substring(c, i, F.lit(GRAM))))
-    field = lambda c, f: t.where(F.length(c) >= GRAM).select("ord", F.lit(f).alias("f"), F.explode(grams(F.col(c))).alias("g"))
-    by_gram = field("ta", "a").unionByName(field("tt", "t"))
+    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))
+    field = lambda c, f, n: t.where(F.length(c) >= n).select("ord", F.lit(f).alias("f"), F.explode(grams(F.col(c), n)).alias("g"))
+    held = lambda n: field("ta", "a", n).unionByName(field("tt", "t", n))
+    by_gram = held(GRAM)
     frequency = by_gram.groupBy("f", "g").agg(F.count("*").alias("n"))
     in_title = F.length("rt") >= F.length("ra")
-    long = r.where((F.length("ra") >= GRAM) | (F.length("rt") >= GRAM)).select("*", F.when(in_title, "t").otherwise("a").alias("f"), F.explode(grams(F.when(in_title, F.col("rt")).otherwise(F.col("ra")))).alias("g"))
+    looked = r.select("*", F.when(in_title, "t").otherwise("a").alias("f"), F.when(in_title, F.col("rt")).otherwise(F.col("ra")).alias("text"))
+    long = looked.where(F.length("text") >= GRAM).withColumn("g", F.explode(grams(F.col("text"), GRAM)))
     rarest = long.join(frequency, ["f", "g"], "left").groupBy("row_id", "ra", "rt", "f").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
-    found = rarest.join(by_gram, ["f", "g"]).join(t, "ord").where(part).select("ord", "row_id")
-    short = r.where((F.length("ra") < GRAM) & (F.length("rt") < GRAM)).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rest = short.join(t.withColumn("s", F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int")), "s").where(part).select("ord", "row_id")
-    return found.unionByName(rest).groupBy("ord").agg(F.min("row_id").alias("first_row"))
+    short = looked.where((F.length("text") > 0) & (F.length("text") < GRAM)).withColumn("g", F.col("text")).select(*rarest.columns)
+    few = by_gram
+    for n in range(1, GRAM):
+        few = few.unionByName(held(n))
+    found = rarest.unionByName(short).join(few, ["f", "g"]).join(t, "ord").where(part).select("ord", "row_id")
+    blank = looked.where(F.length("text") == 0).agg(F.min("row_id").alias("row_id")).first()["row_id"]  # one row, if any
+    if blank is not None:
+        found = found.unionByName(t.select("ord", F.lit(blank).cast("bigint").alias("row_id")))
+    return found.groupBy("ord").agg(F.min("row_id").alias("first_row"))

@@ -42,11 +42,16 @@ class RankingSpec:
     prefer_tags: tuple[str, ...] = ()
 
 
-def resolve_seed(indexed: DataFrame, text: str):
-    """The first index row (label, ord, path, artist, title, ..., v) whose path or label holds a text, or None."""
+def named(tracks: DataFrame, text: str) -> DataFrame:
+    """Tracks whose path or label holds a text, whatever its case."""
     needle = text.lower()
     label = T.label(F.col("artist"), F.col("title"))
-    return indexed.where(F.contains(F.lower("path"), F.lit(needle)) | F.contains(F.lower(label), F.lit(needle))).orderBy("label").limit(1).first()
+    return tracks.where(F.contains(F.lower("path"), F.lit(needle)) | F.contains(F.lower(label), F.lit(needle)))
+
+
+def resolve_seed(indexed: DataFrame, text: str):
+    """The first index row (label, ord, path, artist, title, ..., v) whose path or label holds a text, or None."""
+    return named(indexed, text).orderBy("label").limit(1).first()
 
 
 def contours(rows: DataFrame) -> DataFrame:
@@ -55,20 +60,41 @@ def contours(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bass", part(1)).withColumn("rhythm", part(65))
 
 
+def _contoured(pool: DataFrame, seed, wanted: bool) -> tuple[DataFrame, dict[str, list[float]]]:
+    """The pool with contours, made after its limit where they are wanted and not there, and those of the seed."""
+    if not wanted:
+        return pool, {}
+    known = seed.asDict()
+    if "bass" in pool.columns and "rhythm" in pool.columns:
+        return pool, {c: known[c] for c in ("bass", "rhythm")}
+    form = lambda v: [40 + 160 * abs(x) for x in v]
+    return contours(pool), {"bass": form(known["v"][:64]), "rhythm": form(known["v"][64:128])}
+
+
+def _pool(rows: DataFrame, seed, k: int, info: DataFrame | None) -> DataFrame:
+    """The k rows nearest to a seed, without it. With `info` (ord, ...), `rows` needs only (ord, label, v): the other
+    columns are fetched for the pool alone."""
+    pool = knn.nearest_to(rows, seed["v"], k, "label").where(F.col("ord") != seed["ord"])
+    if info is None:
+        return pool
+    return info.join(F.broadcast(pool), "ord")  # at most k rows
+
+
 def _array(values) -> Column:
     return F.array(*[F.lit(float(x)) for x in values]) if values else F.array().cast("array<double>")
 
 
-def recommend(rows: DataFrame, seed, *, top: int = 25, extra: int = 50, tempo_pct: float = 6.0, doubletime: bool = True, camelot: bool = True, weights: dict[str, float] | None = None) -> DataFrame:
+def recommend(rows: DataFrame, seed, info: DataFrame | None = None, *, top: int = 25, extra: int = 50, tempo_pct: float = 6.0, doubletime: bool = True, camelot: bool = True, weights: dict[str, float] | None = None) -> DataFrame:
     """Tracks that go with a seed row: the `top` + `extra` nearest others are the pool, rules filter the pool, and what
     is left is ordered by distance, or by the weighted score if any weight is set. Fewer than `top` rows may be left.
 
-    `rows` has label, ord, path, camelot, bpm, samples, v, and bass and rhythm if they are weighted."""
+    `rows` has label, ord, v and, unless `info` has them by ord, camelot, bpm, samples; bass and rhythm are read from v where
+    they are weighted and not there."""
     if seed is None:
         return rows.sparkSession.createDataFrame([], RESULT)
     weights = {k: w for k, w in (weights or {}).items() if w}
     # the limit is a barrier: filters below it would change the pool
-    pool = knn.nearest_to(rows, seed["v"], top + extra, "label").where(F.col("ord") != seed["ord"])
+    pool, own = _contoured(_pool(rows, seed, top + extra, info), seed, bool({"bass", "rhythm"} & set(weights)))
     key, bpm = F.lit(seed["camelot"]).cast("string"), F.lit(seed["bpm"]).cast("double")
     out = pool.withColumn("relation", H.relation(key, F.col("camelot")))
     if camelot:
@@ -81,7 +107,7 @@ def recommend(rows: DataFrame, seed, *, top: int = 25, extra: int = 50, tempo_pc
         score = score + weights["samples"] * F.coalesce("samples", F.lit(0.0))
     for name, length, log in (("bass", 512, True), ("rhythm", 256, False)):
         if name in weights:
-            score = score + weights[name] * F.coalesce(V.contour_similarity(_array(seed[name]), F.col(name), length, log), F.lit(0.0))
+            score = score + weights[name] * F.coalesce(V.contour_similarity(_array(own[name]), F.col(name), length, log), F.lit(0.0))
     out = out.withColumn("score", score)
     order = [F.desc("score"), "dist", "label"] if weights else ["dist", "label"]
     return ranked(out.orderBy(*order).limit(top), order).select("rank", "ord", "relation", F.round("dist", 6).alias("dist"), F.round("score", 6).alias("score"))
@@ -111,9 +137,9 @@ def sequence(rows: DataFrame, seeds: DataFrame, *, top: int = 25, pool: int = 10
     return ranked(near, ["dist", "label"]).select("rank", "ord", F.round("dist", 6).alias("dist"))
 
 
-def discover(rows: DataFrame, seed, spec: RankingSpec, *, top: int = 50) -> DataFrame:
+def discover(rows: DataFrame, seed, spec: RankingSpec, info: DataFrame | None = None, *, top: int = 50) -> DataFrame:
     """Weighted discovery: the nearest 4 x `top` rows, filtered by tempo, tags and key relations, by a score over the
-    sum of the weights. `rows` has label, ord, camelot, bpm, samples, tags, mytags, bass, rhythm, v."""
+    sum of the weights. `rows` has label, ord, v and, unless `info` has them by ord, camelot, bpm, samples, tags, mytags."""
     if seed is None:
         return rows.sparkSession.createDataFrame([], RESULT)
     w = {k: spec.weights.get(k, 0.0) for k in WEIGHTS}
@@ -121,7 +147,7 @@ def discover(rows: DataFrame, seed, spec: RankingSpec, *, top: int = 50) -> Data
     total = total if total > 0 else 1.0
     both = lambda r: F.array_union(T.clean_tags(r[0]), T.clean_tags(r[1]))
     strings = lambda values: F.array(*[F.lit(x) for x in values]) if values else F.array().cast("array<string>")
-    pool = knn.nearest_to(rows, seed["v"], 4 * top, "label").where(F.col("ord") != seed["ord"])
+    pool, own = _contoured(_pool(rows, seed, 4 * top, info), seed, bool(w["bass"] or w["rhythm"]))
     key, bpm = F.lit(seed["camelot"]).cast("string"), F.lit(seed["bpm"]).cast("double")
     out = pool.withColumn("all_tags", both((F.col("tags"), F.col("mytags"))))
     known = F.coalesce((bpm > 0) & (F.col("bpm") > 0), F.lit(False))
@@ -140,7 +166,7 @@ def discover(rows: DataFrame, seed, spec: RankingSpec, *, top: int = 50) -> Data
     score = w["ann"] * (1 - F.col("dist")) + w["samples"] * F.coalesce("samples", F.lit(0.0))
     for name, length, log in (("bass", 512, True), ("rhythm", 256, False)):
         if w[name]:
-            score = score + w[name] * F.coalesce(V.contour_similarity(_array(seed[name]), F.col(name), length, log), F.lit(0.0))
+            score = score + w[name] * F.coalesce(V.contour_similarity(_array(own[name]), F.col(name), length, log), F.lit(0.0))
     score = score + F.when(known, w["bpm"] * H.tempo_score(bpm, F.col("bpm"), spec.bpm_max_diff or spec.tempo_pct)).otherwise(0.0)
     score = score + w["key"] * key_score + w["tags"] * S.jaccard(strings(seed_tags), F.col("all_tags"))
     out = out.withColumn("score", F.round(score / total, 9))

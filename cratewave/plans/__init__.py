@@ -28,11 +28,11 @@ def register() -> tuple[Callable[[str, str | None], Callable[[Query], Query]], d
 
 def everything() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries and all SQL."""
-    from cratewave.plans import feedback, library, ranking, series, tagging
+    from cratewave.plans import feedback, inout, library, ranking, series, tagging
 
     queries: dict[str, Query] = {}
     oracles: dict[str, str] = {}
-    for part in (library, ranking, tagging, feedback, series):
+    for part in (library, ranking, tagging, feedback, series, inout):
         queries |= part.QUERIES
         oracles |= part.ORACLES
     return queries, oracles

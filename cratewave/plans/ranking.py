@@ -17,16 +17,17 @@ _SEED_SQL = """s AS (SELECT * FROM idx WHERE contains(lower(path), 'forum/d1') O
 
 
 def indexed(spark, d):
-    """Index rows with what rankings need of the catalog. Rankings use labels only to order, and labels follow `ord`, so
-    positions need not be counted here."""
-    return vectors(spark, d).select("ord", "v").join(tracks(spark, d), "ord").withColumn("label", F.col("ord"))
+    """(ord, label, v) of the index. Rankings use labels only to order, and labels follow `ord`, so positions need not be
+    counted here. Of the catalog only `ord` is read; its other columns are fetched for the rows of a pool."""
+    return vectors(spark, d).select("ord", "v").join(tracks(spark, d).select("ord"), "ord", "left_semi").withColumn("label", F.col("ord"))
 
 
-def seeded(spark, d, extra=False):
-    rows = indexed(spark, d)
-    if extra:
-        rows = rank.contours(rows)
-    return rows, rank.resolve_seed(rows, SEED)
+def seeded(spark, d):
+    """(index rows, seed, catalog): the seed is looked for in the catalog, and vectors of the tracks found only."""
+    found = rank.named(tracks(spark, d), SEED)
+    own = knn.current_vectors(table(spark, d, "track_vectors").join(found.select("ord"), "ord", "left_semi")).select("ord", "v")
+    seed = found.join(own, "ord").withColumn("label", F.col("ord")).orderBy("label").limit(1).first()
+    return indexed(spark, d), seed, tracks(spark, d)
 
 
 def _pool(k: int, columns: str = "") -> str:
@@ -55,7 +56,7 @@ _CLI = f"0.7 * (1 - dist) + 0.3 * coalesce(samples, 0) + 0.2 * {sql.contour(sql.
 
 @query("recommend_weighted", _recommend(75, 25, True, _CLI, "score DESC, dist, label"))
 def recommend_weighted(spark, d):
-    return rank.recommend(*seeded(spark, d, True), weights={"ann": 0.7, "samples": 0.3, "bass": 0.2, "rhythm": 0.1})
+    return rank.recommend(*seeded(spark, d), weights={"ann": 0.7, "samples": 0.3, "bass": 0.2, "rhythm": 0.1})
 
 
 @query("recommend_sequence", f"""WITH {sql.INDEX}, s AS (SELECT * FROM idx WHERE contains(path, '/radio/') ORDER BY label LIMIT 3),
@@ -63,8 +64,9 @@ def recommend_weighted(spark, d):
   pool AS (SELECT i.*, {sql.dist("i.v", "m.v")} AS dist FROM idx i, m ORDER BY dist, label LIMIT 100)
   SELECT row_number() OVER (ORDER BY dist, label) AS rank, ord, round(dist, 6) AS dist FROM pool WHERE ord NOT IN (SELECT ord FROM s) ORDER BY dist, label LIMIT 25""")
 def recommend_sequence(spark, d):
-    rows = indexed(spark, d)
-    return rank.sequence(rows, rows.where(F.contains("path", F.lit("/radio/"))).orderBy("label").limit(3))
+    found = tracks(spark, d).where(F.contains("path", F.lit("/radio/"))).select("ord")
+    own = knn.current_vectors(table(spark, d, "track_vectors").join(found, "ord", "left_semi"))
+    return rank.sequence(indexed(spark, d), own.select("ord", "v").orderBy("ord").limit(3))
 
 
 def _discover(spec: rank.RankingSpec, top: int) -> str:
@@ -98,7 +100,8 @@ def _preset(name: str, weights: tuple[float, ...]) -> None:
 
     @query(f"discover_{name}", _discover(spec, 50))
     def discover(spark, d):
-        return rank.discover(*seeded(spark, d, True), spec)
+        rows, seed, info = seeded(spark, d)
+        return rank.discover(rows, seed, spec, info)
 
 
 for _name, _weights in rank.PRESETS.items():
@@ -109,7 +112,8 @@ _FILTERS = rank.RankingSpec({"ann": 0.5, "key": 0.2, "bpm": 0.2, "tags": 0.3}, t
 
 @query("discover_filters", _discover(_FILTERS, 50))
 def discover_filters(spark, d):
-    return rank.discover(*seeded(spark, d, True), _FILTERS)
+    rows, seed, info = seeded(spark, d)
+    return rank.discover(rows, seed, _FILTERS, info)
 
 
 _REQUIRED = rank.RankingSpec({"ann": 1.0, "tags": 0.5}, camelot=False, require_tags=("Opener",), tempo_pct=20.0)
@@ -117,7 +121,8 @@ _REQUIRED = rank.RankingSpec({"ann": 1.0, "tags": 0.5}, camelot=False, require_t
 
 @query("discover_required", _discover(_REQUIRED, 50))
 def discover_required(spark, d):
-    return rank.discover(*seeded(spark, d, True), _REQUIRED)
+    rows, seed, info = seeded(spark, d)
+    return rank.discover(rows, seed, _REQUIRED, info)
 
 
 _ALL = f"""a AS (SELECT q.ord AS q, i.ord, {sql.dist("q.v", "i.v")} AS dist FROM v q, v i WHERE q.ord % 20 = 0 AND q.ord <> i.ord),
@@ -156,8 +161,9 @@ def index_incremental(spark, d):
 @query("bass_rhythm_similarity", f"""WITH {sql.INDEX}, {_SEED_SQL}, p AS (SELECT i.ord, i.v, s.v AS s_v FROM idx i, s) SELECT ord, round({sql.contour(sql.BASS, sql.BASS.replace('v[', 's_v['), 64, True)}, 6) AS bass,
   round({sql.contour(sql.RHYTHM, sql.RHYTHM.replace('v[', 's_v['), 64, False)}, 6) AS rhythm FROM p""")
 def bass_rhythm_similarity(spark, d):
-    rows, seed = seeded(spark, d, True)
-    lit = lambda c: F.array(*[F.lit(x) for x in seed[c]])
+    rows, seed, _ = seeded(spark, d)
+    rows, halves = rank.contours(rows), {"bass": seed["v"][:64], "rhythm": seed["v"][64:]}
+    lit = lambda c: F.array(*[F.lit(40 + 160 * abs(x)) for x in halves[c]])
     return rows.select("ord", F.round(V.contour_similarity(lit("bass"), F.col("bass"), 512, True), 6).alias("bass"), F.round(V.contour_similarity(lit("rhythm"), F.col("rhythm"), 256, False), 6).alias("rhythm"))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import os
 import shlex
+import struct
 import uuid
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +33,23 @@ def scan_audio(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Tracks of a JSON document {"tracks": {path: fields}}; rows are numbered in the order of the paths' appearance. A file
-    that is missing or cannot be parsed gives an empty catalog."""
+    that is missing or cannot be parsed gives an empty catalog; a broken one is copied beside itself first, under its
+    name with `.corrupt_` and the time, so that writing the catalog again loses nothing.
+
+    One document is one value in one task: the exchange format of a personal library. Catalogs of any size are tables,
+    see `write_version`."""
     inner = ", ".join(c for c in TRACK_SCHEMA.split(", ") if not c.startswith(("ord ", "path ")))
     empty = spark.createDataFrame([], TRACK_SCHEMA)
     if not os.path.exists(path.removeprefix("file://")) and "://" not in path:
         return empty
     text = spark.read.text(path, wholetext=True)
+    broken = text.where(F.try_parse_json("value").isNull() & (F.length("value") > 0)).limit(1).count()
+    if broken:
+        source = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+        copy = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.corrupt_{datetime.now(timezone.utc):%Y%m%d_%H%M%S_%f}")
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(files, source, files, copy, False, spark._jsc.hadoopConfiguration())
+        return empty
     doc = F.from_json("value", f"tracks map<string, struct<{', '.join(c.replace(' ', ': ', 1) for c in inner.split(', '))}>>")
     rows = text.select(F.posexplode(doc["tracks"]).alias("ord", "path", "t")).select(F.col("ord").cast("bigint").alias("ord"), "path", "t.*")
     return rows.select(*[c.split()[0] for c in TRACK_SCHEMA.split(", ")])
@@ -66,8 +79,8 @@ def read_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFra
 
 
 def write_csv(df: DataFrame, folder: str) -> None:
-    """A table as CSV files with headers."""
-    df.write.mode("overwrite").option("header", "true").option("escape", chr(34)).csv(folder)
+    """A table as CSV files with headers. Blanks around values are kept."""
+    df.write.mode("overwrite").option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").option("escape", chr(34)).csv(folder)
 
 
 def read_npy(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,25 +190,59 @@ def parse_folders(text: str) -> list[str]:
     return out
 
 
+# Rates in kbit/s of MPEG audio frames by the index in their header (version 1 or 2, layer), and sample rates.
+MPEG_KBITS = {
+    (1, 1): (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448), (1, 2): (32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384), (1, 3): (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+    (2, 1): (32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256), (2, 2): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160), (2, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+MPEG_RATES = {3: (44_100, 48_000, 32_000), 2: (22_050, 24_000, 16_000), 0: (11_025, 12_000, 8_000)}
+
+
+def header(content: bytes) -> tuple[int, int]:
+    """(sample rate, bits a second) from the header of a WAV, AIFF, FLAC, MP3 or MP4 file; 0 for what it does not tell."""
+    at = content[:4]
+    if at == b"RIFF" and content[8:12] == b"WAVE":
+        i = content.find(b"fmt ", 12)
+        rate, per_second = struct.unpack("<II", content[i + 12 : i + 20])
+        return rate, 8 * per_second
+    if at == b"FORM" and content[8:12] in (b"AIFF", b"AIFC"):
+        i = content.find(b"COMM", 12)
+        channels, _, bits, exponent, mantissa = struct.unpack(">hIhHQ", content[i + 8 : i + 26])
+        rate = int(mantissa * 2.0 ** (exponent - 16446))
+        return rate, rate * channels * bits
+    if at == b"fLaC":
+        packed = int.from_bytes(content[18:26], "big")  # 20 bits rate, 3 channels, 5 width, 36 samples
+        rate, samples = packed >> 44, packed & (1 << 36) - 1
+        return rate, 8 * len(content) * rate // samples if samples else 0
+    if content[4:8] == b"ftyp":
+        i, j = content.find(b"mdhd"), content.find(b"mp4a")
+        long = content[i + 4] == 1
+        scale, length = struct.unpack(">IQ", content[i + 24 : i + 36]) if long else struct.unpack(">II", content[i + 16 : i + 24])
+        rate = struct.unpack(">I", content[j + 28 : j + 32])[0] >> 16 if j > 0 else scale
+        return rate, 8 * len(content) * scale // length if length else 0
+    start = 10 + sum((b & 127) << s for b, s in zip(content[6:10], (21, 14, 7, 0))) if content[:3] == b"ID3" else 0
+    while (start := content.find(b"\xff", start)) >= 0 and start + 4 <= len(content):
+        word = int.from_bytes(content[start : start + 4], "big")
+        version, layer, kbit, rate = word >> 19 & 3, 4 - (word >> 17 & 3), word >> 12 & 15, word >> 10 & 3
+        if word >> 21 == 0x7FF and version != 1 and layer != 4 and 0 < kbit < 15 and rate != 3:
+            return MPEG_RATES[version][rate], 1000 * MPEG_KBITS[1 if version == 3 else 2, layer][kbit - 1]
+        start += 1
+    return 0, 0
+
+
 def media_headers(files: DataFrame) -> DataFrame:
-    """(path, sample_rate, bitrate) from the headers of binary files (path, content); 0 where a header cannot be read."""
+    """(path, sample_rate, bitrate) from the headers of binary files (path, content); 0 where a header cannot be read. Of
+    MP3 it is the rate of the first frame, of FLAC and MP4 the mean over the file."""
 
     def read(batches):
-        import io
-        import wave
-
         for b in batches:
-            rates, bits = [], []
+            found = []
             for content in b.column("content").to_pylist():
-                rate = bit = 0
                 try:
-                    with wave.open(io.BytesIO(content or b"")) as w:
-                        rate, bit = w.getframerate(), w.getframerate() * w.getsampwidth() * 8 * w.getnchannels()
-                except (wave.Error, EOFError):
-                    pass
-                rates.append(rate)
-                bits.append(bit)
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(rates, pa.int32()), pa.array(bits, pa.int32())], ["path", "sample_rate", "bitrate"])
+                    found.append(header(content or b""))
+                except (struct.error, IndexError, OverflowError):
+                    found.append((0, 0))
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([r for r, _ in found], pa.int32()), pa.array([x for _, x in found], pa.int32())], ["path", "sample_rate", "bitrate"])
 
     return files.select("path", "content").mapInArrow(read, "path string, sample_rate int, bitrate int")
 

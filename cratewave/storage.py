@@ -50,6 +50,13 @@ def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | No
     return table
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder name in the shared folder; what is written there is deleted at the end of the program."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables that `materialize` returned and that nothing will read again, such as those of a round gone by."""
     for table in tables:

@@ -267,3 +267,10 @@ def test_intermediate_tables(spark):
     import os
 
     assert not os.path.exists(t._table_path.removeprefix("file://"))
+
+
+def test_short_texts_name_tracks(spark):
+    t = spark.createDataFrame([(1, "Abba", "SOS"), (2, "X", None), (3, None, "So")], "ord bigint, artist string, title string")
+    for rows, want in (([(1, "x", "")], {2: 1}), ([(1, "b", "o")], {1: 1}), ([(1, None, "so"), (2, "", "os")], {1: 1, 3: 1}), ([(4, None, " "), (5, "", "sos")], {1: 4, 2: 4, 3: 4}), ([], {})):
+        r = spark.createDataFrame(rows, "row_id bigint, artist string, title string")
+        assert {x.ord: x.first_row for x in matching.mirror_playlist(r, t).collect()} == want

@@ -18,7 +18,8 @@ def test_catalog_json(spark, tmp_path):
     rows = C.read_catalog(spark, str(path)).orderBy("ord").collect()
     assert [(r.path, r.artist, r.bpm, r.mytags) for r in rows] == [("/b.mp3", "B", 120.5, ["x"]), ("/a.mp3", None, None, None)]
     path.write_text("{broken")
-    assert C.read_catalog(spark, str(path)).count() == 0 and C.read_catalog(spark, str(tmp_path / "none.json")).count() == 0
+    assert C.read_catalog(spark, str(path)).count() == 0 and [p.read_text() for p in tmp_path.glob("meta.json.corrupt_*")] == ["{broken"]
+    assert C.read_catalog(spark, str(tmp_path / "none.json")).count() == 0
 
 
 def test_versions(spark, tmp_path):
@@ -107,7 +108,7 @@ def test_signal_features(spark):
     y = (0.2 * np.sin(2 * np.pi * 440 * t) + clicks).astype(np.float32)
     df = spark.createDataFrame([("/a", y.tolist(), rate), ("/empty", [], rate), ("/silent", [0.0] * 5000, rate)], "path string, samples array<float>, rate int")
     got = {r.path: r for r in signal.features(df).collect()}
-    assert set(got) == {"/a", "/silent"} and abs(got["/a"].bpm - 120) < 3 and int(np.argmax(got["/a"].chroma)) == 9 and len(got["/a"].bass) == 256 and got["/silent"].bpm == 0
+    assert set(got) == {"/a", "/silent"} and abs(got["/a"].bpm - 120) < 3 and int(np.argmax(got["/a"].chroma)) == 9 and len(got["/a"].rhythm) == 256 and got["/silent"].bpm == 0
     assert signal.pick_tails(np.array([0, 5, 0, 4, 0, 6, 0.0]), np.arange(7.0), 2, 3.0) == [5.0, 1.0]
 
 
@@ -124,7 +125,19 @@ def test_headers_and_decoding(spark, tmp_path):
     (tmp_path / "b.wav").write_bytes(b"no")
     files = spark.read.format("binaryFile").load(str(tmp_path))
     assert sorted((r.path[-5:], r.sample_rate, r.bitrate) for r in C.media_headers(files).collect()) == [("a.wav", 96_000, 1_536_000), ("b.wav", 0, 0)]
-    assert [(len(r.samples), r.rate) for r in signal.decode(files).collect()] == [(100, 96_000)]
+    assert sorted((len(r.samples or []), r.rate) for r in signal.decode(files).where("samples is not null").collect()) == [(100, 96_000)]
+
+
+def test_headers():
+    import struct
+
+    flac = b"fLaC" + b"\0\0\0\x22" + bytes(10) + (96_000 << 44 | 1 << 41 | 23 << 36 | 96_000).to_bytes(8, "big") + bytes(16)
+    assert C.header(flac) == (96_000, 8 * len(flac))
+    mp3 = b"ID3\4\0\0\0\0\0\5" + b"\xff\xfb\x90\0x" + b"\xff\xfb\x90\0" + bytes(50)
+    assert C.header(mp3) == (44_100, 128_000)
+    assert C.header(b"FORM\0\0\0\0AIFFCOMM" + struct.pack(">IhIhHQ", 18, 2, 9, 16, 16383 + 15, 44_100 << 48)) == (44_100, 1_411_200)
+    mp4 = b"\0\0\0\x18ftypM4A " + b"mdhd" + struct.pack(">IIIII", 0, 0, 0, 44_100, 88_200) + b"mp4a" + bytes(24) + struct.pack(">I", 44_100 << 16)
+    assert C.header(mp4) == (44_100, 8 * len(mp4) // 2) and C.header(b"") == (0, 0) and C.header(b"\xff" * 9) == (0, 0)
 
 
 def test_staging_files(spark, tmp_path):
@@ -150,15 +163,62 @@ def test_stem_cache_and_counts(spark, tmp_path):
     assert sorted(map(tuple, C.stage_counts(df).collect())) == [("embed", 1, 1, 0), ("index", 0, 0, 1)]
 
 
-def test_profile_windows():
+def test_profile_windows(spark):
     times = np.arange(0, 300, 0.1)
     onset = np.full(len(times), 0.1)
     for at in (5, 31, 60, 230, 236, 290):
         onset[int(at * 10)] = 1.0 + at / 1000
-    got = signal.profile_windows(onset, times, 300.0)
-    assert abs(got[0][0] - 31) < 0.2 and abs(got[0][1] - got[0][0] - 90) < 1e-6 and len(got) == 3
-    assert all(b - a == 30 for a, b in got[1:]) and any(a >= 240 for a, _ in got[1:]) and abs(got[1][0] - got[2][0]) >= 10
-    assert signal.profile_windows(np.zeros(0), np.zeros(0), 4.0) == [(0.0, 0.0)]
+    rows = spark.createDataFrame([("a", float(t), float(x)) for t, x in zip(times, onset)], "path string, t double, x double")
+    tracks = spark.createDataFrame([("a", 300.0), ("short", 4.0), ("none", 120.0)], "path string, duration double")
+    got = {}
+    for r in signal.profile_windows(rows, tracks).orderBy("path", "n").collect():
+        got.setdefault(r.path, []).append((r.start, r.end))
+    a = got["a"]
+    assert abs(a[0][0] - 31) < 0.2 and abs(a[0][1] - a[0][0] - 90) < 1e-6 and len(a) == 3
+    assert all(y - x == 30 for x, y in a[1:]) and any(x >= 240 for x, _ in a[1:]) and abs(a[1][0] - a[2][0]) >= 10
+    assert got["short"] == [(0.0, 0.0)] and got["none"] == [(10.0, 100.0)]
+    early = rows.withColumn("x", F.when(F.col("t") > 280, 0.1).otherwise(F.col("x")))
+    moved = [(r.start, r.end) for r in signal.profile_windows(early, tracks.where("path = 'a'")).orderBy("n").collect()]
+    assert moved[-1] == (269.0, 299.0) or moved[-1][0] >= 240
+
+
+def test_features_of_known_signals():
+    rate = 22050
+    t = np.arange(rate * 30) / rate
+    low = np.sin(2 * np.pi * 80 * t)
+    hz, sure = signal.bass_contour(low, rate)
+    assert abs(np.median(hz) - 80) < 6 and sure == 1.0 and len(hz) == 1 + len(t) // 512
+    clicks = np.zeros(len(t))
+    clicks[:: rate // 2] = 1.0
+    rhythm, even = signal.rhythm_contour(clicks, rate)
+    peaks = np.flatnonzero(rhythm > 0.5)
+    assert len(rhythm) == 256 and 0.9 < rhythm.max() <= 1.0 and rhythm.min() == 0.0 and abs(np.median(np.diff(peaks[np.r_[True, np.diff(peaks) > 2]])) - 21.5) <= 1 and 0 < even < 1
+    assert signal.samples_score(np.zeros(rate * 5), rate) == 0.0 and 0 <= signal.samples_score(low * (1 + np.sin(t)) + clicks, rate) <= 1
+    assert np.allclose(signal.mel(rate).sum(axis=1) * rate / 2048, 1, atol=0.25) and signal.steady(np.ones(500)).max() > 0.5
+
+
+def test_decoding_widths(spark, tmp_path):
+    import struct
+
+    y = np.array([0.0, 0.5, -0.5, 0.25])
+    files = []
+    for kind, bits, data in ((1, 8, (y * 128 + 128).astype("u1").tobytes()), (1, 16, (y * 2**15).astype("<i2").tobytes()), (1, 24, b"".join(struct.pack("<i", int(v * 2**23))[:3] for v in y)), (1, 32, (y * 2**31).astype("<i4").tobytes()), (3, 32, y.astype("<f4").tobytes())):
+        fmt = struct.pack("<HHIIHH", kind, 1, 8000, 8000 * bits // 8, bits // 8, bits)
+        files.append((f"/{kind}-{bits}", bytearray(b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(data)) + data)))
+    comm = struct.pack(">hIh", 1, 4, 16) + struct.pack(">HQ", 16383 + 12, 8000 << 51)
+    ssnd = struct.pack(">II", 0, 0) + (y * 2**15).astype(">i2").tobytes()
+    files += [("/aiff", bytearray(b"FORM" + struct.pack(">I", 0) + b"AIFFCOMM" + struct.pack(">I", 18) + comm + b"SSND" + struct.pack(">I", len(ssnd)) + ssnd)), ("/bad", bytearray(b"no")), ("/null", None)]
+    got = {r.path: r for r in signal.decode(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert len(got) == len(files)
+    for path, r in got.items():
+        if path in ("/bad", "/null"):
+            assert r.samples is None and r.error
+        else:
+            assert r.rate == 8000 and np.allclose(r.samples, y, atol=1e-2), (path, r)
+    made = signal.encode(signal.decode(spark.createDataFrame(files, "path string, content binary")), lambda x, rate: [x.mean(), rate], "mean")
+    assert {r.path: r.embedding for r in made.collect()}["/1-16"] == [0.0625, 8000.0]
+    s = spark.createDataFrame([([0.0, 1e-4, -0.2], 2), ([0.0], 2), ([], 2), (None, 2), ([1.0], 0)], "samples array<double>, rate int")
+    assert [r.t for r in s.select(signal.first_sound(F.col("samples"), F.col("rate")).alias("t")).collect()] == [1.0, 0.0, 0.0, 0.0, 0.0]
 
 
 def test_deck_source(spark, tmp_path):
