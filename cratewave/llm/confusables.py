@@ -59,6 +59,7 @@ INVISIBLE = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x18
 def tables() -> tuple[dict[int, str | None], dict[int, str]]:
     """What to do before and after the decomposition, by rule from the character database and the look-alikes."""
     before: dict[int, str | None] = {}
+    listed = set("".join(LOOK_ALIKES))
     for code in range(0x80, sys.maxunicode + 1):
         c = chr(code)
         kind = unicodedata.category(c)
@@ -69,7 +70,7 @@ def tables() -> tuple[dict[int, str | None], dict[int, str]]:
         else:
             form = unicodedata.decomposition(c)
             plain = "".join(chr(int(x, 16)) for x in form.split()[1:]) if form.startswith("<") else ""
-            if form.startswith(("<wide>", "<narrow>")) or plain and kind[0] in "LN" and form.startswith(("<compat>", "<font>")) and plain.isalnum():
+            if form.startswith(("<wide>", "<narrow>")) or plain and c not in listed and kind[0] in "LN" and form.startswith(("<compat>", "<font>")) and plain.isalnum():
                 before[code] = plain
     before[0x61C] = None
     for low, high in INVISIBLE:
