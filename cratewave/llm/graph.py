@@ -42,11 +42,13 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
 HOT_CLASS = 4_000
 
 
-def class_pairs(members: DataFrame, keys: list[str], hot: int = HOT_CLASS) -> DataFrame:
-    """(a, b), a < b, of all rows (`keys`, id) of one class. A class of more than `hot` members is cut into parts: each
+def class_pairs(members: DataFrame, keys: list[str], hot: int = HOT_CLASS, size: str | None = None) -> DataFrame:
+    """(a, b), a < b, of all rows (`keys`, id) of one class, whose size may be told by a column `size`. A class of more than `hot` members is cut into parts: each
     part meets a copy of the whole class in a task of its own, so no task makes all pairs of a large class."""
-    parts = members.groupBy(*keys).agg(F.ceil(F.count("*") / hot).cast("int").alias("parts"))
-    rows = members.join(parts, keys)
+    if size:
+        rows = members.withColumn("parts", F.ceil(F.col(size) / hot).cast("int"))
+    else:
+        rows = members.join(members.groupBy(*keys).agg(F.ceil(F.count("*") / hot).cast("int").alias("parts")), keys)
     left = rows.select(*keys, F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     right = rows.select(*keys, F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return left.join(right, [*keys, "part"]).where("a < b").select("a", "b")

@@ -126,12 +126,12 @@ def similar(
     """
     members, linked = _linked(df, key, values, threshold, smallest, other, other_values, partition_classes, block_classes)
     sized = members.withColumn("parts", F.ceil(F.col("n") / hot).cast("int"))
-    parts = sized.select("class", "side", "parts").distinct()
+    crowded = sized.where("parts > 1").select("class", "side", "parts").distinct()
     side = lambda i, c, s, p: sized.select(F.col("id").alias(i), F.col("class").alias(c), F.col("side").alias(s), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias(p))
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
     spread = linked
     for c, s, p in (("x", "xs", "px"), ("y", "ys", "py")):
-        spread = spread.join(parts.select(F.col("class").alias(c), F.col("side").alias(s), F.col("parts").alias(p)), [c, s]).withColumn(p, every(p))
+        spread = spread.join(crowded.select(F.col("class").alias(c), F.col("side").alias(s), F.col("parts").alias(p)), [c, s], "left").withColumn(p, every(p))
     expanded = spread.join(side("i", "x", "xs", "px"), ["x", "xs", "px"]).join(side("j", "y", "ys", "py"), ["y", "ys", "py"])
     if other is not None:
         pairs = expanded.select(F.when(F.col("xs") == 0, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(F.col("xs") == 0, F.col("j")).otherwise(F.col("i")).alias("b"))
@@ -141,7 +141,7 @@ def similar(
         right = rows.where("side = 1").select("k1", "k2", F.col("id").alias("b"), every("parts").alias("part"))
         return pairs.unionByName(left.join(right, ["k1", "k2", "part"]).select("a", "b"))
     pairs = expanded.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-    return pairs.unionByName(class_pairs(members.where("n > 1").select("class", "id"), ["class"], hot))
+    return pairs.unionByName(class_pairs(members.where("n > 1").select("class", "id", "n"), ["class"], hot, "n"))
 
 
 def classes_of(df: DataFrame, *, key: str, values: Column, threshold: str = "0.7", smallest: int = 1) -> DataFrame:
