@@ -20,6 +20,7 @@ import math
 import re
 import unicodedata
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp437",
 WRITTEN_IN = ("utf-8", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "mac_roman", "koi8_r", "cp866", "iso8859_2", "iso8859_7", "cp932", "euc_jp", "gbk")
 MULTI = ("utf-8", "cp932", "euc_jp", "gbk", "big5")
 UNIGRAMS, BIGRAMS = 1 << 14, 1 << 18
-BEAM = 12
+BEAM, KEPT = 12, 4
 
 
 @functools.cache
@@ -168,27 +169,36 @@ def lattice(word: str, encoding: str) -> list[tuple[int | None, ...]]:
 Alphabet = dict[str, dict[tuple[int, ...], list[str]]]
 
 
-def viterbi(word: str, cells: list[tuple[int | None, ...]], right: str, model: Model, alphabet: Alphabet, most: int = 4) -> list[tuple[str, float]]:
-    """Best readings of a byte lattice under an encoding, by their last characters, and their log likelihoods. Lost and
+def viterbi(word: str, cells: list[tuple[int | None, ...]], right: str, model: Model, alphabet: Alphabet, most: int = 12) -> list[tuple[str, float]]:
+    """Best readings of a byte lattice under an encoding and their log likelihoods. Lost and
     missing bytes are filled by characters of `alphabet` (encoding -> bytes with -1 as wildcard -> characters)."""
     n = len(cells)
     known = alphabet.get(right, {})
     step = readings if right == "utf-8" else pairs_of if right in MULTI else singles
-    beams: list[dict[str, tuple[float, str]]] = [{} for _ in range(n + 1)]
-    beams[0]["^"] = (0.0, "")
+    # the best few ways to each last character: a filled gap is told by the frequency of the whole word, not by its ends
+    beams: list[dict[str, list[tuple[float, str]]]] = [{} for _ in range(n + 1)]
+    beams[0]["^"] = [(0.0, "")]
     for i in range(n):
-        best = sorted(beams[i].items(), key=lambda z: -z[1][0])[:BEAM]
+        best = sorted(beams[i].items(), key=lambda z: -z[1][0][0])[:BEAM]
         if not best:
             continue
         ways = list(step(cells, i, known) if right == "utf-8" else step(cells, i, known, right))
-        for last, (score, text) in best:
+        for last, texts in best:
             for end, chars, cost in ways:
                 for c in chars:
-                    s = score + model.step(last.lower()[:1], c.lower()[:1]) - cost
-                    if c not in beams[end] or beams[end][c][0] < s:
-                        beams[end][c] = (s, text + c)
-    final = [(s + model.step(c.lower()[:1], "$"), t) for c, (s, t) in beams[n].items()]
-    return [(text, score) for score, text in sorted(final, reverse=True)[:most] if text != word]
+                    more = model.step(last.lower()[:1], c.lower()[:1]) - cost
+                    kept = beams[end].setdefault(c, [])
+                    for score, text in texts:
+                        if len(kept) == KEPT and score + more <= kept[-1][0]:
+                            break
+                        insort(kept, (score + more, text + c), key=lambda z: -z[0])
+                        del kept[KEPT:]
+    final = [(s + model.step(c.lower()[:1], "$"), t) for c, texts in beams[n].items() for s, t in texts]
+    found: dict[str, float] = {}
+    for score, text in sorted(final, reverse=True):
+        if text != word:
+            found.setdefault(text, score)
+    return list(found.items())[:most]
 
 
 @functools.cache
@@ -230,6 +240,12 @@ def readings(cells: list[tuple[int | None, ...]], i: int, alphabet: dict[tuple[i
     for lead in cells[i]:
         if lead is None:
             yield i + 1, alphabet.get((-1,), []), 3.0
+            rest: tuple[int, ...] = (-1,)
+            for cell in cells[i + 1 : i + 4]:  # a lead that was lost before bytes that follow one
+                if cell[0] is None or not 0x80 <= cell[0] < 0xC0:
+                    break
+                rest = (*rest, cell[0])
+                yield i + len(rest), alphabet.get(rest, []), 1.0
             continue
         if lead < 0x80:
             yield i + 1, [chr(lead)], 0.0
@@ -273,6 +289,8 @@ def patterns(characters: list[str]) -> Alphabet:
                 continue
             own[(-1,)].append(c)
             if encoding == "utf-8":
+                if len(data) > 1:
+                    own.setdefault((-1, *data[1:]), []).append(c)
                 for mask in range(1, 1 << (len(data) - 1)):
                     own.setdefault((data[0], *(-1 if mask >> k & 1 else data[k + 1] for k in range(len(data) - 1))), []).append(c)
             elif len(data) == 2:
@@ -443,7 +461,7 @@ def readings_of(word: str, model: Model, alphabet: Alphabet, damped: Model | Non
             seen.add((right, *cells))
             for text, score in viterbi(word, cells, right, model, alphabet):
                 if text not in found and score - own > -4 and not any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in text):
-                    found[text] = ("lattice", score - own, odd - oddness(text), False)
+                    found[text] = ("utf-8 lattice" if right == "utf-8" else "lattice", score - own, odd - oddness(text), False)
     return [(t, *x) for t, x in found.items()]
 
 
@@ -498,7 +516,7 @@ def damaged(fields: DataFrame, *, limit: float = LIMIT, positions: bool = False)
     `fields` comes from `fields_of`. A word is damaged if it has replacement, control or private characters, or if one
     of its readings scores more than `limit`: gain in log likelihood under the character model, twice the oddness that
     goes away, twice the log ratio of the words' counts, and 3 for readings as UTF-8, which rarely hold by chance, 6 if
-    oddness goes away, too. A reading that is neither UTF-8 nor less odd must be a word of the corpus.
+    oddness goes away, too (3 if bytes are lost or missing). A reading that is neither UTF-8 nor less odd must be a word of the corpus.
 
     Repeats of a damaged value are no evidence for it: for a reading that removes oddness, the gain and the ratio are
     also taken with the repeats of a value counted by their logarithm, and the better ones hold. A word never counts against a
@@ -533,7 +551,7 @@ def damaged(fields: DataFrame, *, limit: float = LIMIT, positions: bool = False)
                 if lost:
                     rows.append((token, key, None, None, 0.0, False, False, False, None))
                 for text, kind, gain, odd, certain in readings_of(token, model, alphabet, damped, d):
-                    bonus = (6.0 if odd > 0 else 3.0) if kind == "utf-8" else 0.0
+                    bonus = (6.0 if odd > 0 else 3.0) if kind == "utf-8" else 3.0 if kind == "utf-8 lattice" and odd > 0 else 0.0
                     # the least that the counts may add: what they add for a single row beside an unknown reading
                     floor = 2 * math.log(0.3 / 1.3) if kind == "utf-8" and odd > 0 else None
                     rows.append((token, key, text, key_of(text), gain + 2.0 * odd + bonus, odd <= 0 or bare, kind != "utf-8" and odd <= 0, certain, floor))
