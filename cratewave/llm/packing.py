@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
-#: Most limits and largest capacity that a plan is made for on the driver.
-MAX_LIMITS, MAX_CAPACITY = 1_000, 4_000_000
+#: Parts in which the documents of one length are ranked at least, and documents for which there is one more.
+SALTS, SALT_ROWS = 64, 1_000_000
+#: Most limits and largest capacity that a plan is made for on the driver, and most runs of slots (48 bytes each) of all
+#: plans together, which all tasks are sent. More of any is an error.
+MAX_LIMITS, MAX_CAPACITY, MAX_RUNS = 1_000, 4_000_000, 2_000_000
 
 
 def plan(capacity: int, counts: dict[int, int]) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -71,13 +73,13 @@ def used_room(items: int, length: int) -> int:
     return items * length
 
 
-def pack(sizes: DataFrame, limits: list[tuple[int, int]], *, key: str = "doc_id", size: str = "n_tokens", salts: int = SALTS) -> DataFrame:
+def pack(sizes: DataFrame, limits: list[tuple[int, int]], *, key: str = "doc_id", size: str = "n_tokens", salts: int | None = None) -> DataFrame:
     """Placement of every document in a container of every limit (`limit_id`, capacity).
 
     Columns: limit_id, container_id, key, piece, token_start, n_tokens, container_offset. A document within the
     capacity has one row (piece 0); a longer one is cut into full pieces and a rest, in order of token_start. Null and
     zero sizes are not placed, limits without a positive capacity hold nothing, one above
-    `MAX_CAPACITY` is an error. `sizes` is read three times and should
+    `MAX_CAPACITY`, or plans of more than `MAX_RUNS`, are an error. `sizes` is read three times and should
     be a written table; `key` must be unique, else repeated rows are placed one by one.
     """
     spark = sizes.sparkSession
@@ -90,6 +92,7 @@ def pack(sizes: DataFrame, limits: list[tuple[int, int]], *, key: str = "doc_id"
     schema = f"limit_id int, container_id bigint, {key} {key_type}, piece int, token_start int, n_tokens int, container_offset int"
     if not limits:
         return spark.createDataFrame([], schema)
+    salts = salts or SALTS + sizes.count() // SALT_ROWS
     each = F.explode(F.array(*[F.struct(F.lit(i).cast("int").alias("limit_id"), F.lit(c).alias("cap")) for i, c in limits]))
     items = (
         sizes.where(F.col(size) > 0).select(F.col(key).alias("k"), F.col(size).cast("int").alias("n"), each.alias("l"))
@@ -103,13 +106,16 @@ def pack(sizes: DataFrame, limits: list[tuple[int, int]], *, key: str = "doc_id"
     counts: dict[int, dict[int, int]] = {i: {} for i, _ in limits}
     for row in salted.groupBy("limit_id", "len").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row.limit_id][row.len] = row.n
-    plans = {}
+    plans, runs = {}, 0
     for i, c in limits:
         entries, _ = plan(c, counts[i])
         by: dict[int, list[tuple[int, int, int, int, int, int]]] = {}
         for e in entries:
             by.setdefault(e[0], []).append(e)
         plans[i] = {length: np.array(es, dtype=np.int64) for length, es in by.items()}
+        runs += len(entries)
+        if runs > MAX_RUNS:
+            raise ValueError(f"plans of more than {MAX_RUNS} runs of slots")
     shared = spark.sparkContext.broadcast(plans)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
