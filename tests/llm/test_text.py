@@ -263,3 +263,26 @@ def test_crowded_sets(spark):
     for a, b in want:
         links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
     assert {r.ord: r.links for r in setjoin.classes_of(df, key="ord", values=F.col("v")).collect()} == links
+
+
+def test_words_are_replaced_at_their_places(spark):
+    lost = "Привет".encode("cp1251").decode("cp1252").replace("è", "�")
+    rows = CLEAN * 40 + ["Привет Друзья"] * 40 + [f"{lost}  Друзья", "zq�xw  plain\tCafÃ© zqÃ¡", "CafÃ© Café CafÃ©"] + ["Café"] * 20
+    df = spark.createDataFrame(list(enumerate(rows)), "ord bigint, title string")
+    got = {r.value: (r.restored, r.unread) for r in mojibake.restore(mojibake.fields_of([(df, "tracks", "ord")], ["title"])).collect()}
+    assert got[f"{lost}  Друзья"] == ("Привет  Друзья", 0) and got["CafÃ© Café CafÃ©"] == ("Café Café Café", 0)
+    restored, unread = got["zq�xw  plain\tCafÃ© zqÃ¡"]
+    assert restored.split("\t")[1].startswith("Café ") and "  plain\t" in restored and (unread == 1) == restored.startswith("zq�xw")
+
+
+@pytest.mark.parametrize("bad,text", [("caf�©", "café"), ("cafÃ�", "café"), ("voilÃ", "voilà"), ("\u0081@", None)])
+def test_lattices_with_gaps(bad, text):
+    words = ["café", "voilà", "déjà", "où"]
+    uni, bi = mojibake.np.zeros(mojibake.UNIGRAMS), mojibake.np.zeros(mojibake.BIGRAMS)
+    for w in words * 50:
+        for a, b in zip("^" + w, w + "$"):
+            uni[mojibake.hash_uni(a)] += 1
+            bi[mojibake.hash_bi(a, b)] += 1
+    model = mojibake.Model(uni, bi)
+    found = [t for t, _ in mojibake.viterbi(bad, mojibake.lattice(bad, "cp1252"), "utf-8", model, mojibake.patterns(["é", "à", "ù"]))]
+    assert (text in found) if text else not found
