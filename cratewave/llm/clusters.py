@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cratewave.functions.scores import exact_mean
 from cratewave.llm import vectors as V
 from cratewave.llm.graph import components
 from cratewave.storage import materialize
@@ -421,7 +422,8 @@ def clusters(
 
 def describe(found: DataFrame, df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", typical: int = 5, dim: int = V.DIM) -> DataFrame:
     """Per cluster: its size, the `typical` members nearest to its centre (ties by smaller key), and their mean cosine
-    with the centre. Sums are built per input partition first, so a large cluster is never one task."""
+    with the centre (both of six decimals). Sums are built per input partition first, so a large cluster is never one
+    task."""
     from pyspark.sql import Window
 
     rows = found.join(df.select(key, vector), key).select("cluster_id", F.col(key).alias("id"), F.col(vector).alias("v"))
@@ -432,7 +434,7 @@ def describe(found: DataFrame, df: DataFrame, *, key: str = "vec_id", vector: st
             at, raw = V.finite(b, "v", dim)
             names, inverse = np.unique(b.column("cluster_id").to_numpy()[at], return_inverse=True)
             sums = np.zeros((len(names), dim))
-            np.add.at(sums, inverse, V.unit(raw))
+            np.add.at(sums, inverse, raw / np.linalg.norm(raw.astype(np.float64), axis=1, keepdims=True))
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(list(sums), pa.list_(pa.float64()))], ["cluster_id", "s"])
 
     total = F.aggregate("s", F.lit(0.0), lambda a, y: a + y * y)
@@ -446,5 +448,5 @@ def describe(found: DataFrame, df: DataFrame, *, key: str = "vec_id", vector: st
     scored = rows.join(centres, "cluster_id").select("cluster_id", "id", F.round(dot / (length * F.col("norm")), 6).alias("cosine"))
     rank = Window.partitionBy("cluster_id").orderBy(F.desc("cosine"), "id")
     top = scored.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= typical).groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("t"))
-    size = scored.groupBy("cluster_id").agg(F.count("*").alias("size"), F.round(F.avg("cosine"), 6).alias("tightness"))
+    size = scored.groupBy("cluster_id").agg(F.count("*").alias("size"), exact_mean(F.col("cosine")).alias("tightness"))
     return size.join(top, "cluster_id").select("cluster_id", "size", "tightness", F.col("t.id").alias("typical"))

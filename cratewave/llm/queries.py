@@ -20,7 +20,8 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
 def p1_described(spark: SparkSession, directory: str) -> DataFrame:
     """Size and most typical members of every cluster."""
     vectors = table(spark, directory, "track_vectors").select("vec_id", "embedding")
-    return clusters.describe(materialize(clusters.clusters(vectors), "clusters"), vectors)
+    told = clusters.describe(materialize(clusters.clusters(vectors), "clusters"), vectors)
+    return told.withColumn("typical", F.array_join(F.transform("typical", lambda v: v.cast("string")), ","))
 
 
 def p2_classes(spark: SparkSession, directory: str) -> DataFrame:
@@ -137,12 +138,19 @@ _USABLE = "len(embedding) = 128 AND len(list_filter(embedding, lambda x: isfinit
 _SETS = """s AS (SELECT ord, list_distinct(list_filter(list_transform(list_concat(coalesce(mytags, []::VARCHAR[]), coalesce(tags, []::VARCHAR[])), lambda t: lower(trim(t))), lambda t: t IS NOT NULL AND t <> '')) AS t FROM tracks),
   f AS (SELECT ord, t, len(t) AS n FROM s WHERE len(t) >= 4), e AS (SELECT ord, n, unnest(t) AS tag FROM f)"""
 
+_CLUSTERS = f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM track_vectors WHERE {_USABLE}), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+      p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON list_dot_product(a.e, b.e) >= 0.75), n AS (SELECT a, list(b ORDER BY b) AS l FROM p GROUP BY a),
+      found AS (SELECT l[1] AS cluster_id, a AS vec_id FROM (SELECT *, count(*) OVER (PARTITION BY l) AS same FROM n) WHERE same = len(l) AND len(l) >= 6)"""
+
 #: Only what SQL can express over whole tables: exact results, without the methods' means.
 ORACLES: dict[str, str] = {
     # a cluster is a set of vectors that all have the same neighbours, namely this set
-    "p1_found": f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM track_vectors WHERE {_USABLE}), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
-      p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON list_dot_product(a.e, b.e) >= 0.75), n AS (SELECT a, list(b ORDER BY b) AS l FROM p GROUP BY a)
-      SELECT l[1] AS cluster_id, a AS vec_id FROM (SELECT *, count(*) OVER (PARTITION BY l) AS same FROM n) WHERE same = len(l) AND len(l) >= 6""",
+    "p1_found": f"""WITH {_CLUSTERS} SELECT cluster_id, vec_id FROM found""",
+    "p1_described": f"""WITH {_CLUSTERS}, m AS (SELECT cluster_id, vec_id, u.e FROM found JOIN u USING (vec_id)), x AS (SELECT cluster_id, unnest(e) AS y, unnest(range(128)) AS p FROM m),
+      c AS (SELECT cluster_id, list(y ORDER BY p) AS s FROM (SELECT cluster_id, p, sum(y) AS y FROM x GROUP BY ALL) GROUP BY cluster_id),
+      k AS (SELECT cluster_id, vec_id, round(list_dot_product(e, s) / sqrt(list_dot_product(s, s)), 6) AS cosine FROM m JOIN c USING (cluster_id)), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY cosine DESC, vec_id) AS r FROM k),
+      z AS (SELECT cluster_id, count(*)::HUGEINT AS size, sum(round(cosine * 1000000000)::BIGINT)::HUGEINT AS s FROM k GROUP BY cluster_id)
+      SELECT cluster_id, size::BIGINT AS size, ((s + 500 * size) // (1000 * size))::BIGINT / 1000000.0::DOUBLE AS tightness, typical FROM z JOIN (SELECT cluster_id, array_to_string(list(vec_id ORDER BY r), ',') AS typical FROM r WHERE r <= 5 GROUP BY cluster_id) USING (cluster_id)""",
     "p5_found": f"""WITH {_SETS}, o AS (SELECT a.ord AS ord_a, b.ord AS ord_b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM e a JOIN e b ON a.tag = b.tag AND a.ord < b.ord GROUP BY 1, 2)
       SELECT ord_a, ord_b FROM o WHERE k * 10 >= 7 * (n + m - k)""",
     "p5_classes": f"""WITH {_SETS}, o AS (SELECT a.ord AS a, b.ord AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM e a JOIN e b ON a.tag = b.tag AND a.ord <> b.ord GROUP BY 1, 2),

@@ -64,7 +64,7 @@ def copy_key(column: str) -> list[Column]:
 
 
 def sample(df: DataFrame, column: str, rows: int, total: int, dim: int = DIM) -> np.ndarray:
-    """Unit vectors of at most about `rows` usable rows, chosen by a hash of the vector."""
+    """Unit vectors of at most about `rows` usable rows, chosen by a hash of the vector, in the order of their bytes."""
     share = min(1.0, 1.1 * rows / max(total, 1))
     chosen = df.where(F.size(column) == dim).where(F.pmod(F.xxhash64(column), F.lit(1_000_000)) < int(share * 1_000_000)).select(column)
 
@@ -73,7 +73,7 @@ def sample(df: DataFrame, column: str, rows: int, total: int, dim: int = DIM) ->
             _, x = finite(b, column, dim)
             yield pa.RecordBatch.from_arrays([pa.array(to_bytes(x), pa.binary())], ["v"])
 
-    got = chosen.mapInArrow(run, "v binary").limit(2 * rows).toArrow().column("v").to_pylist()
+    got = sorted(chosen.mapInArrow(run, "v binary").limit(2 * rows).toArrow().column("v").to_pylist())  # alike however the rows lie
     return unit(from_bytes(got, dim)) if got else np.empty((0, dim), np.float32)
 
 
