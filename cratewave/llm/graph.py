@@ -1,21 +1,62 @@
-"""Connected components of a graph given as pairs, by alternating large-star and small-star steps; pairs within classes."""
+"""Connected components of a graph given as pairs, in one task where they are few, else by alternating large-star and
+small-star steps; pairs within classes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cratewave.storage import discard, materialize
 
 
+#: Pairs up to which one task follows them (two columns of 8 MB); more go in rounds over the cluster.
+ONE_TASK = 1_000_000
+
+
+def lowest_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes of the pairs, smallest node that each is connected with)."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for end in (x, y):
+            np.minimum.at(new, label[end], low)  # the root takes the smaller one, and with it all that hang on it
+            np.minimum.at(new, end, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if ends:
+        found = lowest_reached(*(np.concatenate(z) for z in zip(*ends)))
+        yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in found], ["node", "component"])
+
+
 def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of the pairs (a bigint, b bigint); a component is named by its smallest node.
 
-    Null ends and loops are dropped; no pairs give no rows. Each round is written to the shared folder, where the next
-    one reads it, and only a count and a checksum reach the driver. A hub's pairs shrink to one per neighbour in every
-    step and are grouped with partial aggregates and joins only.
+    Null ends and loops are dropped; no pairs give no rows. Up to `ONE_TASK` pairs are followed by one task, as rounds
+    cost the driver a plan of several joins each. In rounds, each is written to the shared folder, where the next one
+    reads it, and only a count and a checksum reach the driver. A hub's pairs shrink to one per neighbour in every step
+    and are grouped with partial aggregates and joins only.
     """
-    edges = materialize(pairs.where("a <> b").select(F.greatest("a", "b").cast("bigint").alias("a"), F.least("a", "b").cast("bigint").alias("b")).distinct(), "edges")
+    seen = Observation()
+    edges = pairs.where("a <> b").select(F.greatest("a", "b").cast("bigint").alias("a"), F.least("a", "b").cast("bigint").alias("b")).distinct()
+    edges = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n")), "edges")
+    if seen.get["n"] <= ONE_TASK:
+        found = materialize(edges.coalesce(1).mapInArrow(_follow, "node bigint, component bigint"), "components")
+        discard(edges)
+        return found
     before = None
     for _ in range(most_rounds):
         # large star: every larger neighbour of a node is linked to the node's smallest neighbour (or itself)

@@ -197,6 +197,17 @@ def test_components(spark):
     assert graph.components(df.limit(0)).count() == 0
 
 
+def test_few_pairs_are_followed_by_one_task(spark, monkeypatch):
+    """A long chain among few pairs takes two tables; rounds over the cluster give the same."""
+    chain = [int(x) for x in np.random.default_rng(1).permutation(300)]
+    df = spark.createDataFrame([*zip(chain, chain[1:]), (1000, 1001), (1001, 1001), (None, 5)], "a bigint, b bigint")
+    want, written, write = {**{x: 0 for x in chain}, 1000: 1000, 1001: 1000}, [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.append(name) or write(df, name))
+    assert {r.node: r.component for r in graph.components(df).collect()} == want and len(written) == 2
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    assert {r.node: r.component for r in graph.components(df).collect()} == want and len(written) > 4
+
+
 def test_two_levels_and_a_grid(spark):
     """A first level of few cells is divided, a crowded cell cut into a grid; both find what one level finds."""
     good, rows = made(7, n_groups=20, noise=250)
