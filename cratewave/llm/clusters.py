@@ -8,7 +8,8 @@ whose centres are close are compared member by member and joined again where any
 joined group is a cluster only if all of them do.
 
 Every group of several vectors that may be reported is compared, in blocks, with all vectors of other tasks that can
-reach a member by the radius of the group; nothing within the similarity is left out. Single vectors near the border of
+reach a member by the radius of the group; nothing within the similarity is left out. What lies in one group goes as one
+ball first, its vectors only where two balls allow a link, and of two such groups only those of the smaller one. Single vectors near the border of
 their task are compared with each other across tasks by the cells (leaves of the upper tree) within a margin: only a
 cluster of which every task holds a single member could escape there. Links between groups are followed through, and
 linked groups are checked again as one, in blocks, so that no group has to fit one task. Exact copies travel once per
@@ -20,6 +21,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,10 @@ SAMPLE_PER_CELL, LEAST_SAMPLE = 16, 16_384
 NODE_ROWS = 12_000
 MARGIN, MOST_PROBES = 0.12, 6
 BLOCK = 4096
-#: Rows and groups of one comparison with outsiders.
-ROW_BLOCK, HUB_BLOCK = 100_000, 65_536
+#: Groups that are sent to all tasks at once for the comparison with outsiders (half precision: 17 MB).
+HUB_BLOCK = 65_536
+#: Balls and groups of one matrix product, which stays in the cache; candidates of one batch.
+TILE, FOUND = (512, 2048), 100_000
 #: Vectors that join a group across tasks up to which they are sent to all tasks (half precision: 4 MB).
 LATE = 16_384
 #: Radians by which bounds on angles are widened for rounding.
@@ -153,6 +157,66 @@ def bound(radius: np.ndarray, least: float) -> np.ndarray:
     return np.cos(np.minimum(np.arccos(least) + radius + ROUNDING, np.pi)).astype(np.float32)
 
 
+class Hubs:
+    """Groups, by their centres and radii, against which the vectors of other tasks are held."""
+
+    def __init__(self, hub: np.ndarray, home: np.ndarray, size: np.ndarray, centres: np.ndarray, radius: np.ndarray, least: float) -> None:
+        """Ids of groups, their tasks, how many vectors they have, their unit centres, the angles within which these are."""
+        self.hub, self.home, self.size, self.centres, self.least_of = hub, home, size, centres, bound(radius, least)
+        reach = np.minimum(np.arccos(least) + radius.astype(np.float64) + ROUNDING, np.pi)
+        self.widest = reach.max()
+        self.balls = np.column_stack([centres, np.cos(reach), np.sin(reach)]).astype(np.float32)
+
+    def near(self, x: np.ndarray, part: np.ndarray, node: np.ndarray, size: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, group) of every unit row of another task that can reach a member of the group. Of two groups that are
+        both held against the other's rows, only the rows of the smaller one (by size, then id) are."""
+        order = np.argsort(part, kind="stable")
+        first = np.flatnonzero(np.diff(part[order], prepend=part[order[:1]] - 1))
+        n = np.diff(np.append(first, len(order)))
+        sums = np.add.reduceat(x[order], first, axis=0)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = sums / (norm + 1e-12)
+        radius = np.maximum.reduceat(np.arccos(np.clip(np.einsum("ij,ij->i", x[order], np.repeat(centres, n, axis=0)), -1, 1)), first) + ROUNDING
+        # the vectors of a ball that is too wide for a bound go one by one
+        wide = (radius + self.widest > np.pi) | (norm[:, 0] < 1e-3)
+        cut = np.repeat(wide, n)
+        cut[first] = True
+        first = np.flatnonzero(cut)
+        ball = np.cumsum(cut)[np.flatnonzero(np.repeat(~wide, n) & cut)] - 1
+        n = np.diff(np.append(first, len(order)))
+        at = order[first]
+        angle, middle = np.zeros(len(first)), x[at].copy()
+        several = ball[n[ball] > 1]
+        of = np.flatnonzero(~wide)[n[ball] > 1]
+        angle[several], middle[several] = radius[of], centres[of]
+        units = np.column_stack([middle, -np.cos(angle), np.sin(angle)]).astype(np.float32)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for s in range(0, len(units), TILE[0]):
+            for t in range(0, len(self.balls), TILE[1]):
+                # the cosine of the centres less that of the widest angle at which a link is possible
+                hit = units[s : s + TILE[0]] @ self.balls[t : t + TILE[1]].T >= -1e-6
+                if not hit.any():
+                    continue
+                u, h = np.nonzero(hit)
+                u, h = u + s, h + t
+                r = at[u]
+                smaller = (size[r] < self.size[h]) | (size[r] == self.size[h]) & (part[r] < self.hub[h])
+                kept = (node[r] != self.home[h]) & (smaller | ~whole[r] | (size[r] == 1))  # groups of one task were compared there
+                found.append((u[kept], h[kept]))
+        u, h = (np.concatenate(z) for z in zip(*found))
+        one = n[u] == 1
+        rows, groups = [at[u[one]]], [h[one]]
+        u, h = u[~one], h[~one]
+        by = np.argsort(u, kind="stable")
+        u, h = u[by], h[by]
+        starts = np.flatnonzero(np.diff(u, prepend=-1))
+        for s, e in zip(starts, [*starts[1:], len(u)]):
+            own, to = order[first[u[s]] : first[u[s]] + n[u[s]]], h[s:e]
+            i, j = np.nonzero(x[own] @ self.centres[to].T >= self.least_of[to])
+            rows.append(own[i]), groups.append(to[j])
+        return np.concatenate(rows), np.concatenate(groups)
+
+
 def rejoin(x: np.ndarray, leaf: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(group of each row, whether all pairs of the group reach `least`), groups being connected by pairs that do.
 
@@ -265,19 +329,17 @@ def clusters(
         rows = [rows[i] for i in at]
         x = V.unit(V.from_bytes(rows, dim))
         label, whole = rejoin(x, compact_leaves(x, least), least)
-        # a group is open if one of its members has a cell of another task within the margin
-        r, c, rank = V.probes(x, tree.centres, margin, most_probes)
-        home = tree.node[c[rank == 0]]
-        away = np.zeros(len(x), bool)
-        away[r[tree.node[c] != home[r]]] = True
         names, inverse = np.unique(label, return_inverse=True)
         lowest = np.full(len(names), np.iinfo(np.int64).max)
         np.minimum.at(lowest, inverse, ids)
-        open_ = np.zeros(len(names), bool)
-        np.logical_or.at(open_, inverse, away)
-        open_ = open_[inverse]
-        # the first row of a whole group of several has its centre, in half precision, and the radius about it
         n = np.bincount(inverse)
+        # a single vector is open if it has a cell of another task within the margin
+        single = np.flatnonzero(n[inverse] == 1)
+        r, c, rank = V.probes(x[single], tree.centres, margin, most_probes)
+        home = tree.node[c[rank == 0]]
+        open_ = np.zeros(len(x), bool)
+        open_[single[r[tree.node[c] != home[r]]]] = True
+        # the first row of a whole group of several has its centre, in half precision, and the radius about it
         sums = np.zeros((len(names), dim), np.float32)
         np.add.at(sums, inverse, x)
         centres = V.unit((sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-12)).astype(np.float16))
@@ -290,7 +352,7 @@ def clusters(
                 pa.array([centres[g].astype(np.float16).tobytes() if f else None for g, f in zip(inverse, first)], pa.binary()), pa.array(radius[inverse], pa.float32()),
             ],
             ["part", "id", "whole", "open", "v", "n", "centre", "radius"],
-        ).append_column("node", group["node"].slice(0, len(ids)))
+        ).append_column("node", group["node"].slice(0, len(ids))).sort_by("part")  # groups lie together
 
     parts = materialize(
         df.mapInArrow(route, "node int, id bigint, v binary").groupBy("node")
@@ -318,21 +380,6 @@ def clusters(
     near = parts.where("open and n = 1").select("part", "v").mapInArrow(to_cells, "cell int, part bigint, v binary")
     links = near.groupBy("cell").applyInArrow(link, "a bigint, b bigint")
 
-    def reach(rows: pa.Table, hubs: pa.Table) -> pa.Table:
-        at, to = np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(rows) and len(hubs):
-            node, hub, home = rows["node"].to_numpy(), hubs["hub"].to_numpy(), hubs["home"].to_numpy()
-            x, centres = V.unit(V.from_bytes(rows["v"].to_pylist(), dim)), V.unit(V.from_bytes(hubs["centre"].to_pylist(), dim))
-            least_of = bound(hubs["radius"].to_numpy(), least)
-            found = []
-            for s in range(0, len(x), 256):
-                i, j = np.nonzero(x[s : s + 256] @ centres.T >= least_of)
-                other = node[i + s] != home[j]  # groups of one task were compared there
-                found.append((i[other] + s, j[other]))
-            at, to = (np.concatenate(z) for z in zip(*found))
-            return pa.table([pa.array(hub[to]), rows["part"].take(pa.array(at)), rows["v"].take(pa.array(at))], ["hub", "part", "v"])
-        return pa.table([pa.array(at), pa.array(to), pa.array([], pa.binary())], ["hub", "part", "v"])
-
     def touch(outside: pa.Table, members: pa.Table) -> pa.Table:
         found: set[int] = set()
         if len(outside) and len(members):
@@ -343,13 +390,36 @@ def clusters(
         pairs = [(min(p, hub), max(p, hub)) for p in sorted(found)]
         return pa.table([pa.array([p for p, _ in pairs], pa.int64()), pa.array([q for _, q in pairs], pa.int64())], ["a", "b"])
 
+    def near_hubs(block: DataFrame) -> DataFrame:
+        """(hub, part, v) of the rows of other tasks that can reach a group of a block, which goes to all tasks."""
+        few = block.select("hub", "home", "n", "centre", "radius").toArrow()
+        sent = spark.sparkContext.broadcast((*(few[c].to_numpy() for c in ("hub", "home", "n", "radius")), few["centre"].to_pylist()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hub, home, size, radius, rows = sent.value
+            hubs = Hubs(hub, home, size, V.unit(V.from_bytes(rows, dim)), radius, least) if rows else None
+            for batch in batches:
+                if len(batch) and hubs:
+                    x = V.unit(V.from_bytes(batch.column("v").to_pylist(), dim))
+                    at, to = hubs.near(x, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "node", "n", "whole")))
+                    for s in range(0, len(at), FOUND):
+                        some = pa.array(at[s : s + FOUND])
+                        yield pa.RecordBatch.from_arrays([pa.array(hub[to[s : s + FOUND]]), batch.column("part").take(some), batch.column("v").take(some)], ["hub", "part", "v"])
+
+        # larger groups have these among their own outsiders
+        rows = parts.where(~F.col("whole") | (F.col("n") == 1) | (F.col("n") <= max(few["n"].to_pylist(), default=0)))
+        found = materialize(rows.select("part", "node", "n", "whole", "v").mapInArrow(run, "hub bigint, part bigint, v binary"), "could")
+        sent.destroy()
+        return found
+
     def outsiders(hubs: DataFrame, n_hubs: int) -> DataFrame:
         """(a, b) of groups (hub, centre, radius) and the groups of all vectors that reach one of their members."""
-        row_blocks, hub_blocks = max(1, -(-total // ROW_BLOCK)), max(1, -(-n_hubs // HUB_BLOCK))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = parts.select("part", "node", "v", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int").alias("i"), every(hub_blocks).alias("j"))
-        right = hubs.select("hub", "home", "centre", "radius", F.pmod(F.xxhash64("hub"), F.lit(hub_blocks)).cast("int").alias("j"), every(row_blocks).alias("i"))
-        could = materialize(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(reach, "hub bigint, part bigint, v binary"), "could")
+        blocks = -(-n_hubs // HUB_BLOCK)
+        if not blocks:
+            return spark.createDataFrame([], "a bigint, b bigint")
+        if blocks > 1:  # the largest groups first: many rows are compared with these only
+            hubs = materialize(hubs.repartitionByRange(blocks, F.desc("n"), "hub").withColumn("block", F.spark_partition_id()), "blocks")
+        could = reduce(DataFrame.unionByName, [near_hubs(hubs.where(F.col("block") == k) if blocks > 1 else hubs) for k in range(blocks)])
         members = parts.select(F.col("part").alias("hub"), "v").join(could.select("hub").distinct(), "hub", "left_semi")
         return could.groupBy("hub").cogroup(members.groupBy("hub")).applyInArrow(touch, "a bigint, b bigint")
 
@@ -372,7 +442,8 @@ def clusters(
                 a, b = zip(*sorted(found)) if found else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        return parts.select("part", "node", "v").mapInArrow(run, "a bigint, b bigint")
+        # a whole group of several has found the single vectors that reach it
+        return parts.where("n = 1 or not whole").select("part", "node", "v").mapInArrow(run, "a bigint, b bigint")
 
     def lowest(group: pa.Table) -> pa.Table:
         x, own = V.unit(V.from_bytes(group["v"].to_pylist(), dim)), group["own"].to_numpy()
@@ -397,8 +468,8 @@ def clusters(
     members, _ = V.copies(df, "id", "v", 1, dim)
     members = materialize(members, "copies")
     # single vectors may be reported for their copies
-    single = parts.where("n = 1").select("id", F.col("part").alias("hub"), F.col("node").alias("home"), F.col("v").alias("centre"), "radius")
-    hubs = parts.where("centre is not null").select(F.col("part").alias("hub"), F.col("node").alias("home"), "centre", "radius").unionByName(single.join(members.select("id").distinct(), "id", "left_semi").drop("id"))
+    single = parts.where("n = 1").select("id", F.col("part").alias("hub"), F.col("node").alias("home"), F.col("v").alias("centre"), "radius", "n")
+    hubs = parts.where("centre is not null").select(F.col("part").alias("hub"), F.col("node").alias("home"), "centre", "radius", "n").unionByName(single.join(members.select("id").distinct(), "id", "left_semi").drop("id"))
     hubs = materialize(hubs, "hubs")
     links = materialize(links.unionByName(outsiders(hubs, hubs.count())).distinct(), "links")
     joined, linked, good = joined_by(links)

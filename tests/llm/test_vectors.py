@@ -238,3 +238,42 @@ def test_groups_that_meet_across_tasks(spark):
     for node_rows in (40, 90):
         found = {(r.cluster_id, r.vec_id) for r in clusters.clusters(table(spark, rows).repartition(3), rows_per_cell=5, node_rows=node_rows, margin=0.0, most_probes=1).collect()}
         assert found == want
+
+
+def test_groups_go_as_balls(monkeypatch):
+    """Rows near groups of other tasks are those of brute force, with a small part of its products."""
+    rng = np.random.default_rng(2)
+    sizes = rng.choice([1, 2, 5, 40, 60], 150)
+    part, node, n = np.repeat(np.arange(150) * 3, sizes), np.repeat(rng.integers(0, 5, 150), sizes), np.repeat(sizes, sizes)
+    x = V.unit(np.repeat(rng.normal(size=(12, DIM))[rng.integers(0, 12, 150)] + 0.8 * rng.normal(size=(150, DIM)), sizes, axis=0) + 0.4 * rng.normal(size=(len(part), DIM)))
+    whole = np.repeat(rng.random(150) < 0.9, sizes)
+    hubs = np.unique(part[whole])
+    centres = V.unit(np.stack([x[part == g].sum(axis=0) for g in hubs]))
+    radius, at = np.array([np.arccos((x[part == g] @ c).min().clip(-1, 1)) for g, c in zip(hubs, centres)]), np.searchsorted(part, hubs)
+    size, home = n[at], node[at]
+    near = (x @ centres.T >= clusters.bound(radius, 0.75)) & (node[:, None] != home)
+    smaller = (n[:, None] < size) | (n[:, None] == size) & (part[:, None] < hubs)
+    want = set(zip(*np.nonzero(near & (smaller | ~(whole & (n > 1))[:, None]))))
+    products = []
+
+    class Counted(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *inputs, **settings):
+            out = getattr(ufunc, method)(*(np.asarray(i) for i in inputs), **settings)
+            products.append(out.size if ufunc is np.matmul else 0)
+            return out
+
+    for tile in ((512, 2048), (7, 11)):
+        monkeypatch.setattr(clusters, "TILE", tile)
+        held = clusters.Hubs(hubs, home, size, centres, radius, 0.75)
+        held.balls, held.centres = held.balls.view(Counted), held.centres.view(Counted)
+        assert set(zip(*held.near(x, part, node, n, whole))) == want and len(want) > 50
+        assert len(x) * len(hubs) > 4 * sum(products) > 0
+        products.clear()
+
+
+def test_groups_of_several_blocks(spark, monkeypatch):
+    """Groups that go to all tasks in several blocks, the largest first, leave nothing out."""
+    monkeypatch.setattr(clusters, "HUB_BLOCK", 4)
+    good, rows = made(11, n_groups=16, noise=80)
+    found = clusters.clusters(table(spark, rows).repartition(3), rows_per_cell=5, node_rows=40, margin=0.0, most_probes=1)
+    assert {(r.cluster_id, r.vec_id) for r in found.collect()} == true_clusters(good)
